@@ -89,11 +89,16 @@ def min_max(v):
 
 def multi_hot(labels, classes):
     """0/1 per class; unknown or missing labels are an error."""
-    lowered = F.array_distinct(F.transform(labels, lambda x: F.lower(x)))
-    hot = F.array(*[F.array_contains(lowered, c.lower()).cast("int") for c in classes])
-    hits = F.aggregate(hot, F.lit(0), lambda acc, x: acc + x)
+    names = F.array(*[F.lit(c.lower()) for c in classes])
+    known = F.array_distinct(F.transform(labels, lambda x: F.lower(x)))
     bad = F.raise_error(F.concat(F.lit("labels outside the class list: "), F.array_join(labels, "|")))
-    return F.when((hits >= 1) & (hits == F.size(lowered)), hot).otherwise(bad)
+
+    def check(low):
+        hot = F.transform(names, lambda c: F.array_contains(low, c).cast("int"))
+        hits = F.size(F.array_intersect(low, names))
+        return F.when((hits >= 1) & (hits == F.size(low)), hot).otherwise(bad)
+
+    return let(known, check)
 
 
 def hot_positions(hot):

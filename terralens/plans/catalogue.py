@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import vectors
+from . import graph, vectors
 
-TOPICS = (vectors,)
+TOPICS = (vectors, graph)
 
 QUERIES = {key: fn for topic in TOPICS for key, fn in topic.CAT.queries.items()}
 SQL = {key: sql for topic in TOPICS for key, sql in topic.CAT.sql.items()}
