@@ -35,11 +35,15 @@ def augment_sentences(sentences: DataFrame, neighbours: DataFrame, threshold=SIM
     the word, so the best one per word is found once, before any sentence is touched.
     ``token_scores(id, pos, candidate, score)`` gives scores per place instead.
     """
-    each = sentences.select("id", "tags", F.posexplode("tokens").alias("pos", "token")).select(
-        "id", "pos", "token", F.get("tags", F.col("pos")).alias("tag"), F.get("tags", F.col("pos") + 1).alias("next_tag")
-    )
+    # zipped first, so the exploded rows carry no arrays
+    nexts = F.concat(F.slice("tags", 2, F.greatest(F.size("tags") - 1, F.lit(0))), F.array(F.lit(None).cast("string")))
+    zipped = F.arrays_zip(F.col("tokens").alias("token"), F.col("tags").alias("tag"), nexts.alias("next_tag"))
+    # partitioned by sentence before the explode: regrouping moves no tokens when the join is broadcast
+    each = sentences.repartition("id").select("id", F.posexplode(zipped).alias("pos", "t")).select("id", "pos", "t.*")
     open_tag = F.col("tag").isin(NOUNS + VERBS)
-    keyed = each.withColumn("key", F.when(open_tag, F.col("token")))
+    # closed words get scattered keys that match nothing, not one shared null
+    scattered = F.concat(F.lit("\0"), F.pmod(F.xxhash64("id", "pos"), F.lit(4096)).cast("string"))
+    keyed = each.withColumn("key", F.when(open_tag, F.col("token")).otherwise(scattered))
     if token_scores is None:
         best = best_candidates(neighbours, threshold).withColumnsRenamed({"token": "key"})
         placed = keyed.join(best, ["key", "tag"], "left")
@@ -47,7 +51,8 @@ def augment_sentences(sentences: DataFrame, neighbours: DataFrame, threshold=SIM
         pool = usable_candidates(neighbours, threshold).select(F.col("token").alias("key"), "tag", "candidate")
         pick = F.min(F.struct((-F.col("score")).alias("neg"), "candidate")).alias("best")
         best = (
-            keyed.join(pool, ["key", "tag"])
+            keyed.filter(open_tag)
+            .join(pool, ["key", "tag"])
             .join(token_scores, ["id", "pos", "candidate"])
             .groupBy("id", "pos")
             .agg(pick)

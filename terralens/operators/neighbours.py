@@ -48,6 +48,17 @@ def _block_best(qid, q, aid, a, k, metric, decimals):
     return qid[rows[keep]], aid[cols[keep]], dist[keep]
 
 
+def _merge_best(old, new, k):
+    """k best per query of two result triples, ties by archive id."""
+    qid, aid, dist = (np.concatenate(c) for c in zip(old, new))
+    order = np.lexsort((aid, dist, qid))
+    qid, aid, dist = qid[order], aid[order], dist[order]
+    starts = np.flatnonzero(np.r_[True, qid[1:] != qid[:-1]]) if len(qid) else np.array([], int)
+    group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(qid)]))
+    keep = np.arange(len(qid)) - starts[group] < k
+    return qid[keep], aid[keep], dist[keep]
+
+
 def _best_table(parts):
     qid, aid, dist = parts
     return {"qid": pa.array(qid, pa.int64()), "aid": pa.array(aid, pa.int64()), "dist": pa.array(dist)}
@@ -79,22 +90,26 @@ def nearest(
     n_queries, dim = size["n"], size["dim"] or 0
     schema = "qid bigint, aid bigint, dist double"
 
-    if n_queries * (dim + 1) * 8 <= broadcast_bytes:
+    if n_queries * (dim + 1 + 3 * k) * 8 <= broadcast_bytes:
         rows = q.toArrow()
         matrix = _matrix(rows.column("vec"), rows.num_rows) if n_queries else None
         shared = q.sparkSession.sparkContext.broadcast((rows.column("qid").to_numpy(), matrix))
 
         def scan(batches):
+            """One pass over a partition with the running k best of every query."""
             qid, qm = shared.value
+            step = max(1, query_block)
+            best = {}
             for batch in batches:
                 if batch.num_rows == 0 or len(qid) == 0:
                     continue
                 am = _matrix(batch.column("vec"), batch.num_rows)
                 aid = batch.column("aid").to_numpy()
-                step = max(1, query_block)
                 for lo in range(0, len(qid), step):
-                    best = _block_best(qid[lo : lo + step], qm[lo : lo + step], aid, am, k, metric, decimals)
-                    yield pa.RecordBatch.from_pydict(_best_table(best))
+                    new = _block_best(qid[lo : lo + step], qm[lo : lo + step], aid, am, k, metric, decimals)
+                    best[lo] = _merge_best(best[lo], new, k) if lo in best else new
+            for parts in best.values():
+                yield pa.RecordBatch.from_pydict(_best_table(parts))
 
         return _keep_best(a.mapInArrow(scan, schema), k)
 

@@ -49,20 +49,20 @@ def range_bucket(df: DataFrame, column, buckets, name="_bucket") -> DataFrame:
 def number_in_buckets(df, bucket, order, name="row", group=(), start=0, total=None) -> DataFrame:
     """Number rows by ``(bucket, order)`` inside ``group``; ``bucket`` names existing columns."""
     group, bucket = list(group), list(bucket)
-    keys = group + bucket
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.partitionBy(*group).orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
+    # text keys without nulls, so window and join share one hash partitioning
+    named = {g: f"_g_{g}" for g in group}
+    keyed = df.withColumns({k: F.coalesce(F.col(g).cast("string"), F.lit("\0")) for g, k in named.items()}) if group else df
+    keys = list(named.values()) + bucket
+    sizes = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    of_group = Window.partitionBy(*named.values())
+    before = of_group.orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
     if total:
-        sizes = sizes.withColumn(total, F.sum("_size").over(Window.partitionBy(*group)))
+        sizes = sizes.withColumn(total, F.sum("_size").over(of_group))
     local = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    renamed = sizes.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], "_before", *([total] if total else [])
-    )
-    match = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    joined = df.withColumn("_local", local).join(renamed, match, "inner")
+    joined = keyed.withColumn("_local", local).join(sizes.drop("_size"), keys)
     return joined.withColumn(name, F.col("_before") + F.col("_local") + F.lit(start - 1)).drop(
-        "_before", "_local", *[f"_k_{k}" for k in keys], *bucket
+        "_before", "_local", *keys
     )
 
 

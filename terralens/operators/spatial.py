@@ -52,7 +52,7 @@ def _refined(df, hot, size):
 
 def candidate_pairs(left: DataFrame, right: DataFrame, size, hot_pairs=HOT_PAIRS) -> DataFrame:
     """Pairs with touching boxes, each once. Inputs carry ``box``; other column names must differ."""
-    lt, rt = tiled(left.withColumnRenamed("box", "box"), size), tiled(right, size)
+    lt, rt = tiled(left, size), tiled(right, size)
     counts = lt.groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("nl")).join(
         rt.groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("nr")), ["tx", "ty"]
     )
@@ -391,26 +391,26 @@ def coast_distances(images: DataFrame, lines: DataFrame, size=10.0) -> DataFrame
     ``images(id, box, points ARRAY<STRUCT<x,y>>)``, ``lines(line, points)``. Distances come in
     degrees and in metres, taken at the latitude of the nearest point.
     """
-    shaped = lines.select(
-        F.col("line"), F.col("points").alias("line_points"), G.bounds(F.array("points")).alias("box")
+    n = F.size("points")
+    ends = F.zip_with(
+        F.slice("points", 1, F.greatest(n - 1, F.lit(1))),
+        F.slice("points", F.least(n, F.lit(2)), F.greatest(n - 1, F.lit(1))),
+        lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")),
     )
+    shaped = lines.select("line", ends.alias("segs"), G.bounds(F.array("points")).alias("box"))
     pairs = candidate_pairs(images.select("id", "box", "points"), shaped, size)
-
-    def to_line(p):
-        ends = F.zip_with(
-            F.slice("line_points", 1, F.greatest(F.size("line_points") - 1, F.lit(1))),
-            F.slice("line_points", 2, F.greatest(F.size("line_points") - 1, F.lit(1))),
-            lambda a, b: G.point_segment_distance(
-                p["x"], p["y"], a["x"], a["y"], F.coalesce(b["x"], a["x"]), F.coalesce(b["y"], a["y"])
-            ),
-        )
-        return F.struct(F.array_min(ends).alias("d"), p["y"].alias("lat"))
-
-    per_line = pairs.select("id", F.transform("points", to_line).alias("ds"))
-    ends = per_line.select(
-        "id", F.array_min("ds").alias("near"), F.array_max(F.transform("ds", lambda e: e["d"])).alias("far")
+    # few bytes, much work: a fixed partition count keeps AQE from packing the pairs into one task
+    spread = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.select("id", "line", "points", "segs").repartition(spread, "id", "line")
+    # rows instead of nested lambdas keep the distance inside generated code
+    each = pairs.select("id", "line", "points", F.explode("segs").alias("s")).select(
+        "id", "line", "s", F.posexplode("points").alias("pt", "p")
     )
-    out = ends.groupBy("id").agg(F.min("near").alias("near"), F.max("far").alias("max_deg"))
+    d = G.point_segment_distance(
+        F.col("p.x"), F.col("p.y"), F.col("s.ax"), F.col("s.ay"), F.col("s.bx"), F.col("s.by")
+    )
+    per_line = each.groupBy("id", "line", "pt").agg(F.min(d).alias("d"), F.min("p.y").alias("lat"))
+    out = per_line.groupBy("id").agg(F.min(F.struct("d", "lat")).alias("near"), F.max("d").alias("max_deg"))
     return out.select(
         "id",
         F.col("near.d").alias("min_deg"),
@@ -452,40 +452,46 @@ def within_km(left: DataFrame, right: DataFrame, km, size=None) -> DataFrame:
     return l.join(r, ["tx", "ty"]).withColumn("km", dist).filter(F.col("km") <= km).drop("tx", "ty")
 
 
-def nearest_entity(left: DataFrame, right: DataFrame, reach_km=300.0, decimals=6) -> DataFrame:
+def nearest_entity(left: DataFrame, right: DataFrame, reaches_km=(5.0, 50.0, 500.0), decimals=6) -> DataFrame:
     """The nearest ``other`` of every ``id``, ties to the lower one: ``(id, other, km)``.
 
-    Equal locations are searched once. A tile pass settles locations with a neighbour
-    inside ``reach_km``; the rest, being far from everything, go through the exact
-    block search on unit vectors.
+    Equal locations are searched once. Tile passes of growing reach settle the locations
+    that have a neighbour inside it, so dense areas never meet a wide search; locations
+    far from everything go through the exact block search on unit vectors.
     """
-    spots = left.select("x", "y").distinct().withColumn("id", F.xxhash64("x", "y"))
+    spots = left.select("x", "y").distinct()
     places = right.groupBy("ox", "oy").agg(F.min("other").alias("other"))
     km = F.round(F.col("km"), decimals)
-    close = (
-        within_km(spots, places, reach_km)
-        .groupBy("id", "x", "y")
-        .agg(F.min(F.struct(km.alias("km"), "other")).alias("best"))
-        .select("x", "y", "best.km", "best.other")
-    )
-    rest = spots.join(close.select("x", "y"), ["x", "y"], "left_anti")
+    settled, open_spots = [], spots
+    for reach in reaches_km:
+        close = (
+            within_km(open_spots, places, reach)
+            .groupBy("x", "y")
+            .agg(F.min(F.struct(km.alias("km"), "other")).alias("best"))
+            .select("x", "y", "best.km", "best.other")
+        )
+        settled.append(close)
+        open_spots = open_spots.join(close.select("x", "y"), ["x", "y"], "left_anti")
 
     def unit(x, y):
         lon, lat = F.radians(x), F.radians(y)
         return F.array(F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat))
 
+    rest = open_spots.withColumn("qid", F.xxhash64("x", "y"))
     found = neighbours.nearest(
-        rest.select(F.col("id").alias("qid"), unit("x", "y").alias("vec")),
+        rest.select("qid", unit("x", "y").alias("vec")),
         places.select(F.col("other").alias("aid"), unit("ox", "oy").alias("vec")),
         k=1,
         decimals=12,
     )
     far = (
-        found.join(rest.withColumnRenamed("id", "qid"), "qid")
+        found.join(rest, "qid")
         .join(places, F.col("aid") == F.col("other"))
         .select("x", "y", F.round(G.haversine(F.col("x"), F.col("y"), F.col("ox"), F.col("oy")), decimals).alias("km"), "other")
     )
-    return left.select("id", "x", "y").join(close.unionByName(far), ["x", "y"]).select("id", "other", "km")
+    for close in settled:
+        far = far.unionByName(close)
+    return left.select("id", "x", "y").join(far, ["x", "y"]).select("id", "other", "km")
 
 
 def beside(left: DataFrame, right: DataFrame, by, direction) -> DataFrame:
