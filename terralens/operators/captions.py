@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.arrays import let
+from ..sources.readers import segments
 from . import spatial
 
 # fixed values: number words
@@ -144,12 +145,14 @@ def describe_images(images: DataFrame, lines: DataFrame, size=10.0, harbour_metr
     flipped = F.transform("boxes", lambda r: G.flip_y(r, F.col("height")))
     sizes = F.transform(flipped, lambda r: size_class(G.ring_area(r)))
     counted = images.withColumn("_sizes", sizes)
-    counts = [F.size(F.filter("_sizes", lambda s, i=i: s == i)) for i in range(5)]
+
+    def boxes_of(size):
+        return F.size(F.filter("_sizes", lambda s: s == size))
+
+    counts = [boxes_of(i) for i in range(5)]
     n = F.size("boxes")
     busy = images.filter(F.size("geo_points") > 0).select("id", "box", F.col("geo_points").alias("points"))
     near = spatial.coast_distances(busy, lines, size).select("id", "min_m")
-    from ..sources.readers import segments
-
     coast = spatial.meets_coast(images.select("id", "box"), segments(lines), size).withColumn("coast", F.lit(True))
     placed = counted.join(near, "id", "left").join(coast, "id", "left")
     place = F.when(F.col("coast"), spatial.place_of(F.col("min_m"), harbour_metres))

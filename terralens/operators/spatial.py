@@ -158,7 +158,7 @@ def _on_edges(points, edges):
 
 
 def _cuts(e, others):
-    """Midpoints of the pieces of edge ``e`` cut by the other edges, and whether any cut exists."""
+    """Midpoints of the pieces of edge ``e`` cut by the other edges, and whether any other edge meets it."""
     ax, ay, bx, by = e
     dx, dy = bx - ax, by - ay
     cx, cy = others[:, 0], others[:, 1]
@@ -171,14 +171,17 @@ def _cuts(e, others):
     ok = (det != 0) & (t >= -1e-12) & (t <= 1 + 1e-12) & (u >= -1e-12) & (u <= 1 + 1e-12)
     ts += t[ok].tolist()
     length2 = dx * dx + dy * dy
-    parallel = (det == 0) & (np.abs((cx - ax) * dy - (cy - ay) * dx) <= 1e-9 * max(length2, 1e-300) ** 0.5)
-    if length2 > 0 and parallel.any():
-        for px, py in ((cx, cy), (others[:, 2], others[:, 3])):
-            s = ((px - ax) * dx + (py - ay) * dy) / length2
-            ts += s[parallel & (s >= 0) & (s <= 1)].tolist()
+    meet = bool(ok.any())
+    if length2 > 0:
+        collinear = (det == 0) & (np.abs((cx - ax) * dy - (cy - ay) * dx) <= 1e-9 * length2**0.5)
+        s0 = ((cx - ax) * dx + (cy - ay) * dy) / length2
+        s1 = ((others[:, 2] - ax) * dx + (others[:, 3] - ay) * dy) / length2
+        meet = meet or bool((collinear & (np.minimum(s0, s1) <= 1) & (np.maximum(s0, s1) >= 0)).any())
+        for s in (s0, s1):
+            ts += s[collinear & (s >= 0) & (s <= 1)].tolist()
     ts = np.unique(np.clip(ts, 0.0, 1.0))
     mids = (ts[:-1] + ts[1:]) / 2 if len(ts) > 1 else ts
-    return np.column_stack([ax + mids * dx, ay + mids * dy]), bool(ok.any() or parallel.any())
+    return np.column_stack([ax + mids * dx, ay + mids * dy]), meet
 
 
 def _pieces(edges, others):
@@ -453,13 +456,13 @@ def within_km(left: DataFrame, right: DataFrame, km, size=None) -> DataFrame:
 
 
 def nearest_entity(left: DataFrame, right: DataFrame, reaches_km=(5.0, 50.0, 500.0), decimals=6) -> DataFrame:
-    """The nearest ``other`` of every ``id``, ties to the lower one: ``(id, other, km)``.
+    """The nearest ``other`` of every ``id``, ties to the lower one: ``(id, other, km)``; ids are BIGINT.
 
     Equal locations are searched once. Tile passes of growing reach settle the locations
     that have a neighbour inside it, so dense areas never meet a wide search; locations
     far from everything go through the exact block search on unit vectors.
     """
-    spots = left.select("x", "y").distinct()
+    spots = left.groupBy("x", "y").agg(F.min("id").alias("qid"))
     places = right.groupBy("ox", "oy").agg(F.min("other").alias("other"))
     km = F.round(F.col("km"), decimals)
     settled, open_spots = [], spots
@@ -477,15 +480,14 @@ def nearest_entity(left: DataFrame, right: DataFrame, reaches_km=(5.0, 50.0, 500
         lon, lat = F.radians(x), F.radians(y)
         return F.array(F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat))
 
-    rest = open_spots.withColumn("qid", F.xxhash64("x", "y"))
     found = neighbours.nearest(
-        rest.select("qid", unit("x", "y").alias("vec")),
+        open_spots.select("qid", unit("x", "y").alias("vec")),
         places.select(F.col("other").alias("aid"), unit("ox", "oy").alias("vec")),
         k=1,
         decimals=12,
     )
     far = (
-        found.join(rest, "qid")
+        found.join(open_spots, "qid")
         .join(places, F.col("aid") == F.col("other"))
         .select("x", "y", F.round(G.haversine(F.col("x"), F.col("y"), F.col("ox"), F.col("oy")), decimals).alias("km"), "other")
     )
