@@ -12,6 +12,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,16 +60,26 @@ def _merge_best(old, new, k):
     return qid[keep], aid[keep], dist[keep]
 
 
-def _best_table(parts):
+BEST = pa.schema([("grp", pa.string()), ("qid", pa.int64()), ("aid", pa.int64()), ("dist", pa.float64())])
+
+
+def _best_columns(grp, parts):
     qid, aid, dist = parts
-    return {"qid": pa.array(qid, pa.int64()), "aid": pa.array(aid, pa.int64()), "dist": pa.array(dist)}
+    return [pa.array([grp] * len(qid), pa.string()), pa.array(qid, pa.int64()), pa.array(aid, pa.int64()), pa.array(dist, pa.float64())]
 
 
 def _keep_best(found, k):
-    best = Window.partitionBy("qid").orderBy("dist", "aid")
+    best = Window.partitionBy("grp", "qid").orderBy("dist", "aid")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
+def _vectors(df, id_col, *more):
+    grp = F.col("grp") if "grp" in df.columns else F.lit("")
+    return df.select(
+        grp.alias("grp"), F.col(id_col).cast("bigint").alias(id_col), F.col("vec").cast("array<double>").alias("vec"), *more
+    )
+
+
 def nearest(
     queries: DataFrame,
     archive: DataFrame,
@@ -81,38 +92,51 @@ def nearest(
 ) -> DataFrame:
     """The k nearest archive rows of every query: ``(qid, aid, dist, rank)``.
 
-    Inputs are ``(qid BIGINT, vec)`` and ``(aid BIGINT, vec)``. ``l2`` gives squared
-    distances, ``hamming`` takes codes of -1/0/1. Ties go to the lower id.
+    Inputs are ``(qid BIGINT, vec)`` and ``(aid BIGINT, vec)``; with a ``grp`` column on both
+    sides rows of one group meet each other only and the result carries it. ``l2`` gives
+    squared distances, ``hamming`` takes codes of -1/0/1. Ties go to the lower id.
     """
-    q = queries.select(F.col("qid").cast("bigint").alias("qid"), F.col("vec").cast("array<double>").alias("vec"))
-    a = archive.select(F.col("aid").cast("bigint").alias("aid"), F.col("vec").cast("array<double>").alias("vec"))
+    q, a = _vectors(queries, "qid"), _vectors(archive, "aid")
     size = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
-    n_queries, dim = size["n"], size["dim"] or 0
-    schema = "qid bigint, aid bigint, dist double"
-
-    if n_queries * (dim + 1 + 3 * k) * 8 <= broadcast_bytes:
-        rows = q.toArrow()
-        matrix = _matrix(rows.column("vec"), rows.num_rows) if n_queries else None
-        shared = q.sparkSession.sparkContext.broadcast((rows.column("qid").to_numpy(), matrix))
-
-        def scan(batches):
-            """One pass over a partition with the running k best of every query."""
-            qid, qm = shared.value
-            step = max(1, query_block)
-            best = {}
-            for batch in batches:
-                if batch.num_rows == 0 or len(qid) == 0:
+    # vectors plus the running result of every query have to fit the limit
+    if size["n"] * ((size["dim"] or 0) + 1 + 3 * k) * 8 <= broadcast_bytes:
+        found = _scan_archive(q, a, k, metric, decimals, query_block)
+    else:
+        found = _join_blocks(q, a, k, metric, decimals, size["n"], query_block, archive_block)
+    best = _keep_best(found, k)
+    return best if "grp" in queries.columns else best.drop("grp")
+
+
+def _scan_archive(q, a, k, metric, decimals, query_block):
+    """Queries of proven small size go to every task; the archive is read in place."""
+    rows = q.toArrow()
+    groups = {}
+    for grp in set(rows.column("grp").to_pylist()):
+        part = rows.filter(pa.compute.equal(rows.column("grp"), grp))
+        groups[grp] = (part.column("qid").to_numpy(), _matrix(part.column("vec"), part.num_rows))
+    shared = q.sparkSession.sparkContext.broadcast(groups)
+
+    def scan(batches):
+        best = {}
+        for batch in batches:
+            names = np.asarray(batch.column("grp").to_pylist(), object)
+            for grp in set(names):
+                if grp not in shared.value:
                     continue
-                am = _matrix(batch.column("vec"), batch.num_rows)
-                aid = batch.column("aid").to_numpy()
-                for lo in range(0, len(qid), step):
-                    new = _block_best(qid[lo : lo + step], qm[lo : lo + step], aid, am, k, metric, decimals)
-                    best[lo] = _merge_best(best[lo], new, k) if lo in best else new
-            for parts in best.values():
-                yield pa.RecordBatch.from_pydict(_best_table(parts))
+                qid, qm = shared.value[grp]
+                part = batch.take(pa.array(np.flatnonzero(names == grp)))
+                am, aid = _matrix(part.column("vec"), part.num_rows), part.column("aid").to_numpy()
+                for lo in range(0, len(qid), query_block):
+                    new = _block_best(qid[lo : lo + query_block], qm[lo : lo + query_block], aid, am, k, metric, decimals)
+                    best[grp, lo] = _merge_best(best[grp, lo], new, k) if (grp, lo) in best else new
+        for (grp, _), parts in best.items():
+            yield pa.RecordBatch.from_arrays(_best_columns(grp, parts), schema=BEST)
+
+    return a.mapInArrow(scan, "grp string, qid bigint, aid bigint, dist double")
 
-        return _keep_best(a.mapInArrow(scan, schema), k)
 
+def _join_blocks(q, a, k, metric, decimals, n_queries, query_block, archive_block):
+    """Every query block meets every archive block of its group in one bounded task."""
     q_blocks = max(1, math.ceil(n_queries / query_block))
     a_blocks = max(1, math.ceil(a.count() / archive_block))
     q_cells = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(q_blocks))).withColumn(
@@ -124,7 +148,7 @@ def nearest(
 
     def cell(left, right):
         if left.num_rows == 0 or right.num_rows == 0:
-            return pa.table(_best_table((np.array([], int), np.array([], int), np.array([], float))))
+            return BEST.empty_table()
         best = _block_best(
             left.column("qid").to_numpy(),
             _matrix(left.column("vec"), left.num_rows),
@@ -134,10 +158,10 @@ def nearest(
             metric,
             decimals,
         )
-        return pa.table(_best_table(best))
+        return pa.Table.from_arrays(_best_columns(left.column("grp")[0].as_py(), best), schema=BEST)
 
-    found = q_cells.groupBy("qb", "ab").cogroup(a_cells.groupBy("qb", "ab")).applyInArrow(cell, schema)
-    return _keep_best(found, k)
+    keys = ("grp", "qb", "ab")
+    return q_cells.groupBy(*keys).cogroup(a_cells.groupBy(*keys)).applyInArrow(cell, "grp string, qid bigint, aid bigint, dist double")
 
 
 PROFILE_SCHEMA = (
@@ -200,8 +224,8 @@ def hamming_profile(
     and ``rel_pos`` holds the in-class places of relevant rows (the first ``keep`` of a
     block when given). Relevant means at least one shared label.
     """
-    q = queries.select("grp", F.col("qid").cast("bigint").alias("qid"), F.col("vec").cast("array<double>").alias("vec"), F.col("labels").cast("array<int>").alias("labels"))
-    a = archive.select("grp", F.col("aid").cast("bigint").alias("aid"), F.col("vec").cast("array<double>").alias("vec"), F.col("labels").cast("array<int>").alias("labels"))
+    labels = F.col("labels").cast("array<int>").alias("labels")
+    q, a = _vectors(queries, "qid", labels), _vectors(archive, "aid", labels)
     q_blocks = max(1, math.ceil(q.count() / query_block))
     a_blocks = max(1, math.ceil(a.count() / archive_block))
     ranged = range_bucket(a, "aid", a_blocks, name="ab")

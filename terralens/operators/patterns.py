@@ -13,30 +13,32 @@ from pyspark.sql import functions as F
 
 from ..functions import rdf
 
-SF = rdf.GEO
 FUNCTION_BASE = "http://www.opengis.net/def/function/geosparql/"
-STRDF_BASE = "http://strdf.di.uoa.gr/ontology#"
-
-# fixed values: spatial function IRI → relation predicate
-RELATION_OF = {
-    FUNCTION_BASE + "sfWithin": SF + "sfWithin",
-    FUNCTION_BASE + "sfTouches": SF + "sfTouches",
-    FUNCTION_BASE + "sfIntersects": SF + "sfIntersects",
-    FUNCTION_BASE + "sfCrosses": SF + "sfCrosses",
-    FUNCTION_BASE + "sfContains": SF + "sfContains",
-    FUNCTION_BASE + "sfOverlaps": SF + "sfOverlaps",
-    FUNCTION_BASE + "sfEquals": SF + "sfEquals",
-    FUNCTION_BASE + "sfCovers": SF + "sfCovers",
-    STRDF_BASE + "within": SF + "sfWithin",
-    STRDF_BASE + "touches": SF + "sfTouches",
-    STRDF_BASE + "intersects": SF + "sfIntersects",
-    STRDF_BASE + "crosses": SF + "sfCrosses",
-    STRDF_BASE + "contains": SF + "sfContains",
-    STRDF_BASE + "overlaps": SF + "sfOverlaps",
-    STRDF_BASE + "equals": SF + "sfEquals",
+# base of the short function names; set it to the one an existing graph uses
+SHORT_BASE = "http://example.org/spatial#"
+
+# fixed values: spatial functions and the relation each one reads
+STANDARD_FUNCTIONS = ["sfWithin", "sfTouches", "sfIntersects", "sfCrosses", "sfContains", "sfOverlaps", "sfEquals", "sfCovers"]
+SHORT_FUNCTIONS = {
+    "within": "sfWithin",
+    "touches": "sfTouches",
+    "intersects": "sfIntersects",
+    "crosses": "sfCrosses",
+    "contains": "sfContains",
+    "overlaps": "sfOverlaps",
+    "equals": "sfEquals",
 }
 # fixed values: geometry wrappers that are looked through
-WRAPPERS = {STRDF_BASE + "transform", STRDF_BASE + "buffer"}
+WRAPPERS = ["transform", "buffer"]
+
+
+def relation_of(function, short_base=SHORT_BASE):
+    """Relation predicate a spatial function IRI stands for."""
+    known = {FUNCTION_BASE + n: n for n in STANDARD_FUNCTIONS}
+    known.update({short_base + n: r for n, r in SHORT_FUNCTIONS.items()})
+    if function not in known:
+        raise ValueError(f"{function} has no stored relation")
+    return f"<{rdf.GEO}{known[function]}>"
 
 
 def _variable(term):
@@ -117,29 +119,29 @@ def entity_variable(variable, geometry_of):
     return geometry_of.get(node, node)
 
 
-def unwrap(expression):
+def unwrap(expression, short_base=SHORT_BASE):
     """``(function IRI, variable)`` of a known wrapper → the variable."""
     if isinstance(expression, tuple):
         function, inner = expression[0], expression[1]
-        if function not in WRAPPERS:
+        if function not in [short_base + w for w in WRAPPERS]:
             raise ValueError(f"unknown geometry function {function}")
         return inner
     return expression
 
 
-def spatial(solution: DataFrame, relations: DataFrame, function, left, right, geometry_of=None, negated=False) -> DataFrame:
+def spatial(
+    solution: DataFrame, relations: DataFrame, function, left, right, geometry_of=None, negated=False, short_base=SHORT_BASE
+) -> DataFrame:
     """Spatial function over two geometry variables as a lookup of the stored relation.
 
     ``relations(s, p, o)`` holds materialised pairs. Negation removes the matching
     solutions.
     """
-    relation = RELATION_OF.get(function)
-    if relation is None:
-        raise ValueError(f"{function} has no stored relation")
-    a, b = unwrap(left), unwrap(right)
+    relation = relation_of(function, short_base)
+    a, b = unwrap(left, short_base), unwrap(right, short_base)
     if geometry_of:
         a, b = entity_variable(a, geometry_of), entity_variable(b, geometry_of)
-    pairs = match_one(relations, (a, f"<{relation}>", b)).distinct()
+    pairs = match_one(relations, (a, relation, b)).distinct()
     return minus(solution, pairs) if negated else join_on_shared(solution, pairs)
 
 

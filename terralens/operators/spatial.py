@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import rdf
+from ..session import materialise
 from . import neighbours
 
 RELATIONS = ("sfEquals", "sfWithin", "sfContains", "sfCovers", "sfTouches", "sfCrosses", "sfOverlaps", "sfIntersects")
@@ -455,7 +456,7 @@ def within_km(left: DataFrame, right: DataFrame, km, size=None) -> DataFrame:
     return l.join(r, ["tx", "ty"]).withColumn("km", dist).filter(F.col("km") <= km).drop("tx", "ty")
 
 
-def nearest_entity(left: DataFrame, right: DataFrame, reaches_km=(5.0, 50.0, 500.0), decimals=6) -> DataFrame:
+def nearest_entity(left: DataFrame, right: DataFrame, reaches_km=(25.0, 500.0), decimals=6) -> DataFrame:
     """The nearest ``other`` of every ``id``, ties to the lower one: ``(id, other, km)``; ids are BIGINT.
 
     Equal locations are searched once. Tile passes of growing reach settle the locations
@@ -467,14 +468,16 @@ def nearest_entity(left: DataFrame, right: DataFrame, reaches_km=(5.0, 50.0, 500
     km = F.round(F.col("km"), decimals)
     settled, open_spots = [], spots
     for reach in reaches_km:
-        close = (
+        best = (
             within_km(open_spots, places, reach)
             .groupBy("x", "y")
             .agg(F.min(F.struct(km.alias("km"), "other")).alias("best"))
             .select("x", "y", "best.km", "best.other")
         )
-        settled.append(close)
-        open_spots = open_spots.join(close.select("x", "y"), ["x", "y"], "left_anti")
+        # one table per pass holds both the settled and the open locations
+        level = materialise(open_spots.join(best, ["x", "y"], "left"), "nearest")
+        settled.append(level.filter(F.col("other").isNotNull()).select("x", "y", "km", "other"))
+        open_spots = level.filter(F.col("other").isNull()).select("x", "y", "qid")
 
     def unit(x, y):
         lon, lat = F.radians(x), F.radians(y)
@@ -491,8 +494,8 @@ def nearest_entity(left: DataFrame, right: DataFrame, reaches_km=(5.0, 50.0, 500
         .join(places, F.col("aid") == F.col("other"))
         .select("x", "y", F.round(G.haversine(F.col("x"), F.col("y"), F.col("ox"), F.col("oy")), decimals).alias("km"), "other")
     )
-    for close in settled:
-        far = far.unionByName(close)
+    for level in settled:
+        far = far.unionByName(level)
     return left.select("id", "x", "y").join(far, ["x", "y"]).select("id", "other", "km")
 
 

@@ -342,7 +342,7 @@ def jn_09(spark, sf):
     relations = relation_table(spark, sf)
     aliases = {"?w1": "?g1", "?g1": "?a", "?w2": "?g2", "?g2": "?b"}
     function = P.FUNCTION_BASE + "sfWithin"
-    yes = P.spatial(customers, relations, function, "?w1", (P.STRDF_BASE + "buffer", "?w2"), aliases)
+    yes = P.spatial(customers, relations, function, "?w1", (P.SHORT_BASE + "buffer", "?w2"), aliases)
     no = P.spatial(customers, relations, function, "?w1", "?w2", aliases, negated=True)
     return P.union(yes.withColumn("found", F.lit("yes")), no.withColumn("found", F.lit("no")))
 

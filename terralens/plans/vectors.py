@@ -104,15 +104,14 @@ d AS (SELECT q.direction, q.vec_id AS qid, a.vec_id AS aid, round(list_distance(
 SELECT *, row_number() OVER (PARTITION BY direction, qid ORDER BY dist, aid)::INTEGER AS rank FROM d QUALIFY rank <= 8""",
 )
 def top_01_sensor_pairs(spark, sf):
-    """The four sensor pairs of the same search."""
+    """The four sensor pairs of the same search in one pass."""
     df = vectors(spark, sf)
-    out = None
-    for a, b in ALL_FOUR:
-        q = df.filter(is_query()).select(F.col("vec_id").alias("qid"), A.l2_normalise(modality(df, a)).alias("vec"))
-        r = df.filter(~is_query()).select(F.col("vec_id").alias("aid"), A.l2_normalise(modality(df, b)).alias("vec"))
-        one = N.nearest(q, r, k=8).withColumn("direction", F.lit(f"{a}-{b}"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    unit = {m: A.l2_normalise(modality(df, m)) for m in ("image", "text")}
+    pairs = F.array(*[F.struct(F.lit(f"{a}-{b}").alias("grp"), unit[a].alias("q"), unit[b].alias("a")) for a, b in ALL_FOUR])
+    each = df.select("vec_id", F.explode(pairs).alias("o"))
+    q = each.filter(is_query()).select(F.col("o.grp").alias("grp"), F.col("vec_id").alias("qid"), F.col("o.q").alias("vec"))
+    a = each.filter(~is_query()).select(F.col("o.grp").alias("grp"), F.col("vec_id").alias("aid"), F.col("o.a").alias("vec"))
+    return N.nearest(q, a, k=8).withColumnRenamed("grp", "direction")
 
 
 @CAT.add(

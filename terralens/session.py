@@ -40,3 +40,10 @@ def scratch_dir(spark, name):
     if shared:
         return f"{shared.rstrip('/')}/terralens-{name}-{uuid.uuid4().hex}"
     return os.path.join(tempfile.mkdtemp(prefix="terralens-"), name)
+
+
+def materialise(df, name):
+    """Write ``df`` once to the shared folder and read it back: later steps neither recompute it nor depend on executors."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
