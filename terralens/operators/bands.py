@@ -45,16 +45,14 @@ def select_bands(patch_map, bands):
 
 
 def standardise(patches: DataFrame, key, patch_map, stats: DataFrame, bands) -> DataFrame:
-    """``(x − mean) / std`` per band. ``stats(band, mean, std)`` has one row per band name."""
+    """``(x − mean) / std`` per band. ``stats(band, mean, std)`` has one row per band name, so at most 14."""
     names = resolve(bands)
-    table = stats.filter(F.col("band").isin(names)).agg(
-        F.map_from_entries(F.collect_list(F.struct("band", F.struct("mean", "std")))).alias("_stats")
-    )
-    joined = patches.join(F.broadcast(table))  # one row of at most 14 entries
-    scaled = F.array(
-        *[A.standardise(F.col(patch_map)[b], F.col("_stats")[b]["mean"], F.col("_stats")[b]["std"]) for b in names]
-    )
-    return joined.select(key, scaled.alias("bands"))
+    rows = stats.filter(F.col("band").isin(names)).limit(len(KNOWN_BANDS) + 1).collect()
+    value = {r["band"]: (r["mean"], r["std"]) for r in rows}
+    if len(value) != len(rows) or set(value) != set(names):
+        raise ValueError("stats must hold exactly one row per band")
+    scaled = F.array(*[A.standardise(F.col(patch_map)[b], *map(F.lit, value[b])) for b in names])
+    return patches.select(key, scaled.alias("bands"))
 
 
 def nonzero_images(patches: DataFrame, bands) -> DataFrame:

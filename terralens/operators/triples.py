@@ -150,21 +150,16 @@ def entity_triples(df: DataFrame, cls, vocab=rdf.Vocabulary()) -> DataFrame:
     pairs = [type_pair(cls, vocab), *property_pairs(cls, vocab), *name_pairs(cls, vocab), *wiki_pairs(cls, vocab)]
     if cls == "sentinel1":
         pairs += thumbnail_pairs(vocab)
-    pairs.append(_po(rdf.HAS_GEOMETRY, F.when(F.col("wkt").isNotNull(), geometry_node(cls, vocab))))
-    me = subject(cls, vocab)
+    has_wkt = F.col("wkt").isNotNull()
+    pairs.append(_po(rdf.HAS_GEOMETRY, F.when(has_wkt, geometry_node(cls, vocab))))
+    pairs.append(_po(rdf.AS_WKT, F.when(has_wkt, rdf.wkt_literal(F.col("wkt")))))
     po = F.array(*pairs)
     if cls == "sentinel2":
         po = F.concat(po, F.coalesce(link_pairs(vocab), F.array().cast("array<struct<p:string,o:string>>")))
-    rows = F.transform(F.filter(po, lambda x: x["o"].isNotNull()), lambda x: F.struct(me.alias("s"), x["p"].alias("p"), x["o"].alias("o")))
-    wkt = F.when(
-        F.col("wkt").isNotNull(),
-        F.array(
-            F.struct(
-                geometry_node(cls, vocab).alias("s"), F.lit(rdf.AS_WKT).alias("p"), rdf.wkt_literal(F.col("wkt")).alias("o")
-            )
-        ),
-    ).otherwise(F.array().cast("array<struct<s:string,p:string,o:string>>"))
-    return df.select(F.inline(F.concat(rows, wkt)))
+    # a plain array stays in generated code; absent values are dropped right after it
+    each = df.select(subject(cls, vocab).alias("s"), geometry_node(cls, vocab).alias("_node"), F.inline(po))
+    of_node = F.when(F.col("p") == rdf.AS_WKT, F.col("_node")).otherwise(F.col("s"))
+    return each.filter(F.col("o").isNotNull()).select(of_node.alias("s"), "p", "o")
 
 
 def row_triples(df: DataFrame, cls, key, literals, relations=(), vocab=rdf.Vocabulary()) -> DataFrame:
@@ -173,8 +168,7 @@ def row_triples(df: DataFrame, cls, key, literals, relations=(), vocab=rdf.Vocab
     pairs += [_po(f"<{vocab.ontology}{p}>", rdf.literal(c if not isinstance(c, str) else F.col(c), t)) for c, p, t in literals]
     pairs += [_po(f"<{vocab.ontology}{p}>", rdf.iri(f"{vocab.resource}{target}/", F.col(c))) for c, p, target in relations]
     me = rdf.iri(f"{vocab.resource}{cls}/", F.col(key))
-    kept = F.filter(F.array(*pairs), lambda x: x["o"].isNotNull())
-    return df.select(me.alias("s"), F.inline(kept))
+    return df.select(me.alias("s"), F.inline(F.array(*pairs))).filter(F.col("o").isNotNull())
 
 
 def graph(frames, distinct=False) -> DataFrame:
