@@ -5,9 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
+from pyspark import SparkFiles
 from pyspark.sql import SparkSession
 
+PACKAGE = os.path.dirname(os.path.abspath(__file__))
+
 
 def build_session(app="terralens", master=None, shuffle_partitions=None):
     """A session with the settings the jobs are tuned for.
@@ -47,3 +51,20 @@ def materialise(df, name):
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark):
+    """Gives the Python workers of all executors this package, once for each Spark application."""
+    context = spark.sparkContext
+    if getattr(context, "terralens_shipped", False):
+        return
+    folder = os.path.join(SparkFiles.getRootDirectory(), "shipped")
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, "terralens.zip")
+    with zipfile.ZipFile(path, "w") as bundle:
+        for top, _, names in os.walk(PACKAGE):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(top, name)
+                bundle.write(full, os.path.relpath(full, os.path.dirname(PACKAGE)))
+    context.addPyFile(path)
+    context.terralens_shipped = True
