@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import op2_exact_dedup, op9_mixing
+from . import op2_exact_dedup, op9_mixing, op10_quality
 
-PARTS = (op2_exact_dedup, op9_mixing)
+PARTS = (op2_exact_dedup, op9_mixing, op10_quality)
 
 QUERIES = {key: fn for part in PARTS for key, fn in part.CAT.queries.items()}
 SQL = {key: sql for part in PARTS for key, sql in part.CAT.sql.items()}
