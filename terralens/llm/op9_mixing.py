@@ -22,9 +22,9 @@ SHARD = 1 << 21
 SEED = 17
 
 
-def with_size(docs, text="text"):
-    """``docs`` with ``size``, the number of words; a null text has none."""
-    return docs.withColumn("size", F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"))
+def word_count(text):
+    """The number of words; a null text has none."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def source_targets(sizes, weights=WEIGHTS, share=SHARE, most=MOST):
@@ -92,19 +92,18 @@ def sainte_lague(parties, group, party, votes, seats):
     return parties.join(won, [*group, party], "left").withColumn("quota", F.coalesce("quota", F.lit(0)).cast("long"))
 
 
-def mix(docs, text="text", weights=WEIGHTS, share=SHARE, most=MOST, block=BLOCK, shard=SHARD, seed=SEED):
-    """Per row of ``docs``: doc_id, source, size, source_size, target and taken, the words that the mix takes of it.
+def drawn_pieces(docs, text="text", weights=WEIGHTS, share=SHARE, most=MOST, block=BLOCK, shard=SHARD, seed=SEED):
+    """Per row of ``docs`` and block that it reaches into: the piece's first word and length, and how it is taken.
 
     The documents of a source are dealt over shards by a seeded hash, and each shard's words, documents in seeded order,
     form blocks of ``block`` words. Sainte-Laguë gives each source a number of blocks by its target, then each of its
     shards a share of them by its words. A shard takes all its words as often as its quota covers them, and the rest
     as blocks in seeded order; the last is cut. The words by which a source's blocks miss its target are made up in its
-    first shard. Null texts have no words, a null source is a source of its own, rows that repeat an id are taken each
-    on its own, and an empty table gives an empty one.
+    largest shard.
     """
     name = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     narrow = written(
-        with_size(docs.select("doc_id", "source", text), text).select("doc_id", "source", "size", F.md5(name).alias("draw")), "sizes"
+        docs.select("doc_id", "source", word_count(F.col(text)).alias("size"), F.md5(name).alias("draw")), "sizes"
     )
     sources = written(source_targets(narrow, weights, share, most), "sources")
     seats = F.round(F.sum("target").over(W.partitionBy()) / block).cast("long")
@@ -146,9 +145,56 @@ def mix(docs, text="text", weights=WEIGHTS, share=SHARE, most=MOST, block=BLOCK,
         .withColumn("rest", F.col("due") - F.col("rounds") * F.col("words"))
         .withColumn("extra", F.least(F.greatest(F.col("rest") - F.col("ahead"), F.lit(0)), F.col("piece")))
     )
-    return drawn.groupBy("place", "shard", "row", "doc_id", "source", "size", "source_size", "target").agg(
-        F.sum(F.col("rounds") * F.col("piece") + F.col("extra")).alias("taken")
-    ).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return drawn.withColumn("first", F.greatest("start", F.col("block") * block) - F.col("start"))
+
+
+ROW = ["place", "shard", "row", "doc_id", "source", "size"]
+
+
+def mix(docs, **settings):
+    """Per row of ``docs``: doc_id, source, size, source_size, target and taken, the words that the mix takes of it.
+
+    Null texts have no words, a null source is a source of its own, rows that repeat an id are taken each on its own,
+    and an empty table gives an empty one. Only doc_id, source and the text are read.
+    """
+    return (
+        drawn_pieces(docs, **settings)
+        .groupBy(*ROW, "source_size", "target")
+        .agg(F.sum(F.col("rounds") * F.col("piece") + F.col("extra")).alias("taken"))
+        .select("doc_id", "source", "size", "source_size", "target", "taken")
+    )
+
+
+def mixed(docs, text="text", **settings):
+    """The mix itself: rows like ``docs``, whole documents as often as all their words are taken, then one row with the
+    words that are taken once more, joined by one blank, with n_chars, where there is such a column, told anew.
+
+    Rows that repeat doc_id, source and size are all taken as the first of them is. Documents of which the mix takes no
+    word give no row.
+    """
+    part = F.when(F.col("extra") > 0, F.struct("first", F.col("extra").alias("words")))
+    plans = (
+        drawn_pieces(docs, text, **settings)
+        .groupBy(*ROW)
+        .agg(F.max("rounds").alias("rounds"), F.sort_array(F.collect_list(part)).alias("parts"))
+        .groupBy("doc_id", "source", "size")
+        .agg(F.min_by(F.struct("rounds", "parts"), F.struct("shard", "row")).alias("plan"))
+        .where("plan.rounds > 0 OR size(plan.parts) > 0")
+        .select(F.struct("doc_id", "source", "size").alias("__key"), "plan")
+    )
+    words = F.regexp_extract_all(F.col(text), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    chosen = F.flatten(F.transform("plan.parts", lambda p: F.slice("__words", p["first"].cast("int") + 1, p["words"].cast("int"))))
+    again = F.when(F.size("plan.parts") > 0, F.array(F.array_join(chosen, " "))).otherwise(F.array().cast("array<string>"))
+    told = docs.withColumn("__key", F.struct("doc_id", "source", word_count(F.col(text)).alias("size")))
+    rows = (
+        told.join(plans.withColumnRenamed("__key", "__plan_key"), F.col("__key").eqNullSafe(F.col("__plan_key")))
+        .withColumn("__words", F.when(F.size("plan.parts") > 0, words))
+        .withColumn("__text", F.explode(F.concat(F.array_repeat(F.col(text), F.col("plan.rounds").cast("int")), again)))
+        .withColumn(text, F.col("__text"))
+    )
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.char_length(text).cast(dict(docs.dtypes)["n_chars"]))
+    return rows.select(*docs.columns)
 
 
 @CAT.add(
