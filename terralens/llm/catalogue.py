@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import op2_exact_dedup, op4_packing, op5_topk, op6_jaccard, op7_hmm, op8_substring, op9_mixing, op10_quality
+from . import op1_training_order, op2_exact_dedup, op3_edit_counts, op4_packing, op5_topk, op6_jaccard, op7_hmm, op8_substring, op9_mixing, op10_quality
 
-PARTS = (op2_exact_dedup, op4_packing, op5_topk, op6_jaccard, op7_hmm, op8_substring, op9_mixing, op10_quality)
+PARTS = (
+    op1_training_order, op2_exact_dedup, op3_edit_counts, op4_packing, op5_topk, op6_jaccard, op7_hmm, op8_substring, op9_mixing, op10_quality,
+)
 
 QUERIES = {key: fn for part in PARTS for key, fn in part.CAT.queries.items()}
 SQL = {key: sql for part in PARTS for key, sql in part.CAT.sql.items()}

@@ -76,24 +76,39 @@ class Encoder:
             return np.ones(len(keys), bool)
         return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] != keys
 
-    def encode(self, data, offsets):
-        """Ids of all rows one after the other, and the offsets of the rows in them."""
-        rows = len(offsets) - 1
+    def _looked_up(self, data, offsets):
+        """Starts, ends and row of the segments, and for each the place of its ids in the pool and their number."""
         starts, ends, row = segments(data, offsets)
         if not len(starts):
-            return np.zeros(0, self.pool.dtype), np.zeros(rows + 1, np.int64)
+            return starts, ends, row, starts, starts
         hashes = mix64(span_sums(BYTE_CODES[data], starts, ends) + (ends - starts).astype(np.uint64))
         keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         for _ in range(2):  # once more if room for the new ones was made by forgetting
             if (new := self._new(keys)).any():
                 self._learn(keys[new], data, starts[first[new]], ends[first[new]])
         known = self.at[np.searchsorted(self.keys, keys)][which]
-        counts = known & 0xFFFFFFFF
+        return starts, ends, row, known >> 32, known & 0xFFFFFFFF
+
+    def encode(self, data, offsets):
+        """Ids of all rows one after the other, and the offsets of the rows in them."""
+        rows = len(offsets) - 1
+        starts, _, row, at, counts = self._looked_up(data, offsets)
+        if not len(starts):
+            return np.zeros(0, self.pool.dtype), np.zeros(rows + 1, np.int64)
         ends_at = np.cumsum(counts)
-        ids = self.pool[np.repeat((known >> 32) - (ends_at - counts), counts) + np.arange(int(ends_at[-1]))]
+        ids = self.pool[np.repeat(at - (ends_at - counts), counts) + np.arange(int(ends_at[-1]))]
         bounds = np.concatenate([[0], ends_at])
         return ids, bounds[np.searchsorted(row, np.arange(rows + 1))]
 
+    def segment_counts(self, data, offsets):
+        """Starts, ends and row of the segments, and the number of tokens of each."""
+        starts, ends, row, _, counts = self._looked_up(data, offsets)
+        return starts, ends, row, counts
+
+    def count(self, text):
+        """Tokens of one short text."""
+        return len(self.encoding.encode(text, allowed_special="all"))
+
 
 def segments(data, offsets):
     """Starts, ends and row of the segments of each row."""
