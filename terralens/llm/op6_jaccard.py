@@ -1,6 +1,7 @@
 """Joining documents by the Jaccard similarity of their word shingles with adaptive multi-match prefixes.
 
-All documents order their shingles alike. Two sets of similarity s or more share a shingle among the first
+All documents order their shingles alike: the more documents of one batch somewhere hold a shingle, the later it comes,
+and by hash otherwise. Two sets of similarity s or more share a shingle among the first
 n - ceil(s n) + 1 of each, and with k more of them on either side they share k + 1. Each document's prefix is
 lengthened by the shingles in it that are too costly (held by many groups of documents), which are then skipped, and
 by a fixed reserve; pairs are verified only if they share as many shingles as the lengthened prefixes ask for.
@@ -25,6 +26,8 @@ WIDTH, PERCENT = 4, 85
 RESERVE_SHARE, RESERVE = 3, 8
 #: A shingle held by more groups of documents than this is skipped in favour of later ones.
 COSTLY = 32
+#: A shingle's level is how many of these numbers of documents hold it in some batch; bits for each level.
+LEVELS, LEVEL_BITS = (4, 32, 256), 1 << 25
 #: Parts in which copies of one set meet first, and partners of a document that one task compares.
 SALTS, PARTNERS = 8, 64
 #: Bits of the filter that keeps documents without a candidate out of the verification's shuffle.
@@ -47,8 +50,57 @@ def prefix_length(n, percent):
     return n - (percent * n + 99) // 100 + 1
 
 
+def set_digests(found, at):
+    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(found + np.uint64(k)))]) for k in (1, 2)]
+    return [(s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums]
+
+
+def frequency_levels(docs, width):
+    """One bit map for each of LEVELS: which shingles so many documents with different sets hold in some batch.
+
+    All documents are counted. The maps have a fixed size and only decide the order of the shingles, in which any
+    function of the shingle is right: more shingles than bits cost candidates, never links.
+    """
+
+    def count(batches):
+        for batch in batches:
+            got, known = [np.zeros(0, np.uint64)], np.zeros(0, np.int64)
+            for _, data, offsets in slices(batch.column(0)):
+                found, owner = row_sets(data, offsets, width)
+                at = np.searchsorted(owner, np.arange(len(offsets)))
+                digest = set_digests(found, at)[0]
+                once = np.zeros(len(digest), bool)
+                once[np.unique(digest, return_index=True)[1]] = True
+                once &= ~np.isin(digest, known)
+                known = np.concatenate([known, digest[once]])
+                got.append(found[once[owner]])
+            values, times = np.unique(np.concatenate(got), return_counts=True)
+            bits = [values[times >= least] % np.uint64(LEVEL_BITS) + np.uint64(i * LEVEL_BITS) for i, least in enumerate(LEVELS)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bits).astype(np.int64) + 1)], ["bit"])
+
+    maps = (
+        docs.select("text")
+        .mapInArrow(count, "bit long")
+        .groupBy(F.bitmap_bucket_number("bit").alias("no"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    )
+    whole = np.zeros(len(LEVELS) * LEVEL_BITS // 8, np.uint8)
+    for row in maps.toLocalIterator():
+        whole[(row["no"] - 1) * 4096 : row["no"] * 4096] = np.frombuffer(row["bits"], np.uint8)
+    return whole
+
+
+def level_of(found, maps):
+    level = np.zeros(len(found), np.int8)
+    for i in range(len(LEVELS)):
+        bit = (found % np.uint64(LEVEL_BITS)).astype(np.int64) + i * LEVEL_BITS
+        level += maps[bit >> 3] >> (bit & 7).astype(np.uint8) & 1
+    return level
+
+
 def sketches(docs, width, percent):
     """Per row: doc_id, n (set size), two digests of the set, and its first shingles: the prefix and its reserve."""
+    maps = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, width))
 
     def sketch(batches):
         for batch in batches:
@@ -57,8 +109,8 @@ def sketches(docs, width, percent):
                 found, owner = row_sets(data, offsets, width)
                 at = np.searchsorted(owner, np.arange(rows + 1))
                 n = np.diff(at)
-                sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(found + np.uint64(k)))]) for k in (1, 2)]
-                d1, d2 = [(s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums]
+                d1, d2 = set_digests(found, at)
+                found = found[np.argsort(owner * (len(LEVELS) + 1) + level_of(found, maps.value), kind="stable")]
                 p = prefix_length(n, percent)
                 kept = np.minimum(n, p + np.maximum(p // RESERVE_SHARE, RESERVE)) * (n > 0)
                 pick = np.arange(len(found)) - at[owner] < kept[owner]
