@@ -153,13 +153,15 @@ class Best:
         self.turn = turn
         self.score = np.full((len(ids), top), LONG.min)
         self.who = np.full((len(ids), top), LONG.max)
+        self.own = np.zeros((len(ids), top), bool)
         self.filled = np.zeros(len(ids), np.int64)
 
     def bar(self):
         """A candidate below this score cannot enter."""
         return np.where(self.filled >= self.top, self.score[:, -1].astype(float), -np.inf)
 
-    def meet(self, ids, ints, most):
+    def meet(self, ids, ints, most, own=True):
+        """``own`` says whether these candidates are this task's to report; others only raise the bar."""
         slack = 1e-9
         bar = self.bar()
         live = np.flatnonzero(self.length * most * (1 + slack) + 1 >= bar)
@@ -184,8 +186,10 @@ class Best:
                 continue
             have = min(int(self.filled[r]), self.top)
             s, w = np.concatenate([self.score[r, :have], scores[pick]]), np.concatenate([self.who[r, :have], who[pick]])
+            mine = np.concatenate([self.own[r, :have], np.full(len(pick), own)])
             order = np.lexsort((w, ~s))[: self.top]
             self.filled[r] = len(order)
+            self.own[r, : len(order)] = mine[order]
             self.score[r, : len(order)], self.who[r, : len(order)] = s[order], w[order]
 
 
@@ -217,27 +221,27 @@ def top_products(vectors, every=EVERY, top=TOP, scale=SCALE):
     queries = query_blocks(asked, count, width)
     blocks = written(blocked(whole, BLOCK, width).withColumn("no", F.monotonically_increasing_id()), "blocks")
     # the block of the longest vectors goes to all tasks
-    first = blocks.orderBy(F.desc("most"), "no").limit(1).select("ids", "ints", "most").collect()
-    longest = spark.sparkContext.broadcast([(r["ids"], r["ints"], r["most"]) for r in first])
+    first = blocks.orderBy(F.desc("most"), "no").limit(1).select("no", "ids", "ints", "most").collect()
+    longest = spark.sparkContext.broadcast([tuple(r) for r in first])
     groups = max(1, min(shuffle_partitions(spark), -(-sizes["n"] // BLOCK)))
 
     def search(batches):
-        best, done = None, {a for a, _, _ in longest.value}
+        best, done = None, {no for no, *_ in longest.value}
         for batch in batches:
-            for kind, ids, ints, most in zip(*(c.to_pylist() for c in batch.columns)):
+            for part, kind, no, ids, ints, most in zip(*(c.to_pylist() for c in batch.columns)):
                 if kind == 0:
                     if best is not None:
                         yield told(best)
                     best = Best(unpacked(ids).astype(np.int64), unpacked(ints).reshape(-1, width).astype(float), turn.value, top)
-                    for a, b, m in longest.value:
-                        best.meet(unpacked(a).astype(np.int64), unpacked(b).reshape(-1, width).astype(float), m)
-                elif best is not None and ids not in done:
+                    for _, a, b, m in longest.value:
+                        best.meet(unpacked(a).astype(np.int64), unpacked(b).reshape(-1, width).astype(float), m, part == 0)
+                elif best is not None and no not in done:
                     best.meet(unpacked(ids).astype(np.int64), unpacked(ints).reshape(-1, width).astype(float), most)
         if best is not None:
             yield told(best)
 
     def told(best):
-        have = np.arange(top) < np.minimum(best.filled, top)[:, None]
+        have = (np.arange(top) < np.minimum(best.filled, top)[:, None]) & best.own
         row = np.nonzero(have)[0]
         return pa.RecordBatch.from_arrays(
             [pa.array(best.ids[row]), pa.array(best.who[have]), pa.array(best.score[have])], ["query_id", "vec_id", "score"]
@@ -252,12 +256,11 @@ def top_products(vectors, every=EVERY, top=TOP, scale=SCALE):
         asking.unionByName(offered)
         .repartition(shuffle_partitions(spark), "block", "part")
         .sortWithinPartitions("block", "part", "kind", F.desc("most"), "no")
-        .select("kind", "ids", "ints", "most")
+        .select("part", "kind", "no", "ids", "ints", "most")
         .mapInArrow(search, "query_id long, vec_id long, score long")
     )
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    # every task starts from the longest candidates and so may name the same ones
-    ranked = found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
