@@ -179,7 +179,7 @@ def mixed(docs, text="text", **settings):
         .agg(F.max("rounds").alias("rounds"), F.sort_array(F.collect_list(part)).alias("parts"))
         .groupBy("doc_id", "source", "size")
         .agg(F.min_by(F.struct("rounds", "parts"), F.struct("shard", "row")).alias("plan"))
-        .where("plan.rounds > 0 OR size(plan.parts) > 0")
+        .where("size > 0 AND (plan.rounds > 0 OR size(plan.parts) > 0)")
         .select(F.struct("doc_id", "source", "size").alias("__key"), "plan")
     )
     words = F.regexp_extract_all(F.col(text), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
