@@ -6,7 +6,10 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes handled at once; a longer document is handled alone.
-SLICE = 2 << 20
+SLICE = 1 << 20
+
+# the default pool keeps what it has once got, which adds up over the workers of an executor
+pa.set_memory_pool(pa.system_memory_pool())
 
 U64 = np.uint64
 _ODD = U64(0x9E3779B97F4A7C15)

@@ -57,8 +57,6 @@ class Encoder:
         self.pool = np.zeros(0, np.uint16 if self.encoding.n_vocab <= 1 << 16 else np.uint32)
 
     def _learn(self, keys, data, starts, ends):
-        if len(self.keys) + len(keys) > self.remembered and len(self.keys):
-            self._forget()
         raw = data.tobytes()
         strings = rows_of_strings(data, starts, ends)
         if any(t in raw for t in self.special):
@@ -83,9 +81,11 @@ class Encoder:
             return starts, ends, row, starts, starts
         hashes = mix64(span_sums(BYTE_CODES[data], starts, ends) + (ends - starts).astype(np.uint64))
         keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        for _ in range(2):  # once more if room for the new ones was made by forgetting
-            if (new := self._new(keys)).any():
-                self._learn(keys[new], data, starts[first[new]], ends[first[new]])
+        if (new := self._new(keys)).any():
+            if len(self.keys) + int(new.sum()) > self.remembered:
+                self._forget()
+                new[:] = True
+            self._learn(keys[new], data, starts[first[new]], ends[first[new]])
         known = self.at[np.searchsorted(self.keys, keys)][which]
         return starts, ends, row, known >> 32, known & 0xFFFFFFFF
 
