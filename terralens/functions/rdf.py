@@ -6,9 +6,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import functions as F
 
+# fixed values: public standard IRIs
 XSD = "http://www.w3.org/2001/XMLSchema#"
 GEO = "http://www.opengis.net/ont/geosparql#"
-CRS84_4326 = "<http://www.opengis.net/def/crs/EPSG/0/4326>"
+EPSG_4326 = "<http://www.opengis.net/def/crs/EPSG/0/4326>"
 
 RDF_TYPE = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>"
 HAS_GEOMETRY = f"<{GEO}hasGeometry>"
@@ -18,9 +19,9 @@ WKT_LITERAL = f"<{GEO}wktLiteral>"
 # subject, predicate, object of one N-Triples line
 TRIPLE_LINE = (
     r'^(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+'
-    r'(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z-]+|\^\^<[^>]*>)?)\s*\.\s*$'
+    r'(<[^>]*>|_:\S+|"(?:[^"\\]++|\\.)*+"(?:@[A-Za-z-]+|\^\^<[^>]*>)?)\s*\.\s*$'
 )
-LITERAL = r'^"((?:[^"\\]|\\.)*)"(?:@([A-Za-z-]+)|\^\^<([^>]*)>)?$'
+LITERAL = r'(?s)^"((?:[^"\\]++|\\.)*+)"(?:@([A-Za-z-]+)|\^\^<([^>]*)>)?$'
 
 
 @dataclass(frozen=True)
@@ -42,15 +43,38 @@ def single_quotes(value):
     return F.translate(value, '"', "'")
 
 
+# fixed values: characters that a quoted literal escapes, the backslash first
+ESCAPES = [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")]
+
+
+def escaped(value):
+    """The text as it stands between the quotes of a literal."""
+    for plain, written in ESCAPES:
+        value = F.replace(value, F.lit(plain), F.lit(written))
+    return value
+
+
+def unescaped(value):
+    """The text that a literal's quoted form stands for."""
+
+    def plain_part(part):
+        for plain, written in ESCAPES[1:]:
+            part = F.replace(part, F.lit(written), F.lit(plain))
+        return part
+
+    # between doubled backslashes every other escape is unambiguous
+    return F.array_join(F.transform(F.split(value, r"\\\\"), plain_part), "\\")
+
+
 def literal(value, datatype=None, lang=None):
-    """``"v"``, ``"v"^^<datatype>`` or ``"v"@lang``; null stays null."""
+    """``"v"``, ``"v"^^<datatype>`` or ``"v"@lang`` with special characters escaped; null stays null."""
     tail = f"@{lang}" if lang else f"^^<{datatype}>" if datatype else ""
-    return F.concat(F.lit('"'), value.cast("string"), F.lit(f'"{tail}'))
+    return F.concat(F.lit('"'), escaped(value.cast("string")), F.lit(f'"{tail}'))
 
 
 def literal_value(term):
-    """Lexical form of a literal, null for IRIs and blank nodes."""
-    return F.when(term.startswith('"'), F.regexp_extract(term, LITERAL, 1))
+    """Text of a literal, null for IRIs and blank nodes."""
+    return F.when(term.startswith('"'), unescaped(F.regexp_extract(term, LITERAL, 1)))
 
 
 def literal_datatype(term):
@@ -69,16 +93,16 @@ def typed_value(term, spark_type):
 
 
 def wkt_literal(wkt):
-    return F.concat(F.lit(f'"{CRS84_4326} '), wkt, F.lit(f'"^^{WKT_LITERAL}'))
+    return F.concat(F.lit(f'"{EPSG_4326} '), wkt, F.lit(f'"^^{WKT_LITERAL}'))
 
 
-def add_crs(predicate, term, crs=CRS84_4326):
+def add_crs(predicate, term, crs=EPSG_4326):
     """Tag WKT literals that lack the CRS; two spaces follow the tag."""
     tagged = F.concat(F.lit(f'"{crs}  '), F.substring(term, 2, 2147483647))
     return F.when((predicate == AS_WKT) & ~term.contains(crs), tagged).otherwise(term)
 
 
-def drop_crs(predicate, term, crs=CRS84_4326):
+def drop_crs(predicate, term, crs=EPSG_4326):
     """Remove the EPSG:4326 tag from WKT literals."""
-    bare = F.concat(F.lit('"'), F.trim(F.replace(term, F.lit(f'"{CRS84_4326}'), F.lit(""))))
+    bare = F.concat(F.lit('"'), F.trim(F.replace(term, F.lit(f'"{EPSG_4326}'), F.lit(""))))
     return F.when((predicate == AS_WKT) & term.contains(crs), bare).otherwise(term)

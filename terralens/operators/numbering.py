@@ -15,7 +15,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 1_000_000
+ROWS_PER_BUCKET = 100_000
 
 
 def seeded_key(seed, *ids):
@@ -32,14 +32,19 @@ def bucket_count(df, rows_per_bucket=ROWS_PER_BUCKET):
     return max(1, math.ceil(df.count() / rows_per_bucket))
 
 
+def _only_bucket(column):
+    """0 for every row, yet a column: joins and windows on a literal lose their key."""
+    return F.pmod(F.xxhash64(column), F.lit(1)).cast("int")
+
+
 def range_bucket(df: DataFrame, column, buckets, name="_bucket") -> DataFrame:
     """Add a bucket number that grows with a numeric column, buckets of similar size."""
     if buckets <= 1:
-        return df.withColumn(name, F.lit(0))
+        return df.withColumn(name, _only_bucket(column))
     probabilities = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set(df.approxQuantile(column, probabilities, 0.25 / buckets)))
     if not cuts:
-        return df.withColumn(name, F.lit(0))
+        return df.withColumn(name, _only_bucket(column))
     splits = [-math.inf, *cuts, math.inf]
     keyed = df.withColumn("_cut", F.col(column).cast("double"))
     model = Bucketizer(splits=splits, inputCol="_cut", outputCol=name)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .numbering import number_in_buckets
+
 # fixed values: request categories with and without an image
 IMAGE_CATEGORIES = ["IMAGE_RETRIEVAL_BY_IMAGE", "BINARY_VISUAL_QA", "IMAGE_SEGMENTATION", "OBJECT_COUNTING", "None"]
 TEXT_CATEGORIES = ["IMAGE_RETRIEVAL_BY_CAPTION", "IMAGE_RETRIEVAL_BY_METADATA", "GEOGRAPHY_QA", "None"]
@@ -181,16 +183,19 @@ def macro_f1(scores: DataFrame, logits="logits", labels="labels", threshold=0.5)
     return per.agg(F.avg(f1).alias("macro_f1"))
 
 
-def dialogue_pairs(turns: DataFrame) -> DataFrame:
-    """Every user turn with the answer that follows it: ``(conv_id, turn, input, answer)``.
+def dialogue_pairs(turns: DataFrame, chunk=1000) -> DataFrame:
+    """Every user turn with the answer if that is the next turn told: ``(conv_id, turn, input, answer)``.
 
-    Joined on the turn number, so a long conversation is spread like any other rows.
+    Turns are numbered by their place in the conversation, so skipped turn numbers lose no answer; a window holds at
+    most ``chunk`` turn numbers of one conversation.
     """
-    users = turns.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("input"))
-    replies = turns.filter(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")
+    keyed = turns.select("conv_id", "turn", "role", "text", F.floor(F.col("turn") / chunk).alias("_part"))
+    placed = number_in_buckets(keyed, ["_part"], ["turn"], name="place", group=["conv_id"])
+    users = placed.filter(F.col("role") == "user").select("conv_id", "turn", "place", F.col("text").alias("input"))
+    replies = placed.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("place") - 1).alias("place"), F.col("text").alias("answer")
     )
-    return users.join(replies, ["conv_id", "turn"], "left")
+    return users.join(replies, ["conv_id", "place"], "left").drop("place")
 
 
 def transcripts(turns: DataFrame, chunk=1000) -> DataFrame:

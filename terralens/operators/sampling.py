@@ -20,16 +20,16 @@ def stratified_split(df: DataFrame, ids, stratum, fraction=0.33, seed=42, rows_p
 
 
 def sample_groups(df: DataFrame, index, n, m, seed=42) -> DataFrame:
-    """n of every m consecutive rows; ``list_no`` 0…n−1 tells the n parallel lists apart.
+    """n of every m rows that follow each other in the order of ``index``; ``list_no`` 0…n−1 tells the n lists apart.
 
-    A group has at most m rows, and rows of an incomplete last group are not used.
+    Groups count rows, not index values, so gaps in the index change nothing. The last group is not used if it is
+    short. A group has at most m rows.
     """
-    group = F.floor(F.col(index) / m)
+    keyed = numbering.number_by_id(df, index, name="_row").withColumn("_g", F.floor(F.col("_row") / m))
     order = Window.partitionBy("_g").orderBy(numbering.seeded_key(seed, index), index)
-    keyed = df.withColumn("_g", group)
     picked = keyed.withColumn("list_no", F.row_number().over(order) - 1)
     picked = picked.withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy("_g")))
-    return picked.filter((F.col("_m") == m) & (F.col("list_no") < n)).drop("_g", "_m")
+    return picked.filter((F.col("_m") == m) & (F.col("list_no") < n)).drop("_g", "_m", "_row")
 
 
 def shuffled(df: DataFrame, ids, seed=42, name="place") -> DataFrame:

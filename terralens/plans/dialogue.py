@@ -201,12 +201,13 @@ def dat_01(spark, sf):
 
 @CAT.add(
     "win_08",
-    """SELECT u.conv_id, u.turn, u.text AS input, a.text AS answer FROM conversations u LEFT JOIN conversations a
-ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'""",
+    """WITH n AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn * 3 + turn // 2 AS turn, text AS input, CASE WHEN next_role = 'assistant' THEN next_text END AS answer FROM n WHERE role = 'user'""",
 )
 def win_08(spark, sf):
-    """Each user turn with the answer that follows."""
-    return R.dialogue_pairs(table(spark, sf, "conversations"))
+    """Each user turn with the answer that follows; the turn numbers have gaps."""
+    turns = table(spark, sf, "conversations").withColumn("turn", (F.col("turn") * 3 + F.floor(F.col("turn") / 2)).cast("bigint"))
+    return R.dialogue_pairs(turns)
 
 
 @CAT.add(

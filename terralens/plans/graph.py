@@ -220,7 +220,7 @@ _TERMS = {
         ("<n/hasGADM_Name>", "'\"' || s_name || '\"'", "true"),
         ("<o/isHarbour>", "'\"yes\"'", "true"),
         ("<o/hasSeamarkType>", "'\"''harbour''\"'", "s_suppkey % 2 = 0"),
-        ("<o/hasSource>", "'\"a \"survey\"\"'", "true"),
+        ("<o/hasSource>", "'\"a \\\"survey\\\"\"'", "true"),
     ],
     "river": [
         ("<n/hasGADM_Name>", "'\"' || n_name || '\"'", "true"),
@@ -249,7 +249,7 @@ def entity_sql(cls, kinds=("type", "props", "geo")):
         wkt = SQL_POINT.format(k=geo[0])
         parts.append(f"SELECT {s} AS s, '{rdf.HAS_GEOMETRY}' AS p, {node} AS o FROM {source} WHERE {geo[1]}")
         parts.append(
-            f"SELECT {node} AS s, '{rdf.AS_WKT}' AS p, '\"{rdf.CRS84_4326} ' || {wkt} || '\"^^{rdf.WKT_LITERAL}' AS o FROM {source} WHERE {geo[1]}"
+            f"SELECT {node} AS s, '{rdf.AS_WKT}' AS p, '\"{rdf.EPSG_4326} ' || {wkt} || '\"^^{rdf.WKT_LITERAL}' AS o FROM {source} WHERE {geo[1]}"
         )
     return " UNION ALL ".join(parts)
 
@@ -303,7 +303,14 @@ def prj_04(spark, sf):
     return pairs_of(entities(spark, sf, "poi"), "poi", T.name_pairs("poi", VOC))
 
 
-@CAT.add("prj_05", """SELECT doc_id, '"' || replace(text, '"', '''') || '"' AS o FROM documents""")
+# the text of a quoted literal: backslash, quote, line feed, carriage return and tab escaped
+SQL_ESCAPED = (
+    "replace(replace(replace(replace(replace({x}, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)), "
+    "chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't')"
+)
+
+
+@CAT.add("prj_05", f"SELECT doc_id, chr(34) || {SQL_ESCAPED.format(x='replace(text, chr(34), chr(39))')} || chr(34) AS o FROM documents")
 def prj_05(spark, sf):
     """Double quotes become single ones inside literals."""
     return table(spark, sf, "documents").select("doc_id", rdf.literal(rdf.single_quotes(F.col("text"))).alias("o"))
@@ -396,7 +403,7 @@ def crs_terms(spark, sf):
     c = table(spark, sf, "customer")
     wkt = point_wkt("c_custkey")
     bare = F.concat(F.lit('"'), wkt, F.lit('"'))
-    o = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit(f'"{rdf.CRS84_4326} '), wkt, F.lit('"'))).otherwise(bare)
+    o = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit(f'"{rdf.EPSG_4326} '), wkt, F.lit('"'))).otherwise(bare)
     geo = c.select(rdf.iri("r/g", F.col("c_custkey")).alias("s"), F.lit(rdf.AS_WKT).alias("p"), o.alias("o"))
     names = c.select(rdf.iri("r/c", F.col("c_custkey")).alias("s"), F.lit("<o/name>").alias("p"), rdf.literal(F.col("c_name")).alias("o"))
     return geo.unionByName(names)
@@ -407,7 +414,7 @@ SQL_CRS = f"""WITH w AS (SELECT c_custkey, {SQL_POINT.format(k='c_custkey')} AS
 
 @CAT.add(
     "str_08",
-    SQL_CRS + f"""SELECT '<r/g' || c_custkey || '>' AS s, '{rdf.AS_WKT}' AS p, CASE WHEN c_custkey % 3 = 0 THEN '"{rdf.CRS84_4326} ' ELSE '"{rdf.CRS84_4326}  ' END || wkt || '"' AS o FROM w
+    SQL_CRS + f"""SELECT '<r/g' || c_custkey || '>' AS s, '{rdf.AS_WKT}' AS p, CASE WHEN c_custkey % 3 = 0 THEN '"{rdf.EPSG_4326} ' ELSE '"{rdf.EPSG_4326}  ' END || wkt || '"' AS o FROM w
 UNION ALL SELECT '<r/c' || c_custkey || '>', '<o/name>', '"' || c_name || '"' FROM w""",
 )
 def str_08(spark, sf):

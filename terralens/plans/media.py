@@ -303,12 +303,14 @@ def set_05(spark, sf):
 
 @CAT.add(
     "win_03",
-    """WITH g AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderkey // 4 ORDER BY md5('42:' || o_orderkey), o_orderkey) - 1 AS r, count(*) OVER (PARTITION BY o_orderkey // 4) AS m FROM orders)
-SELECT o_orderkey, r::INTEGER AS list_no FROM g WHERE m = 4 AND r < 2""",
+    """WITH i AS (SELECT o_orderkey + o_orderkey // 5 * 2 AS idx, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders),
+g AS (SELECT idx, row_number() OVER (PARTITION BY place // 4 ORDER BY md5('42:' || idx), idx) - 1 AS r, count(*) OVER (PARTITION BY place // 4) AS m FROM i)
+SELECT idx, r::INTEGER AS list_no FROM g WHERE m = 4 AND r < 2""",
 )
 def win_03(spark, sf):
-    """Two of every four consecutive rows, as two parallel lists."""
-    return S.sample_groups(images(spark, sf).select("o_orderkey"), "o_orderkey", 2, 4)
+    """Two of every four consecutive rows, as two parallel lists; the index has gaps."""
+    gaps = images(spark, sf).select((F.col("o_orderkey") + F.floor(F.col("o_orderkey") / 5) * 2).alias("idx"))
+    return S.sample_groups(gaps, "idx", 2, 4)
 
 
 @CAT.add("win_05", "WITH g AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders) SELECT o_orderkey FROM g WHERE r % 5 = 0")

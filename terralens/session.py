@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 import zipfile
 
@@ -38,12 +37,15 @@ def build_session(app="terralens", master=None, shuffle_partitions=None):
 def scratch_dir(spark, name):
     """A new folder under the cluster's shared ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local runs) a temporary folder is used.
+    A local session without that setting uses its ``spark.local.dir``; on a cluster the setting is required, as
+    executors do not see each other's folders.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/terralens-{name}-{uuid.uuid4().hex}"
-    return os.path.join(tempfile.mkdtemp(prefix="terralens-"), name)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = spark.conf.get("spark.local.dir", "/tmp").split(",")[0]
+    return f"{shared.rstrip('/')}/terralens-{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df, name):

@@ -23,11 +23,21 @@ CAPTIONS = (
 )
 
 
-def json_documents(spark, path, schema) -> DataFrame:
-    """One document per file; malformed files are dropped."""
+def _documents(spark, path, schema):
     full = f"{schema}, _corrupt STRING"
     reader = spark.read.schema(full).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt")
-    return reader.json(path).filter(F.col("_corrupt").isNull()).drop("_corrupt")
+    return reader.json(path)
+
+
+def json_documents(spark, path, schema) -> DataFrame:
+    """One document per file; ``malformed_documents`` tells which files are passed over."""
+    return _documents(spark, path, schema).filter(F.col("_corrupt").isNull()).drop("_corrupt")
+
+
+def malformed_documents(spark, path, schema=ENTITY) -> DataFrame:
+    """``(file, text)`` of the files that hold no document of the schema."""
+    docs = _documents(spark, path, schema).select("_corrupt", F.col("_metadata.file_path").alias("file"))
+    return docs.filter(F.col("_corrupt").isNotNull()).select("file", F.col("_corrupt").alias("text"))
 
 
 def entity_documents(spark, root) -> DataFrame:
@@ -81,6 +91,11 @@ def ordered_ntriples(spark, paths) -> DataFrame:
     ).filter(F.col("s").isNotNull())
 
 
+def malformed_lines(spark, paths) -> DataFrame:
+    """The lines of N-Triples files that are no triple."""
+    return ntriples(spark, paths, keep_corrupt=True).filter(F.col("_corrupt").isNotNull()).select(F.col("_corrupt").alias("value"))
+
+
 def graph_bundles(spark, paths) -> DataFrame:
     """The published graph: all bundles in one scan, gzip included."""
     return ntriples(spark, list(paths))

@@ -58,7 +58,7 @@ def test_pair_names(spark):
 def test_crs_tag_round_trip(spark):
     df = spark.createDataFrame([(rdf.AS_WKT, '"POINT (1 2)"'), ("<p>", '"x"')], "p string, o string")
     tagged = df.withColumn("o", rdf.add_crs(F.col("p"), F.col("o")))
-    assert dict(rows(tagged))[rdf.AS_WKT] == f'"{rdf.CRS84_4326}  POINT (1 2)"'
+    assert dict(rows(tagged))[rdf.AS_WKT] == f'"{rdf.EPSG_4326}  POINT (1 2)"'
     assert rows(tagged.withColumn("o", rdf.add_crs(F.col("p"), F.col("o")))) == rows(tagged)
     assert rows(tagged.withColumn("o", rdf.drop_crs(F.col("p"), F.col("o")))) == rows(df)
 
@@ -94,7 +94,7 @@ def test_entity_files(spark, tmp_path):
         ("<r/n1>", "<o/isInCity>", '"X"'),
         ("<r/n1>", "<o/wikilink>", "<w/Q1>"),
         ("<r/n1>", rdf.HAS_GEOMETRY, "<r/Geometry_poi_n1>"),
-        ("<r/Geometry_poi_n1>", rdf.AS_WKT, f'"{rdf.CRS84_4326} POINT (1.5 2)"^^{rdf.WKT_LITERAL}'),
+        ("<r/Geometry_poi_n1>", rdf.AS_WKT, f'"{rdf.EPSG_4326} POINT (1.5 2)"^^{rdf.WKT_LITERAL}'),
     }
 
 
