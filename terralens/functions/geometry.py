@@ -26,29 +26,95 @@ SIDE_OF_CELL = {
     7: "lower",
     8: "lower-right",
 }
-WKT_BODY = r"(MULTIPOLYGON|POLYGON|LINESTRING|POINT)\s*(\([-+0-9eE.,()\s]*\))"
+# up to three levels of parentheses, read without going back
+_BODY = r"\([^()]*+(?:\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)[^()]*+)*+\)"
+_SIMPLE = "MULTIPOLYGON|MULTILINESTRING|MULTIPOINT|POLYGON|LINESTRING|POINT"
+MEMBER = rf"(?i)({_SIMPLE})\s*(?:ZM|Z|M)?\s*({_BODY}|EMPTY)"
+COLLECTION = r"(?i)^GEOMETRYCOLLECTION\b"
+# what is left of a collection once its members are gone
+_FRAME = r"(?i)^(?:GEOMETRYCOLLECTION\s*(?:ZM|Z|M)?|EMPTY|[\s,()])*+$"
+_NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
+_VERTEX = rf"({_NUMBER})\s+({_NUMBER})(?:\s+{_NUMBER})*+"
+PART = f"struct<kind:string,rings:{RINGS}>"
 
 
 def point(x, y):
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
+def _bare(wkt):
+    """The text without quotes, CRS tag, datatype and blanks around it."""
+    return F.regexp_replace(F.regexp_replace(wkt, r'^\s*"?\s*(?:<[^>]*>)?\s*', ""), r'\s*"?\s*(?:\^\^<[^>]*>|@[\w-]+)?\s*$', "")
+
+
+def _members(text):
+    """``(kind, body)`` of every simple geometry of a bare text."""
+    kinds = F.regexp_extract_all(text, F.lit(MEMBER), F.lit(1))
+    bodies = F.regexp_extract_all(text, F.lit(MEMBER), F.lit(2))
+    return F.arrays_zip(F.transform(kinds, F.upper).alias("kind"), bodies.alias("body"))
+
+
+def _coordinates(body, depth):
+    nested = F.translate(F.regexp_replace(body, _VERTEX, '{"$1","$2"}'), "(){}", "[][]")
+    return F.from_json(nested, "array<" * depth + "string" + ">" * depth)
+
+
+def _line(pairs):
+    return F.transform(pairs, lambda c: point(c[0].try_cast("double"), c[1].try_cast("double")))
+
+
+def _parts(member):
+    """The member's points, lines and polygons, each with its rings; null where its text is no geometry."""
+    name, body = member["kind"], member["body"]
+
+    def part(kind_name, rings):
+        return F.struct(F.lit(kind_name).alias("kind"), rings.alias("rings"))
+
+    flat, lines, polygons = _coordinates(body, 2), _coordinates(body, 3), _coordinates(body, 4)
+    own = (
+        F.when(F.upper(body) == "EMPTY", F.array().cast(f"array<{PART}>"))
+        .when(name == "POINT", F.array(part("POINT", F.array(_line(flat)))))
+        .when(name == "LINESTRING", F.array(part("LINESTRING", F.array(_line(flat)))))
+        .when(name == "POLYGON", F.array(part("POLYGON", F.transform(lines, _line))))
+        .when(name == "MULTILINESTRING", F.transform(lines, lambda l: part("LINESTRING", F.array(_line(l)))))
+        .when(name == "MULTIPOLYGON", F.transform(polygons, lambda p: part("POLYGON", F.transform(p, _line))))
+        .when(body.rlike(r"^\(\s*\("), F.transform(lines, lambda l: part("POINT", F.array(_line(l)))))
+        .otherwise(F.transform(flat, lambda p: part("POINT", F.array(F.array(point(p[0].try_cast("double"), p[1].try_cast("double")))))))
+    )
+    broken = F.exists(own, lambda p: p["rings"].isNull() | F.exists(p["rings"], lambda r: r.isNull() | F.exists(r, lambda v: v["x"].isNull() | v["y"].isNull())))
+    return F.when(~broken, own)
+
+
 def kind(wkt):
-    """POINT, LINESTRING, POLYGON or MULTIPOLYGON; null for anything else."""
-    return F.nullif(F.regexp_extract(wkt, WKT_BODY, 1), F.lit(""))
+    """The geometry kind in capitals; null for anything that is no WKT of the seven kinds."""
+    return geometry(wkt)["kind"]
 
 
-def parse_wkt(wkt):
-    """Rings of a WKT text, with or without quotes, CRS tag and datatype; null when unsupported."""
-    body = F.nullif(F.regexp_extract(wkt, WKT_BODY, 2), F.lit(""))
-    flat = F.translate(F.regexp_replace(body, r"\)\s*,\s*\(", ";"), "()", "")
-    # ")),((" leaves ";" between polygons as well, since the parentheses around it are removed
+def geometry(wkt):
+    """``struct(kind, parts)`` of a WKT text of any of the seven kinds, in any case, with or without quotes, CRS tag and
+    datatype; third and fourth coordinates are left out, EMPTY has no parts, nested collections are flattened.
+
+    Null when the text as a whole is no such geometry, so callers can put the row aside.
+    """
 
-    def to_point(text):
-        xy = F.split(F.trim(text), r"\s+")
-        return point(xy[0].try_cast("double"), xy[1].try_cast("double"))
+    def of(bare):
+        def read(members):
+            collection = bare.rlike(COLLECTION)
+            rest = F.regexp_replace(bare, MEMBER, "")
+            sound = F.when(collection, rest.rlike(_FRAME)).otherwise((F.trim(rest) == "") & (F.size(members) == 1))
+            parts = F.transform(members, _parts)
+            whole = F.when(sound & ~F.exists(parts, lambda p: p.isNull()), F.flatten(parts))
+            name = F.when(collection, F.lit("GEOMETRYCOLLECTION")).otherwise(members[0]["kind"])
+            return F.when(whole.isNotNull(), F.struct(name.alias("kind"), whole.alias("parts")))
 
-    return F.transform(F.split(flat, ";"), lambda ring: F.transform(F.split(ring, ","), to_point))
+        return let(_members(bare), read)
+
+    return let(_bare(wkt), of)
+
+
+def parse_wkt(wkt):
+    """All rings, lines and points of a WKT text, one after the other; null when it is no geometry."""
+    return F.flatten(F.transform(geometry(wkt)["parts"], lambda p: p["rings"]))
 
 
 def number_text(x):
@@ -66,7 +132,7 @@ def to_wkt(rings, shape):
     each = F.array_join(F.transform(rings, lambda r: F.concat(F.lit("(("), ring_text(r), F.lit("))"))), ", ")
     return (
         F.when(shape.isin("POINT", "LINESTRING"), F.concat(shape, F.lit(" "), parts))
-        .when(shape == "POLYGON", F.concat(F.lit("POLYGON ("), parts, F.lit(")")))
+        .when(shape.isin("POLYGON", "MULTILINESTRING", "MULTIPOINT"), F.concat(shape, F.lit(" ("), parts, F.lit(")")))
         .when(shape == "MULTIPOLYGON", F.concat(F.lit("MULTIPOLYGON ("), each, F.lit(")")))
     )
 
@@ -76,7 +142,7 @@ def _points(coordinates):
 
 
 def geojson_rings(geojson):
-    """Rings of a GeoJSON geometry text."""
+    """Rings of a GeoJSON geometry text; null for a collection."""
     shape = F.get_json_object(geojson, "$.type")
     raw = F.get_json_object(geojson, "$.coordinates")
 
@@ -87,13 +153,14 @@ def geojson_rings(geojson):
     return (
         F.when(shape == "Point", F.array(F.array(point(one[0], one[1]))))
         .when(shape == "LineString", F.array(_points(coords(2))))
+        .when(shape == "MultiPoint", F.transform(coords(2), lambda c: F.array(point(c[0], c[1]))))
+        .when(shape == "MultiLineString", F.transform(coords(3), _points))
         .when(shape == "Polygon", F.transform(coords(3), _points))
         .when(shape == "MultiPolygon", F.flatten(F.transform(coords(4), lambda p: F.transform(p, _points))))
     )
 
 
-def geojson_to_wkt(geojson):
-    """GeoJSON geometry text → WKT text."""
+def _simple_geojson_to_wkt(geojson):
     shape = F.upper(F.get_json_object(geojson, "$.type"))
     raw = F.get_json_object(geojson, "$.coordinates")
     nested = F.transform(
@@ -109,6 +176,20 @@ def geojson_to_wkt(geojson):
     )
 
 
+def geojson_members(geojson):
+    """The geometry texts of a GeoJSON collection."""
+    return F.from_json(F.get_json_object(geojson, "$.geometries"), "array<string>")
+
+
+def geojson_to_wkt(geojson):
+    """GeoJSON geometry text of any kind → WKT text; null where it, or a member of the collection, is no geometry."""
+    members = F.transform(geojson_members(geojson), _simple_geojson_to_wkt)
+    collection = F.when(
+        ~F.exists(members, lambda m: m.isNull()), F.concat(F.lit("GEOMETRYCOLLECTION ("), F.array_join(members, ", "), F.lit(")"))
+    )
+    return F.when(F.get_json_object(geojson, "$.type") == "GeometryCollection", collection).otherwise(_simple_geojson_to_wkt(geojson))
+
+
 def line_from_geojson(geojson):
     """LineString → its points; Point → the point twice."""
     rings = geojson_rings(geojson)
@@ -132,8 +213,20 @@ def ring_area(ring):
     return F.abs(signed_area(ring))
 
 
-def area(rings):
-    return F.aggregate(F.transform(rings, ring_area), F.lit(0.0), lambda acc, a: acc + a)
+def area(parts):
+    """Area of a geometry's parts: the outer ring less the holes of each polygon; points and lines have none."""
+
+    def of(part):
+        rings = F.transform(part["rings"], ring_area)
+        holes = F.aggregate(F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0))), F.lit(0.0), lambda acc, a: acc + a)
+        return F.when((part["kind"] == "POLYGON") & (F.size(rings) > 0), rings[0] - holes).otherwise(0.0)
+
+    return F.aggregate(F.transform(parts, of), F.lit(0.0), lambda acc, a: acc + a)
+
+
+def wkt_area(wkt):
+    """Area of a WKT geometry; null when the text is none."""
+    return area(geometry(wkt)["parts"])
 
 
 def centroid(ring):

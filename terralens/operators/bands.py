@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 
-# fixed values: band combinations by name and by count
+# fixed values: band combinations by name; each is also known by its number of bands
 S1_BANDS = ["VH", "VV"]
 S2_BANDS = ["B02", "B03", "B04", "B08", "B05", "B06", "B07", "B11", "B12", "B8A"]
 RGB_BANDS = ["B04", "B03", "B02"]
@@ -18,25 +18,19 @@ COMBINATIONS = {
     "10m20m": S2_BANDS + S1_BANDS,
     "RGB": RGB_BANDS,
     "RGB-IR": RGB_BANDS + ["B08"],
-    2: S1_BANDS,
-    10: S2_BANDS,
-    12: S2_BANDS + S1_BANDS,
-    3: RGB_BANDS,
-    4: RGB_BANDS + ["B08"],
 }
-KNOWN_BANDS = ["B01", "B02", "B03", "B04", "B05", "B06", "B07", "B08", "B8A", "B09", "B11", "B12", "VH", "VV"]
+# fixed values: bands outside every combination
+OTHER_BANDS = ["B01", "B09"]
+KNOWN_BANDS = sorted({b for names in COMBINATIONS.values() for b in names} | set(OTHER_BANDS))
 
 
 def resolve(bands):
-    """Band names of a combination name, a count or a list; anything unknown raises."""
-    if isinstance(bands, (str, int)):
-        if bands not in COMBINATIONS:
-            raise ValueError(f"unknown band combination {bands!r}")
-        bands = COMBINATIONS[bands]
-    unknown = [b for b in bands if b not in KNOWN_BANDS]
-    if unknown:
-        raise ValueError(f"unknown bands {unknown}")
-    return list(bands)
+    """Band names of a combination's name, its number of bands, or a list of names; a ValueError for anything else."""
+    by_key = COMBINATIONS | {len(names): names for names in COMBINATIONS.values()}
+    chosen = by_key.get(bands, [bands]) if isinstance(bands, (str, int)) else list(bands)
+    if not set(chosen) <= set(KNOWN_BANDS):
+        raise ValueError(f"no bands or combination of bands: {bands!r}")
+    return list(chosen)
 
 
 def select_bands(patch_map, bands):

@@ -56,7 +56,7 @@ def largest_geometry(triples: DataFrame) -> DataFrame:
     ``triples(s, p, o, ord)``; all other triples pass through.
     """
     wkt = triples.filter(F.col("p") == rdf.AS_WKT)
-    area = G.area(G.parse_wkt(F.col("o")))
+    area = G.wkt_area(F.col("o"))
     best = wkt.groupBy("s").agg(F.max_by("o", F.struct(F.coalesce(area, F.lit(0.0)), F.col("ord"))).alias("o"))
     others = triples.filter(F.col("p") != rdf.AS_WKT).select("s", "p", "o")
     return others.unionByName(best.select("s", F.lit(rdf.AS_WKT).alias("p"), "o"))

@@ -87,11 +87,33 @@ def _is_box(rings):
     return rectangle
 
 
+SUPPORTED = ("POINT", "LINESTRING", "POLYGON", "MULTIPOLYGON")
+
+
+def _read(df, id_col, wkt_col):
+    read = df.select(F.col(id_col).alias("id"), F.col(wkt_col).alias("wkt"), G.geometry(F.col(wkt_col)).alias("g"))
+    reason = (
+        F.when(F.col("g").isNull(), "no geometry")
+        .when(~F.col("g.kind").isin(*SUPPORTED), "kind without relations")
+        .when(F.size("g.parts") == 0, "empty")
+        .when(F.exists("g.parts", lambda p: F.size(p["rings"]) > 1), "holes")
+    )
+    return read.withColumn("reason", reason)
+
+
+def put_aside(df: DataFrame, id_col, wkt_col) -> DataFrame:
+    """``id, wkt, reason`` of the rows that ``prepare`` leaves out."""
+    return _read(df, id_col, wkt_col).filter(F.col("reason").isNotNull()).select("id", "wkt", "reason")
+
+
 def prepare(df: DataFrame, id_col, wkt_col) -> DataFrame:
-    """``id, rings, shape, box, plain`` of supported WKT rows; ``plain`` marks points and rectangles."""
-    parsed = df.select(
-        F.col(id_col).alias("id"), G.parse_wkt(F.col(wkt_col)).alias("rings"), G.kind(F.col(wkt_col)).alias("shape")
-    ).filter(F.col("rings").isNotNull() & ~F.exists(F.flatten("rings"), lambda p: p["x"].isNull() | p["y"].isNull()))
+    """``id, rings, shape, box, plain`` of the WKT rows that have relations; ``plain`` marks points and rectangles.
+
+    Points, lines, polygons without holes and multipolygons of such; ``put_aside`` gives the others with the reason.
+    """
+    parsed = _read(df, id_col, wkt_col).filter(F.col("reason").isNull()).select(
+        "id", F.flatten(F.transform("g.parts", lambda p: p["rings"])).alias("rings"), F.col("g.kind").alias("shape")
+    )
     plain = (F.col("shape") == "POINT") | ((F.col("shape") == "POLYGON") & _is_box(F.col("rings")))
     return parsed.withColumn("box", G.bounds(F.col("rings"))).withColumn("plain", plain)
 
@@ -510,6 +532,14 @@ def beside(left: DataFrame, right: DataFrame, by, direction) -> DataFrame:
     return left.join(limit, by).filter(keep).drop("limit")
 
 
+def river_wkt(geojson):
+    """A river's GeoJSON, a collection of lines and points or one of them, as zero-width polygons of its maximal lines."""
+    members = F.coalesce(G.geojson_members(geojson), F.array(geojson))
+    lines = F.filter(F.transform(members, G.line_from_geojson), lambda l: l.isNotNull())
+    merged = merge_lines(lines)
+    return F.when(F.size(merged) > 0, G.to_wkt(F.transform(merged, G.thin_polygon), F.lit("MULTIPOLYGON")))
+
+
 def merge_lines(lines):
     """Maximal lines of an entity's segments, each joined at end points shared by exactly two.
 

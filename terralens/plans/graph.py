@@ -10,6 +10,7 @@ from ..operators import dedup as D
 from ..operators import numbering as N
 from ..operators import patterns as P
 from ..operators import triples as T
+from ..operators.spatial import river_wkt
 from .common import Catalogue, rounded, table
 
 CAT = Catalogue()
@@ -95,6 +96,14 @@ def point_wkt(key):
 SQL_POINT = "'POINT (' || (({k} * 37) % 360 - 180) || ' ' || (({k} * 17) % 180 - 90) || ')'"
 
 
+def river_geojson(x):
+    """A river's document: two lines that meet, the second told backwards, and a lone point."""
+    return F.concat(
+        F.lit('{"type":"GeometryCollection","geometries":[{"type":"LineString","coordinates":[['), x,
+        F.lit(',50],[60,51]]},{"type":"LineString","coordinates":[[70,53],[60,51]]},{"type":"Point","coordinates":[80,1]}]}'),
+    )
+
+
 def entities(spark, sf, cls):
     """Catalogue documents of one class, derived from the tables."""
     if cls == "sentinel1":
@@ -110,7 +119,9 @@ def entities(spark, sf, cls):
                 orbitDirection=F.when(F.col("o_orderstatus") == "F", F.lit("ASCENDING")),
             ).alias("properties"),
             F.create_map(F.lit("QUICKLOOK"), F.struct(href.alias("href"))).alias("assets"),
-            F.lit(None).cast("string").alias("wkt"),
+            G.geojson_to_wkt(
+                F.format_string('{"type":"Polygon","coordinates":[[[%1$s,0],[%1$s,5],[200,5],[%1$s,0]]]}', (F.col("o_orderkey") % 100).cast("string"))
+            ).alias("wkt"),
         )
     if cls == "sentinel2":
         e = table(spark, sf, "events")
@@ -168,7 +179,7 @@ def entities(spark, sf, cls):
                 waterway=F.lit("river"),
                 wikidata=F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("Q"), F.col("n_nationkey").cast("string"))),
             ).alias("properties"),
-            F.lit(None).cast("string").alias("wkt"),
+            river_wkt(river_geojson(F.col("n_nationkey").cast("string"))).alias("wkt"),
         )
     return table(spark, sf, "region").select(
         F.col("r_regionkey").cast("string").alias("id"),
@@ -179,13 +190,17 @@ def entities(spark, sf, cls):
 
 CLASSES = ("sentinel1", "sentinel2", "poi", "port", "river", "sea")
 _ID = {
-    "sentinel1": ("orders", "'s1_' || o_orderkey", None),
+    "sentinel1": ("orders", "'s1_' || o_orderkey", ("o_orderkey", "true")),
     "sentinel2": ("events", "'s2_' || event_id", ("event_id", "event_id % 4 <> 0")),
     "poi": ("customer", "'poi_' || c_custkey", ("c_custkey", "true")),
     "port": ("supplier", "'port_' || s_suppkey", ("s_suppkey", "true")),
-    "river": ("nation", "'river_' || n_nationkey", None),
+    "river": ("nation", "'river_' || n_nationkey", ("n_nationkey", "true")),
     "sea": ("region", "r_regionkey", ("r_regionkey", "true")),
 }
+_WKT = {
+    "sentinel1": "'POLYGON ((' || ({k} % 100) || ' 0, ' || ({k} % 100) || ' 5, 200 5, ' || ({k} % 100) || ' 0))'",
+    "river": "'MULTIPOLYGON (((' || {k} || ' 50, 60 51, 70 53, 70 53, 60 51, ' || {k} || ' 50, ' || {k} || ' 50)))'",
+}
 _Q = "'\"'"
 # predicate, SQL term per class
 _TERMS = {
@@ -246,7 +261,7 @@ def entity_sql(cls, kinds=("type", "props", "geo")):
     if "props" in kinds:
         parts += [f"SELECT {s} AS s, '{p}' AS p, {o} AS o FROM {source} WHERE {w}" for p, o, w in _TERMS[cls]]
     if "geo" in kinds and geo:
-        wkt = SQL_POINT.format(k=geo[0])
+        wkt = _WKT.get(cls, SQL_POINT).format(k=geo[0])
         parts.append(f"SELECT {s} AS s, '{rdf.HAS_GEOMETRY}' AS p, {node} AS o FROM {source} WHERE {geo[1]}")
         parts.append(
             f"SELECT {node} AS s, '{rdf.AS_WKT}' AS p, '\"{rdf.EPSG_4326} ' || {wkt} || '\"^^{rdf.WKT_LITERAL}' AS o FROM {source} WHERE {geo[1]}"
@@ -334,10 +349,10 @@ def prj_08(spark, sf):
     return T.graph([pairs_of(entities(spark, sf, c), c, T.wiki_pairs(c, VOC)) for c in ("poi", "river")])
 
 
-@CAT.add("prj_09", " UNION ALL ".join(entity_sql(c, ("geo",)) for c in ("sentinel2", "poi", "port", "sea")))
+@CAT.add("prj_09", " UNION ALL ".join(entity_sql(c, ("geo",)) for c in CLASSES))
 def prj_09(spark, sf):
     """Geometry node pairs."""
-    return T.graph([T.geometry_triples(entities(spark, sf, c), c, VOC) for c in ("sentinel2", "poi", "port", "sea")])
+    return T.graph([T.geometry_triples(entities(spark, sf, c), c, VOC) for c in CLASSES])
 
 
 WIDE = {

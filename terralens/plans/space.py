@@ -73,23 +73,29 @@ SQL_SQ = "sq AS (SELECT o_orderkey, (o_orderkey % 100)::DOUBLE AS cx, (o_orderke
 @CAT.add(
     "geo_01",
     """WITH k AS (SELECT o_orderkey, o_orderkey % 100 AS x, o_orderkey % 37 AS y FROM orders)
-SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'POINT (' || x || ' ' || y || ')' WHEN 1 THEN 'LINESTRING (' || x || ' ' || y || ', ' || (x + 1) || '.5 ' || y || ')'
+SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'POINT (' || x || ' ' || y || ')' WHEN 1 THEN 'LINESTRING (' || x || ' ' || y || ', ' || (x + 1) || '.5 ' || y || ')'
  WHEN 2 THEN 'POLYGON ((' || x || ' ' || y || ', ' || (x + 1) || ' ' || y || ', ' || x || ' ' || (y + 1) || ', ' || x || ' ' || y || '))'
+ WHEN 3 THEN 'MULTIPOINT ((' || x || ' ' || y || '), (1 2))' WHEN 4 THEN 'MULTILINESTRING ((' || x || ' ' || y || ', 1 2), (3 4, 5 6))'
+ WHEN 5 THEN 'GEOMETRYCOLLECTION (POINT (' || x || ' ' || y || '), LINESTRING (0 0, 1 1))'
  ELSE 'MULTIPOLYGON (((' || x || ' ' || y || ', ' || (x + 1) || ' ' || y || ', ' || x || ' ' || y || ')), ((0 0, 1 0, 0 0)))' END AS wkt FROM k""",
 )
 def geo_01(spark, sf):
-    """GeoJSON text → WKT."""
+    """GeoJSON text of all kinds → WKT."""
     x, y = (F.col("o_orderkey") % 100).cast("string"), (F.col("o_orderkey") % 37).cast("string")
     x1, y1 = (F.col("o_orderkey") % 100 + 1).cast("string"), (F.col("o_orderkey") % 37 + 1).cast("string")
 
     def text(kind, form, *args):
         return F.format_string('{"type":"' + kind + '","coordinates":' + form + "}", *args)
 
-    k = F.col("o_orderkey") % 4
+    k = F.col("o_orderkey") % 7
+    both = F.concat(text("Point", "[%s,%s]", x, y), F.lit(',{"type":"LineString","coordinates":[[0,0],[1,1]]}'))
     gj = (
         F.when(k == 0, text("Point", "[%s,%s]", x, y))
         .when(k == 1, text("LineString", "[[%s,%s],[%s.5,%s.0]]", x, y, x1, y))
         .when(k == 2, text("Polygon", "[[[%s,%s],[%s,%s],[%s,%s],[%s,%s]]]", x, y, x1, y, x, y1, x, y))
+        .when(k == 3, text("MultiPoint", "[[%s,%s],[1,2]]", x, y))
+        .when(k == 4, text("MultiLineString", "[[[%s,%s],[1,2]],[[3,4],[5,6]]]", x, y))
+        .when(k == 5, F.concat(F.lit('{"type":"GeometryCollection","geometries":['), both, F.lit("]}")))
         .otherwise(text("MultiPolygon", "[[[[%s,%s],[%s,%s],[%s,%s]]],[[[0,0],[1,0],[0,0]]]]", x, y, x1, y, x, y))
     )
     return table(spark, sf, "orders").select("o_orderkey", G.geojson_to_wkt(gj).alias("wkt"))
@@ -258,11 +264,27 @@ def geo_14(spark, sf):
     )
 
 
-@CAT.add("geo_15", f"WITH {SQL_SQ} SELECT o_orderkey, round(2 * h * h, 6) AS area FROM sq")
+@CAT.add(
+    "geo_15",
+    f"""WITH {SQL_SQ} SELECT o_orderkey, round(CASE o_orderkey % 5 WHEN 0 THEN 2 * h * h WHEN 1 THEN 1.5 * h * h WHEN 2 THEN 0 WHEN 3 THEN 2 * h * h + 1.5 * h * h END, 6) AS area,
+CASE o_orderkey % 5 WHEN 0 THEN 'POLYGON' WHEN 1 THEN 'POLYGON' WHEN 2 THEN 'LINESTRING' WHEN 3 THEN 'GEOMETRYCOLLECTION' END AS kind FROM sq""",
+)
 def geo_15(spark, sf):
-    """Area of a WKT polygon."""
-    wkt = F.concat(F.lit('"'), G.to_wkt(F.array("ring"), F.lit("POLYGON")), F.lit('"'))
-    return squares(spark, sf).select("o_orderkey", F.round(G.area(G.parse_wkt(wkt)), 6).alias("area"))
+    """Area of WKT geometries: a square, one with a hole, an open line, a collection of all, and a text that is none."""
+    h = F.col("h") / 2
+    hole = F.array(G.point(F.col("cx") + h, F.col("cy")), G.point(F.col("cx"), F.col("cy") + h), G.point(F.col("cx") - h, F.col("cy")), G.point(F.col("cx"), F.col("cy") - h), G.point(F.col("cx") + h, F.col("cy")))
+    square = G.to_wkt(F.array("ring"), F.lit("POLYGON"))
+    with_hole = G.to_wkt(F.array(F.col("ring"), hole), F.lit("POLYGON"))
+    line = G.to_wkt(F.array(F.slice("ring", 1, 4)), F.lit("LINESTRING"))
+    k = F.col("o_orderkey") % 5
+    wkt = (
+        F.when(k == 0, F.concat(F.lit('"'), square, F.lit('"')))
+        .when(k == 1, with_hole)
+        .when(k == 2, line)
+        .when(k == 3, F.lower(F.concat(F.lit("GEOMETRYCOLLECTION ("), square, F.lit(", "), line, F.lit(", MULTIPOINT (0 0, 1 1), "), with_hole, F.lit(")"))))
+        .otherwise(F.concat(square, F.lit(" and more")))
+    )
+    return squares(spark, sf).select("o_orderkey", F.round(G.wkt_area(wkt), 6).alias("area"), G.kind(wkt).alias("kind"))
 
 
 SQL_AREA_AGG = f"WITH {SQL_SQ} SELECT o_custkey % 25 AS owner, round(sum(2 * h * h), 6) AS total_area FROM sq JOIN orders USING (o_orderkey) GROUP BY owner"
@@ -271,7 +293,7 @@ SQL_AREA_AGG = f"WITH {SQL_SQ} SELECT o_custkey % 25 AS owner, round(sum(2 * h *
 def area_by_owner(spark, sf):
     owners = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 25).alias("owner"))
     wkt = G.to_wkt(F.array("ring"), F.lit("POLYGON"))
-    areas = squares(spark, sf).join(owners, "o_orderkey").select("owner", G.area(G.parse_wkt(wkt)).alias("a"))
+    areas = squares(spark, sf).join(owners, "o_orderkey").select("owner", G.wkt_area(wkt).alias("a"))
     return areas.groupBy("owner").agg(F.round(F.sum("a"), 6).alias("total_area"))
 
 

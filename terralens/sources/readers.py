@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import rdf
+from ..operators.spatial import river_wkt
 
 HREF = "STRUCT<rel: STRING, href: STRING>"
 ENTITY = "id STRING, properties MAP<STRING, STRING>, geometry STRING"
@@ -36,8 +37,10 @@ def json_documents(spark, path, schema) -> DataFrame:
 
 def malformed_documents(spark, path, schema=ENTITY) -> DataFrame:
     """``(file, text)`` of the files that hold no document of the schema."""
-    docs = _documents(spark, path, schema).select("_corrupt", F.col("_metadata.file_path").alias("file"))
-    return docs.filter(F.col("_corrupt").isNotNull()).select("file", F.col("_corrupt").alias("text"))
+    docs = _documents(spark, path, schema).withColumn("file", F.col("_metadata.file_path"))
+    # Spark reads the corrupt text only along with another column
+    other = F.col(next(c for c in docs.columns if c not in ("_corrupt", "file"))).cast("string")
+    return docs.filter(F.col("_corrupt").isNotNull()).select("file", F.coalesce("_corrupt", other).alias("text"))
 
 
 def entity_documents(spark, root) -> DataFrame:
@@ -45,6 +48,11 @@ def entity_documents(spark, root) -> DataFrame:
     return json_documents(spark, f"{root}/*/*", ENTITY).withColumn("wkt", G.geojson_to_wkt(F.col("geometry")))
 
 
+def river_documents(spark, root) -> DataFrame:
+    """River files one folder below ``root``: the lines of each merged to a multipolygon of no width."""
+    return json_documents(spark, f"{root}/*/*", ENTITY).withColumn("wkt", river_wkt(F.col("geometry")))
+
+
 def product_documents(spark, root) -> DataFrame:
     """Product files in the tree ``root/a/b/c/file``."""
     return json_documents(spark, f"{root}/*/*/*/*", PRODUCT).withColumn("wkt", G.geojson_to_wkt(F.col("geometry")))

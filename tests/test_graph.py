@@ -144,3 +144,39 @@ def test_or_as_bag_repeats_rows(small):
     either = (F.col("x") == "<c>", F.col("y") == "<c>")
     assert P.filter_any(people, *either).count() == 2
     assert P.filter_any(people, *either, as_union=True).count() == 3
+
+
+def test_literals_come_back_whole(spark, sf, tmp_path):
+    texts = ["plain", 'a "quote"', "line\nbreak\r\ttab", "back\\slash", "ends with \\", '\\"', "\\n is no line feed", "", "é 日本"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = rows.unionByName(spark.read.parquet(f"{sf}/documents.parquet").select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
+    triples = rows.select(rdf.iri("r/", F.col("doc_id")).alias("s"), F.lit("<o/text>").alias("p"), rdf.literal(F.col("text")).alias("o"))
+    path = str(tmp_path / "all.nt")
+    writers.write_ntriples(triples, path)
+    back = readers.ntriples(spark, path).select("s", rdf.literal_value(F.col("o")).alias("text"))
+    want = {f"<r/{r['doc_id']}>": r["text"] for r in rows.collect()}
+    assert {r["s"]: r["text"] for r in back.collect()} == want
+    assert readers.malformed_lines(spark, path).count() == 0
+
+
+def test_what_is_no_triple_or_document_is_told(spark, tmp_path):
+    (tmp_path / "bad.nt").write_text('<a> <b> <c> .\nnonsense\n<a> <b> "open .\n')
+    assert readers.ntriples(spark, str(tmp_path / "bad.nt")).count() == 1
+    assert sorted(r["value"] for r in readers.malformed_lines(spark, str(tmp_path / "bad.nt")).collect()) == ['<a> <b> "open .', "nonsense"]
+    folder = tmp_path / "docs" / "ports"
+    folder.mkdir(parents=True)
+    (folder / "good.json").write_text('{"id": "p1", "properties": {}, "geometry": {"type": "Point", "coordinates": [1, 2]}}')
+    (folder / "bad.json").write_text('{"id": "p2", ')
+    assert [r["wkt"] for r in readers.entity_documents(spark, str(tmp_path / "docs")).collect()] == ["POINT (1 2)"]
+    assert [r["file"].rsplit("/", 1)[1] for r in readers.malformed_documents(spark, f"{tmp_path}/docs/*/*").collect()] == ["bad.json"]
+
+
+def test_rivers_from_files(spark, tmp_path):
+    folder = tmp_path / "tree" / "rivers"
+    folder.mkdir(parents=True)
+    lines = '{"type": "LineString", "coordinates": [[0, 0], [1, 1]]}, {"type": "LineString", "coordinates": [[2, 5], [1, 1]]}'
+    (folder / "r.json").write_text('{"id": "river_1", "properties": {"waterway": "river"}, "geometry": {"type": "GeometryCollection", "geometries": [%s]}}' % lines)
+    docs = readers.river_documents(spark, str(tmp_path / "tree"))
+    found = {r["p"]: r["o"] for r in T.entity_triples(docs, "river").collect()}
+    assert "MULTIPOLYGON (((0 0, 1 1, 2 5, 2 5, 1 1, 0 0, 0 0)))" in found[rdf.AS_WKT]
+    assert rdf.HAS_GEOMETRY in found

@@ -158,3 +158,39 @@ def test_merge_lines():
     assert len(star) == 3
     loop = S._merged([seg((0, 0), (1, 0)), seg((1, 0), (1, 1)), seg((1, 1), (0, 0))])
     assert len(loop) == 1 and len(loop[0]) == 4
+
+
+def test_geometry_of_all_kinds_and_of_none(spark):
+    rows = [
+        ("MULTIPOINT (0 0, 50 50)", "MULTIPOINT", 2, 0.0),
+        ("multipoint ((50 50), (1 1))", "MULTIPOINT", 2, 0.0),
+        ("MULTILINESTRING ((0 0, 1 1), (2 2, 3 3))", "MULTILINESTRING", 2, 0.0),
+        ("POLYGON Z ((0 0 5, 10 0 5, 10 10 5, 0 10 5, 0 0 5), (1 1 0, 9 1 0, 9 9 0, 1 9 0, 1 1 0))", "POLYGON", 1, 36.0),
+        ('"<http://crs> POLYGON ((0 0, 1e1 0, 10 10, 0 0))"^^<http://wkt>', "POLYGON", 1, 50.0),
+        ("GEOMETRYCOLLECTION (POINT (1 2), GEOMETRYCOLLECTION (POLYGON ((0 0, 2 0, 2 2, 0 0))), LINESTRING EMPTY)", "GEOMETRYCOLLECTION", 2, 2.0),
+        ("POLYGON EMPTY", "POLYGON", 0, 0.0),
+        ("LINESTRING (-1.5 .5, 4 -2)", "LINESTRING", 1, 0.0),
+        ("POINT (1 2) POINT (3 4)", None, None, None),
+        ("POINT (1)", None, None, None),
+        ("CIRCLE (1 2)", None, None, None),
+        ("see POINT (1 2)", None, None, None),
+        (None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "wkt string, kind string, parts int, area double")
+    got = df.select("wkt", G.kind(F.col("wkt")).alias("kind"), F.size(G.geometry(F.col("wkt"))["parts"]).alias("n"), G.wkt_area(F.col("wkt")).alias("area"))
+    told = {r["wkt"]: (r["kind"], r["n"] if r["kind"] else None, r["area"]) for r in got.collect()}
+    assert told == {w: (k, n, a) for w, k, n, a in rows}
+
+
+def test_what_has_no_relations_is_put_aside(spark):
+    rows = [(1, "POINT (1 2)"), (2, "MULTIPOINT (1 2, 3 4)"), (3, "no"), (4, "POLYGON EMPTY"), (5, "POLYGON ((0 0, 9 0, 9 9, 0 0), (1 1, 2 1, 2 2, 1 1))")]
+    df = spark.createDataFrame(rows, "id int, wkt string")
+    assert [r["id"] for r in S.prepare(df, "id", "wkt").collect()] == [1]
+    aside = {r["id"]: r["reason"] for r in S.put_aside(df, "id", "wkt").collect()}
+    assert aside == {2: "kind without relations", 3: "no geometry", 4: "empty", 5: "holes"}
+
+
+def test_long_geometry_texts(spark):
+    ring = ", ".join(f"{i % 1000} {i // 1000}" for i in range(60_000))
+    df = spark.createDataFrame([(f"POLYGON (({ring}, 0 0))",)], "wkt string")
+    assert df.select(F.size(G.parse_wkt(F.col("wkt"))[0])).first()[0] == 60_001
