@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 
 from terralens.plans.common import Catalogue, table
 
-from .shared import shared_folder
+from .shared import bounded_batches, shared_folder
 from .text import mix64
 from .tokens import default_vocabulary, encoded_slices
 
 CAT = Catalogue()
 
 #: Ids of a sequence, key of the order, and bytes of a shard about.
-LENGTH, KEY, SHARD_BYTES = 256, 20260101, 16 << 20
+LENGTH, KEY, SHARD_BYTES = 256, 20260101, 8 << 20
+#: Shards whose places are broadcast to a reader at most, and records that it parses at once.
+BROADCAST_SHARDS, STRIPE = 50_000, 4096
 END = 0
 ROUNDS = 4
 #: What stands before the ids of a record: doc_id, place of its first id in the document, number of its ids.
@@ -70,6 +72,7 @@ def write_shards(docs, folder, path=None, length=LENGTH, key=KEY, shard_bytes=SH
     rows in the same partitions twice, as a table scan does; otherwise the write fails.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     path = path or default_vocabulary()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     # one row for each input partition
@@ -135,61 +138,56 @@ def manifest(spark, folder, length=LENGTH):
     return found.withColumn("first_slot", F.coalesce(F.sum("records").over(before), F.lit(0)))
 
 
-def read_slots(spark, folder, first=0, last=None, length=LENGTH):
-    """The sequences of slots ``first`` up to ``last``: slot, shard, position (bytes), doc_id, start, length, ids.
+def read_slots(spark, folder, first=0, last=None, length=LENGTH, ids=True):
+    """The sequences of slots ``first`` up to ``last``: slot, shard, position (bytes), doc_id, start, length and ids, or
+    the checksum ids_crc32 (of little-endian 32-bit ids) in their place.
 
     Only shards that hold such slots are read, so a reader goes on where it stopped. A null doc_id comes back as -1.
     """
+    bounded_batches(spark)
     held = manifest(spark, folder, length).where(F.col("first_slot") + F.col("records") > first)
     if last is not None:
         held = held.where(F.col("first_slot") < last)
+    # few rows, one for each shard; beyond the limit they meet the files by a shuffle
+    few = held.count() <= BROADCAST_SHARDS
+    held = held.select("shard", "first_slot")
     record, step = record_type(length), stride(length)
+    names = ["slot", "shard", "position", "doc_id", "start", "length", "ids" if ids else "ids_crc32"]
 
     def parse(batches):
         for batch in batches:
-            for shard, slot, content in zip(*(c.to_pylist() for c in batch.columns)):
-                n = len(content) // step
-                rows = np.ndarray(n, record, content, strides=(step,))
-                slots = slot + np.arange(n)
-                on = np.flatnonzero((slots >= first) & (slots < (slot + n if last is None else last)))
-                rows = rows[on]
-                size = rows["length"].astype(np.int32)
-                ids = rows["ids"][np.arange(length) < size[:, None]].astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(slots[on]),
-                        pa.array(np.full(len(on), shard, np.int32)),
-                        pa.array(on * step),
-                        pa.array(rows["doc_id"].astype(np.int64)),
-                        pa.array(rows["start"].astype(np.int64)),
-                        pa.array(size.astype(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(ids)),
-                    ],
-                    ["slot", "shard", "position", "doc_id", "start", "length", "ids"],
-                )
-
-    # a row for each shard; joined as their number suggests
-    found = shard_files(spark, folder).select("shard", "content").join(held.select("shard", "first_slot"), "shard")
-    return found.select("shard", "first_slot", "content").mapInArrow(
-        parse, "slot long, shard int, position long, doc_id long, start long, length long, ids array<int>"
+            for i in range(batch.num_rows):
+                shard, slot = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                content = batch.column(2)[i].as_buffer()
+                n = content.size // step
+                lo, hi = max(0, first - slot), n if last is None else min(n, last - slot)
+                for at in range(lo, hi, STRIPE):
+                    many = min(STRIPE, hi - at)
+                    yield records(shard, slot + at, at, np.ndarray(many, record, content, at * step, (step,)))
+
+    def records(shard, slot, at, rows):
+        size = rows["length"].astype(np.int32)
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        flat = rows["ids"][np.arange(length) < size[:, None]]
+        if ids:
+            last_column = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat.astype(np.int32)))
+        else:
+            wide = flat.astype("<u4")
+            last_column = pa.array([zlib.crc32(wide[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.int64())
+        here = np.arange(len(rows))
+        columns = [slot + here, np.full(len(rows), shard, np.int32), (at + here) * step]
+        columns += [rows[n].astype(np.int64) for n in ("doc_id", "start", "length")]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), last_column], names)
+
+    files = shard_files(spark, folder).select("shard", "content").join(F.broadcast(held) if few else held, "shard")
+    kind = "ids array<int>" if ids else "ids_crc32 long"
+    return files.select("shard", "first_slot", "content").mapInArrow(
+        parse, f"slot long, shard int, position long, doc_id long, start long, length long, {kind}"
     )
 
 
-def order_of(sequences):
-    """``sequences`` with the checksum of their ids in place of the ids."""
-
-    def check(batches):
-        for batch in batches:
-            lists = batch.column(6)
-            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<u4")
-            crc = [zlib.crc32(flat[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(crc, pa.int64())], [*batch.schema.names[:6], "ids_crc32"])
-
-    return sequences.mapInArrow(check, "slot long, shard int, position long, doc_id long, start long, length long, ids_crc32 long")
-
-
 @CAT.add("op1_training_order")
 def training_order(spark, sf):
     folder = shared_folder(spark, "shards")
     write_shards(table(spark, sf, "documents"), folder)
-    return order_of(read_slots(spark, folder))
+    return read_slots(spark, folder, ids=False)

@@ -26,5 +26,29 @@ def written(df, name):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of text that go to a Python worker at once.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def bounded_batches(spark):
+    """Keeps the session's Arrow batches small: their buffers stand outside the heap, on both sides, in every task."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def gathered(batches, take, size, most):
+    """Lists of what ``take`` makes of consecutive batches, with at most about ``most`` entries by ``size`` in each."""
+    held, total = [], 0
+    for batch in batches:
+        for found in take(batch):
+            held.append(found)
+            total += size(found)
+            if total >= most:
+                yield held
+                held, total = [], 0
+    if held:
+        yield held
+
+
 def shuffle_partitions(spark):
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
