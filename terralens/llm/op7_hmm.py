@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from terralens.plans.common import Catalogue, table
 
-from .shared import shuffle_partitions, written
+from .shared import bounded_batches, gathered, shuffle_partitions, written
 from .text import mix64, slices, word_hashes, word_spans
 
 CAT = Catalogue()
@@ -30,6 +30,8 @@ END_CLASS = CLASSES - 1
 PASSES, START, START_CHUNKS, START_PASSES, SEED = 2, 600, 8, 25, 5
 #: Most frequent words whose counts every task knows; the others meet their counts by hash.
 FREQUENT = 1 << 16
+#: Entries of the vocabulary that a task sums up together.
+COUNTED = 3 << 19
 
 END_HASH = np.uint64(0xE5D)
 LOG10 = np.log(10)
@@ -185,19 +187,19 @@ def joined(blobs, width):
 def vocabulary(docs, parts):
     """Words of the training documents: rows (part, words, frequent), byte blocks of hash, class and count.
 
-    A task sends each word of a batch once, with its count, to where the word's counts meet. ``frequent`` repeats those
+    A task sends each word of its next documents once, with its count, to where the word's counts meet. ``frequent`` repeats those
     that may be among the FREQUENT most frequent of all.
     """
 
+    def counted(batch):
+        for _, data, offsets in slices(batch.column(0)):
+            words, classes, _, _ = tokens_of(data, offsets)
+            values, first, times = np.unique(words, return_index=True, return_counts=True)
+            yield np.stack([values.view(np.int64), classes[first], times])
+
     def pack(batches):
-        for batch in batches:
-            got = []
-            for _, data, offsets in slices(batch.column(0)):
-                words, classes, _, _ = tokens_of(data, offsets)
-                values, first, times = np.unique(words, return_index=True, return_counts=True)
-                got.append(np.stack([values.view(np.int64), classes[first], times]))
-            if got:
-                yield blocks(*summed(np.concatenate(got, axis=1)), parts)
+        for got in gathered(batches, counted, lambda x: x.shape[1], COUNTED):
+            yield blocks(*summed(np.concatenate(got, axis=1)), parts)
 
     def blocks(words, classes, times, parts):
         part = (mix64(words.view(U64)) % U64(parts)).astype(np.int64)
@@ -402,6 +404,7 @@ def scored(docs, passes=PASSES):
     Only doc_id and text are read; an empty table gives an empty one.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     told = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumns(
         {"held_out": is_held_out(F.col("doc_id")), "version": F.xxhash64("text"), "key": F.coalesce("doc_id", F.xxhash64("text"))}
     )
