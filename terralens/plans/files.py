@@ -333,12 +333,12 @@ def snk_04(spark, sf):
     )
 
 
-@CAT.add("snk_05", "SELECT vec_id AS id, (embedding[1]) AS first, len(embedding)::INTEGER AS dim FROM embeddings")
+@CAT.add("snk_05", "SELECT vec_id AS id, unnest(range(len(embedding)))::INTEGER AS pos, unnest(embedding) AS value FROM embeddings")
 def snk_05(spark, sf):
     """Embedding matrix as float32."""
     path = folder(spark, "snk_05")
     W.write_embeddings(vectors.vectors(spark, sf).select(F.col("vec_id").alias("id"), F.col("v").alias("embedding")), path)
-    return spark.read.parquet(path).select("id", F.col("embedding")[0].alias("first"), F.size("embedding").alias("dim"))
+    return spark.read.parquet(path).select("id", F.posexplode("embedding").alias("pos", "value"))
 
 
 @CAT.add("snk_06", "SELECT 'img_' || vec_id AS key, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS code FROM embeddings")

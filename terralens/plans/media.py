@@ -124,11 +124,11 @@ def arr_14(spark, sf):
     return B.mean_map(patches(spark, sf), "label", "v").select("label", "pos", rounded("value"))
 
 
-@CAT.add("flt_07", f"WITH {SQL_P} SELECT vec_id FROM p WHERE len(list_filter(v[1:4], lambda x: x > 0)) > 0")
+@CAT.add("flt_07", f"WITH {SQL_P} SELECT vec_id FROM p WHERE len(list_filter(v, lambda x: x > 0.3)) > 0")
 def flt_07(spark, sf):
-    """Images with a non-zero pixel; negative pixels of the first row count as zero here."""
-    row = F.transform(F.slice("v", 1, 4), lambda x: F.greatest(x, F.lit(0.0)))
-    masked = patches(spark, sf).select("vec_id", F.array(row).alias("px"))
+    """Images with a non-zero pixel; pixels up to 0.3 count as zero here."""
+    rows = [F.transform(F.slice("v", 1 + 16 * r, 16), lambda x: F.when(x > 0.3, x).otherwise(0.0)) for r in range(4)]
+    masked = patches(spark, sf).select("vec_id", F.array(*rows).alias("px"))
     return B.nonzero_images(masked, "px").select("vec_id")
 
 
