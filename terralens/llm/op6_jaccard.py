@@ -1,22 +1,23 @@
 """Joining documents by the Jaccard similarity of their word shingles with adaptive multi-match prefixes.
 
-All documents order their shingles alike: the more documents of one batch somewhere hold a shingle, the later it comes,
-and by hash otherwise. Two sets of similarity s or more share a shingle among the first
+All documents order their shingles alike: those known to be frequent come last, the others by hash. Two sets of similarity s or more share a shingle among the first
 n - ceil(s n) + 1 of each, and with k more of them on either side they share k + 1. Each document's prefix is
 lengthened by the shingles in it that are too costly (held by many groups of documents), which are then skipped, and
-by a fixed reserve; pairs are verified only if they share as many shingles as the lengthened prefixes ask for.
+by a fixed reserve; pairs are verified only if they share as many shingles as the lengthened prefixes ask for. Where
+the prefix holds all of a document's shingles that are not frequent, those that nobody else has bound what it can share.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terralens.plans.common import Catalogue, table
 
 from .components import components
-from .shared import shuffle_partitions, written
+from .shared import bounded_batches, gathered, shuffle_partitions, written
 from .text import mix64, shingles, slices, word_hashes, word_spans
 
 CAT = Catalogue()
@@ -26,8 +27,10 @@ WIDTH, PERCENT = 4, 85
 RESERVE_SHARE, RESERVE = 3, 8
 #: A shingle held by more groups of documents than this is skipped in favour of later ones.
 COSTLY = 32
-#: A shingle's level is how many of these numbers of documents hold it in some batch; bits for each level.
-LEVELS, LEVEL_BITS = (4, 32, 256), 1 << 25
+#: A shingle's level is how many of these numbers of documents are seen to hold it; bits for each level.
+LEVELS, LEVEL_BITS = (32, 512, 8192), 1 << 25
+#: Shingles that a task counts together, and entries that it packs together.
+COUNTED, PACKED = 4 << 20, 1 << 20
 #: Parts in which copies of one set meet first, and partners of a document that one task compares.
 SALTS, PARTNERS = 8, 64
 #: Bits of the filter that keeps documents without a candidate out of the verification's shuffle.
@@ -56,31 +59,48 @@ def set_digests(found, at):
 
 
 def frequency_levels(docs, width):
-    """One bit map for each of LEVELS: which shingles so many documents with different sets hold in some batch.
+    """One bit map for each of LEVELS: which shingles so many documents with different sets are seen to hold.
 
-    All documents are counted. The maps have a fixed size and only decide the order of the shingles, in which any
-    function of the shingle is right: more shingles than bits cost candidates, never links.
+    A task counts the shingles that several documents of its next few thousand hold; the counts are summed over all documents. The
+    maps have a fixed size and only decide the order of the shingles, in which any function of the shingle is right:
+    rarer shingles that pass unseen, and more shingles than bits, cost candidates, never links.
     """
 
+    def sets(batch):
+        for _, data, offsets in slices(batch.column(0)):
+            found, owner = row_sets(data, offsets, width)
+            digest = set_digests(found, np.searchsorted(owner, np.arange(len(offsets))))[0]
+            yield found, owner, digest
+
     def count(batches):
-        for batch in batches:
-            got, known = [np.zeros(0, np.uint64)], np.zeros(0, np.int64)
-            for _, data, offsets in slices(batch.column(0)):
-                found, owner = row_sets(data, offsets, width)
-                at = np.searchsorted(owner, np.arange(len(offsets)))
-                digest = set_digests(found, at)[0]
+        for got in gathered(batches, sets, lambda x: len(x[0]), COUNTED):
+            known, once_only = np.zeros(0, np.int64), []
+            for found, owner, digest in got:
                 once = np.zeros(len(digest), bool)
                 once[np.unique(digest, return_index=True)[1]] = True
                 once &= ~np.isin(digest, known)
                 known = np.concatenate([known, digest[once]])
-                got.append(found[once[owner]])
-            values, times = np.unique(np.concatenate(got), return_counts=True)
-            bits = [values[times >= least] % np.uint64(LEVEL_BITS) + np.uint64(i * LEVEL_BITS) for i, least in enumerate(LEVELS)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bits).astype(np.int64) + 1)], ["bit"])
-
+                once_only.append(found[once[owner]])
+            got.clear()
+            values = np.concatenate(once_only)
+            once_only.clear()
+            values.sort()
+            new = np.ones(len(values) + 1, bool)
+            new[1:-1] = values[1:] != values[:-1]
+            at = np.flatnonzero(new)
+            times = np.diff(at)
+            several = times > 1
+            yield pa.RecordBatch.from_arrays([pa.array(values[at[:-1][several]].view(np.int64)), pa.array(times[several])], ["tok", "times"])
+
+    level = F.explode(F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("least")) for i, n in enumerate(LEVELS)]), lambda x: x["least"] <= F.col("times")))
     maps = (
         docs.select("text")
-        .mapInArrow(count, "bit long")
+        .mapInArrow(count, "tok long, times long")
+        .groupBy("tok")
+        .agg(F.sum("times").alias("times"))
+        .where(F.col("times") >= LEVELS[0])
+        .select("tok", level.alias("level"))
+        .select((F.col("tok").bitwiseAND(F.lit(LEVEL_BITS - 1)) + F.col("level.i") * LEVEL_BITS + 1).alias("bit"))
         .groupBy(F.bitmap_bucket_number("bit").alias("no"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     )
@@ -99,7 +119,8 @@ def level_of(found, maps):
 
 
 def sketches(docs, width, percent):
-    """Per row: doc_id, n (set size), two digests of the set, and its first shingles: the prefix and its reserve."""
+    """Per row: doc_id, n (set size), two digests of the set, how many of its shingles are not known to be frequent, and
+    its first shingles: the prefix and its reserve."""
     maps = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, width))
 
     def sketch(batches):
@@ -110,7 +131,9 @@ def sketches(docs, width, percent):
                 at = np.searchsorted(owner, np.arange(rows + 1))
                 n = np.diff(at)
                 d1, d2 = set_digests(found, at)
-                found = found[np.argsort(owner * (len(LEVELS) + 1) + level_of(found, maps.value), kind="stable")]
+                level = level_of(found, maps.value)
+                plain = np.bincount(owner[level == 0], minlength=rows)
+                found = found[np.argsort(owner * (len(LEVELS) + 1) + level, kind="stable")]
                 p = prefix_length(n, percent)
                 kept = np.minimum(n, p + np.maximum(p // RESERVE_SHARE, RESERVE)) * (n > 0)
                 pick = np.arange(len(found)) - at[owner] < kept[owner]
@@ -121,35 +144,41 @@ def sketches(docs, width, percent):
                         pa.array(n, pa.int64()),
                         pa.array(d1),
                         pa.array(d2),
+                        pa.array(plain.astype(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]), pa.int32()), pa.array(stored)),
                     ],
-                    ["doc_id", "n", "d1", "d2", "stored"],
+                    ["doc_id", "n", "d1", "d2", "plain", "stored"],
                 )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        sketch, "doc_id long, n long, d1 long, d2 long, stored array<long>"
+        sketch, "doc_id long, n long, d1 long, d2 long, plain long, stored array<long>"
     )
 
 
-ENTRY = np.dtype([("tok", "<i8"), ("rid", "<i8"), ("n", "<i4"), ("pos", "<i4")])
+ENTRY = np.dtype([("tok", "<i8"), ("rid", "<i8"), ("n", "<i4"), ("plain", "<i4"), ("pos", "<i4")])
 
 
 def shared_shingles(nodes, parts):
-    """Rows (tok, rid, n, pos) of the stored shingles that more than one node holds.
+    """Rows (tok, rid, n, plain, pos) of the stored shingles that more than one node holds.
 
-    Entries travel as byte blocks by shingle. A shingle that several nodes of one batch hold is known to be shared: its
+    Entries travel as byte blocks by shingle. A shingle that several nodes in one block hold is known to be shared: its
     entries go on spread by node, and one mark goes where its other holders meet, so no task gathers all holders.
     """
 
+    def listed(batch):
+        lists = batch.column(3)
+        counts = np.diff(lists.offsets.to_numpy())
+        entries = np.empty(int(counts.sum()), ENTRY)
+        entries["tok"] = lists.flatten().to_numpy()
+        entries["rid"] = np.repeat(batch.column(0).to_numpy(), counts)
+        entries["n"] = np.repeat(batch.column(1).to_numpy(), counts)
+        entries["plain"] = np.repeat(batch.column(2).to_numpy(), counts)
+        entries["pos"] = np.arange(len(entries)) - np.repeat(np.cumsum(counts) - counts, counts)
+        yield entries
+
     def pack(batches):
-        for batch in batches:
-            lists = batch.column(2)
-            counts = np.diff(lists.offsets.to_numpy())
-            entries = np.empty(int(counts.sum()), ENTRY)
-            entries["tok"] = lists.flatten().to_numpy()
-            entries["rid"] = np.repeat(batch.column(0).to_numpy(), counts)
-            entries["n"] = np.repeat(batch.column(1).to_numpy(), counts)
-            entries["pos"] = np.arange(len(entries)) - np.repeat(np.cumsum(counts) - counts, counts)
+        for got in gathered(batches, listed, len, PACKED):
+            entries = np.concatenate(got)
             _, first, which, times = np.unique(entries["tok"], return_index=True, return_inverse=True, return_counts=True)
             several = times[which] > 1
             marks = entries[first[times > 1]].copy()
@@ -205,26 +234,25 @@ def shared_shingles(nodes, parts):
         nodes.mapInArrow(pack, "part long, direct int, entries binary")
         .repartition(shuffle_partitions(nodes.sparkSession), "part")
         .sortWithinPartitions("part")
-        .mapInArrow(unpack, "tok long, rid long, n int, pos int")
+        .mapInArrow(unpack, "tok long, rid long, n int, plain int, pos int")
     )
 
 
-def texts_of(docs, ids):
-    """(doc_id, text) of the documents in ``ids``; a bit filter of fixed size (2 MB) spares most others the join."""
+def with_texts(docs, wanted):
+    """``wanted`` (doc_id, ...) with the texts; a bit filter of fixed size (2 MB) spares most other documents the join."""
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    bits = ids.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("__no")).agg(
+    bits = wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("__no")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("__bits")
     )
-    place = F.bitmap_bit_position(bit)
     byte = F.conv(F.hex(F.expr("substring(__bits, cast(__at div 8 as int) + 1, 1)")), 16, 10).cast("int")
     passed = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-        .withColumns({"__no": F.bitmap_bucket_number(bit), "__at": place})
+        .withColumns({"__no": F.bitmap_bucket_number(bit), "__at": F.bitmap_bit_position(bit)})
         .join(F.broadcast(bits), "__no")
         .where(byte.bitwiseAND(F.expr("shiftleft(1, cast(__at % 8 as int))")) != 0)
         .select("doc_id", "text")
     )
-    return passed.join(ids, "doc_id", "left_semi")
+    return wanted.join(passed, "doc_id")
 
 
 def verified(pairs, docs, width, percent):
@@ -233,18 +261,12 @@ def verified(pairs, docs, width, percent):
     One task holds the set of ``a`` and compares at most about PARTNERS partners of it, one after the other.
     """
     pairs = written(pairs.select("a", "b").distinct(), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = written(texts_of(docs, ids), "texts")
     shares = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("shares"))
-    partners = (
-        pairs.join(shares, "a")
-        .withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")))
-        .join(texts.withColumnRenamed("doc_id", "b"), "b")
-        .select("a", "share", "b", "text")
-    )
-    owners = shares.join(texts.withColumnRenamed("doc_id", "a"), "a").select(
-        "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.lit(None).cast("long").alias("b"), "text"
+    partners = pairs.join(shares, "a").select(F.col("b").alias("doc_id"), "a", F.pmod(F.xxhash64("b"), F.col("shares")).alias("share"), "b")
+    owners = shares.select(
+        F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.lit(None).cast("long").alias("b")
     )
+    meeting = with_texts(docs, written(partners.unionByName(owners), "meetings")).select("a", "share", "b", "text")
 
     def compare(batches):
         key, sets = None, []
@@ -265,8 +287,7 @@ def verified(pairs, docs, width, percent):
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out, pa.int64())), batch.column(2).take(pa.array(out, pa.int64()))], ["a", "b"])
 
     return (
-        owners.unionByName(partners)
-        .repartition(shuffle_partitions(docs.sparkSession), "a", "share")
+        meeting.repartition(shuffle_partitions(docs.sparkSession), "a", "share")
         .sortWithinPartitions("a", "share", F.col("b").asc_nulls_first())
         .mapInArrow(compare, "a long, b long")
         .distinct()
@@ -281,58 +302,89 @@ def similar(x, y, percent):
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def prefix_sql(n, percent):
+    return f"({n} - ({percent} * {n} + 99) div 100 + 1)"
+
+
+def stored_length(n, percent):
+    p = prefix_sql(n, percent)
+    return f"least({n}, {p} + greatest({p} div {RESERVE_SHARE}, {RESERVE}))"
+
+
+def bounded(shared, percent):
+    """``shared`` with ``alone``, how many of a node's stored plain shingles no other node stores.
+
+    A node that stores all its plain shingles has none of another's lonely ones. Frequent shingles are only stored by
+    such nodes, so where the lonely ones leave too little for any link, the frequent ones need not meet.
+    """
+    met = F.count_if(F.col("pos") < F.col("plain")).over(W.partitionBy("rid"))
+    return shared.withColumn("alone", F.expr(f"least(plain, {stored_length('n', percent)})") - met).where(f"pos < plain OR 100 * (n - alone) >= {percent} * n")
+
+
+def may_link(x, y, percent):
+    """What the sizes and the lonely shingles of two nodes allow; columns n, alone, and whether all plain ones are stored."""
+    enough = f"{100 + percent} * ({{0}}.n - {{0}}.alone) >= {percent} * ({x}.n + {y}.n)"
+    whole = f"{{0}}.plain <= {stored_length('{0}.n', percent)}"
+    return (
+        f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) AND (NOT {whole.format(y)} OR {enough.format(x)}) "
+        f"AND (NOT {whole.format(x)} OR {enough.format(y)})"
+    )
+
+
 def leader_pairs(shared, percent):
-    """For each node one pair with the smallest holder that leads most of its shared shingles.
+    """For each node one pair with the holder that leads most of its shared shingles: the one with the fewest shingles
+    that are not frequent, so the likeliest original of a large group.
 
     These pairs only join obvious groups early, so that large groups count as one holder afterwards.
     """
-    leaders = shared.groupBy("tok").agg(F.min("rid").alias("a"), F.min_by("n", "rid").alias("na"))
+    leaders = shared.groupBy("tok").agg(F.min(F.struct("plain", "rid", "n", "alone")).alias("y"))
     votes = (
-        shared.join(leaders, "tok")
-        .where(f"a < rid AND 100 * least(n, na) >= {percent} * greatest(n, na)")
-        .groupBy("rid", "a")
+        shared.alias("x")
+        .join(leaders, "tok")
+        .where(f"x.rid != y.rid AND {may_link('x', 'y', percent)}")
+        .withColumn("least", F.expr("least(x.n, y.n)"))
+        .select("x.rid", F.col("y.rid").alias("a"), F.expr(f"{stored_length('least', percent)} - {prefix_sql('least', percent)}").alias("spare"))
+        .groupBy("rid", "a", "spare")
         .agg(F.count(F.lit(1)).alias("votes"))
+        .where("2 * votes > spare")
     )
-    best = votes.groupBy("rid").agg(F.max(F.struct("votes", -F.col("a"))).alias("best"))
-    return best.select((-F.col("best.col2")).alias("a"), F.col("rid").alias("b"))
+    best = votes.groupBy("rid").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a"))
+    return best.select("a", F.col("rid").alias("b"))
 
 
 def candidate_pairs(shared, comps, percent, costly):
     """Pairs (a, b) of nodes in different groups that share as many stored shingles as their prefixes ask for."""
     with_group = written(
-        shared.join(comps, shared.rid == comps.node, "left").select("tok", "rid", "n", "pos", F.coalesce("root", "rid").alias("grp")), "entries"
+        shared.join(comps, shared.rid == comps.node, "left").select("tok", "rid", "n", "plain", "alone", "pos", F.coalesce("root", "rid").alias("grp")), "entries"
     )
     holders = with_group.select("tok", "grp").distinct().groupBy("tok").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1")
     entries = with_group.join(holders, "tok").withColumns(
         {
             "costly": F.col("groups") > costly,
-            "p": F.expr(f"n - ({percent} * n + 99) div 100 + 1"),
+            "p": F.expr(prefix_sql("n", percent)),
+            "kept": F.expr(stored_length("n", percent)),
         }
     )
-    entries = entries.withColumn("kept", F.expr(f"least(n, p + greatest(p div {RESERVE_SHARE}, {RESERVE}))"))
-    skipped = entries.where("costly").groupBy("rid").agg(F.count(F.lit(1)).alias("skipped"))
-    entries = written(
-        entries.join(skipped, "rid", "left").withColumn("spare", F.col("kept") - F.coalesce("skipped", F.lit(0)) - F.col("p")), "entries"
-    )
-    # a document whose reserve does not make up for its costly shingles, and with it its partners, uses the plain prefix
-    plain = entries.where("pos < p")
-    fit = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND x.grp != y.grp"
-
-    def meet(left, right, where):
-        return left.alias("x").join(right.alias("y"), F.expr(f"x.tok = y.tok AND {fit} AND {where}"))
+    # a window holds the stored shingles of one document
+    skipped = F.count_if("costly").over(W.partitionBy("rid"))
+    entries = written(entries.withColumn("spare", F.col("kept") - skipped - F.col("p")), "entries")
+    fit = f"x.grp != y.grp AND {may_link('x', 'y', percent)}"
+
+    def meet(left, right, where, spare):
+        met = left.alias("x").join(right.alias("y"), F.expr(f"x.tok = y.tok AND {fit} AND {where}"))
+        return (
+            met.select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b"), F.expr(spare).alias("spare"))
+            .groupBy("a", "b")
+            .agg(F.count(F.lit(1)).alias("shared"), F.first("spare").alias("spare"))
+            .where("shared > spare")
+            .select("a", "b")
+        )
 
     covered = entries.where("NOT costly AND spare >= 0")
-    usual = (
-        meet(covered, covered, "x.rid < y.rid")
-        .groupBy(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"))
-        .agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("x.spare", "y.spare")).alias("spare"))
-        .where("shared > spare")
-        .select("a", "b")
-    )
-    short = meet(plain.where("spare < 0"), plain, "(x.rid < y.rid OR y.spare >= 0)").select(
-        F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")
-    )
-    return usual.unionByName(short.distinct())
+    usual = meet(covered, covered, "x.rid < y.rid", "least(x.spare, y.spare)")
+    # where the reserve does not make up for the costly shingles, these count too, for the document and its partners
+    short = meet(entries.where("spare < 0"), entries, "(x.rid < y.rid OR y.spare >= 0)", "least(x.kept - x.p, y.kept - y.p)")
+    return usual.unionByName(short)
 
 
 def similar_groups(docs, width=WIDTH, percent=PERCENT, costly=COSTLY):
@@ -345,11 +397,13 @@ def similar_groups(docs, width=WIDTH, percent=PERCENT, costly=COSTLY):
     read, so further columns of any name do not matter; an empty table gives an empty one.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     sketch = written(sketches(docs, width, percent), "sketches").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     key = ["d1", "d2", "n"]
     copies = sketch.where("n > 0 AND doc_id IS NOT NULL")
-    nodes = copies.groupBy(*key, "salt").agg(F.min("doc_id").alias("rid"), F.first("stored").alias("stored"))
-    shared = written(shared_shingles(nodes.select("rid", "n", "stored"), 4 * shuffle_partitions(spark)), "shared")
+    nodes = copies.groupBy(*key, "salt").agg(F.min("doc_id").alias("rid"), F.first("plain").alias("plain"), F.first("stored").alias("stored"))
+    shared = written(shared_shingles(nodes.select("rid", "n", "plain", "stored"), 4 * shuffle_partitions(spark)), "shared")
+    shared = written(bounded(shared, percent), "bounded")
     classes = written(copies.groupBy(*key, "salt").agg(F.min("doc_id").alias("rid")), "classes")
     least = classes.groupBy(*key).agg(F.min("rid").alias("b"))
     links = classes.join(least, key).where("rid != b").select(F.col("rid").alias("a"), "b")
