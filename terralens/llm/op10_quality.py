@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from terralens.plans.common import Catalogue, table
 
+from .shared import bounded_batches
 from .text import text_bytes
 
 CAT = Catalogue()
@@ -163,6 +164,7 @@ def learn(docs, labels, label="quality", sample=SAMPLE):
     Labels come from ``labels`` (doc_id, label) alone; null labels and ids are passed over, and repeated labels of a
     document are averaged. The driver gets ``sample`` rows of at most SAMPLE_CHUNKS chunks, a few MB at any input size.
     """
+    bounded_batches(docs.sparkSession)
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
         .groupBy("doc_id")
@@ -189,6 +191,7 @@ def classify(docs, network, accept=ACCEPT):
     The whole text is scored, whatever its length; null counts as empty, and an empty text gets the score of a block
     without bytes. Columns of ``docs`` named score or predicted are replaced.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted")
     place = docs.columns.index("text")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from terralens.plans.common import Catalogue, table
 
-from .shared import shuffle_partitions
+from .shared import bounded_batches, shuffle_partitions
 from .text import slices
 from .tokens import default_vocabulary, encoder, segments
 
@@ -127,6 +127,7 @@ def recount(docs, edits, path=None, text="text"):
     many segments the edits made the encoder look at again. A document's rows are sorted together, its text first, and
     its edits stream past the tree, so a task holds one tree at a time. Only the named columns are read.
     """
+    bounded_batches(docs.sparkSession)
     path = path or default_vocabulary()
     kind = "doc_id long, seq long, position long, deleted long, inserted string, text string"
     none = {c: F.lit(None).cast(t) for c, t in (x.split() for x in kind.split(", "))}

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from terralens.plans.common import Catalogue, table
 
-from .shared import written
+from .shared import bounded_batches, written
 from .tokens import default_vocabulary, encoded_slices
 
 CAT = Catalogue()
@@ -157,6 +157,7 @@ def pack(docs, path=None, length=LENGTH, grain=GRAIN, end=END, text="text"):
     table gives no pieces.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     capacity = length // grain
     pieces = written(
         cut(docs, path or default_vocabulary(), length, end, text).withColumn("size", F.ceil(F.col("length") / grain).cast("int")), "pieces"

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from terralens.plans.common import Catalogue, table
 
-from .shared import shuffle_partitions
+from .shared import bounded_batches, gathered, shuffle_partitions
 from .text import mix64, slices, span_sums, text_bytes, word_hashes, word_spans
 
 CAT = Catalogue()
@@ -28,6 +28,8 @@ WINDOW, RUN = 50, 8
 #: Bits of the filter that tells shared anchors from others, cut into so many parts.
 FILTER_BITS, PARTS = 1 << 26, 256
 PART_BITS = FILTER_BITS // PARTS
+#: Blocks that a task settles among themselves before it asks others.
+SETTLED = 1 << 20
 
 U64 = np.uint64
 
@@ -75,15 +77,19 @@ def shared_anchors(docs, window, run):
     changes no result.
     """
 
+    def anchored(batch):
+        for _, data, offsets in slices(batch.column(0)):
+            _, anchors, row, _ = blocks(data, offsets, window, run)
+            order = np.lexsort((row, anchors))
+            anchors, row = anchors[order], row[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (anchors[1:] != anchors[:-1]) | (row[1:] != row[:-1])
+            values, times = np.unique(anchors[new], return_counts=True)
+            yield values, values[times > 1]
+
     def pack(batches):
-        for batch in batches:
-            own, several = [], []
-            for _, data, offsets in slices(batch.column(0)):
-                _, anchors, row, _ = blocks(data, offsets, window, run)
-                pairs = np.unique(np.stack([anchors, row.astype(U64)], 1), axis=0) if len(row) else np.zeros((0, 2), U64)
-                values, times = np.unique(pairs[:, 0], return_counts=True)
-                own.append(values)
-                several.append(values[times > 1])
+        for got in gathered(batches, anchored, lambda x: len(x[0]), SETTLED):
+            own, several = zip(*got)
             values, times = np.unique(np.concatenate([*own, np.zeros(0, U64)]), return_counts=True)
             known = np.unique(np.concatenate([values[times > 1], *several]))
             for shared, found in ((1, known), (0, np.setdiff1d(values, known, assume_unique=True))):
@@ -152,24 +158,25 @@ def factors(docs, window=WINDOW, run=RUN):
     """Rows (doc_id, version, source, first, last): the words from first up to last are a factor of the document that
     stands in ``source``, a document with a smaller id; version tells texts of one id apart.
 
-    ``docs`` has doc_id, version and text. Within a batch the smallest document of a block answers for the others, so a
-    block that any share of all documents has sends one entry from each batch to the task where its holders meet.
+    ``docs`` has doc_id, version and text. Among the next documents of a task the smallest one of a block answers for
+    the others, so a block that any share of all documents has sends few entries to the task where its holders meet.
     """
     spark = docs.sparkSession
     filter_of = spark.sparkContext.broadcast(shared_anchors(docs, window, run))
     parts = 4 * shuffle_partitions(spark)
 
-    def pack(batches):
+    def shared(batch):
         bits = filter_of.value
-        for batch in batches:
-            ids, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            got = []
-            for lo, data, offsets in slices(batch.column(2)):
-                hashes, anchors, row, first = blocks(data, offsets, window, run)
-                place = place_of(anchors)
-                on = np.flatnonzero(bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1)
-                got.append((hashes[on], anchors[on], ids[lo + row[on]], versions[lo + row[on]], first[on]))
-            hashes, anchors, doc, version, first = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, np.int64),) * 5
+        ids, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for lo, data, offsets in slices(batch.column(2)):
+            hashes, anchors, row, first = blocks(data, offsets, window, run)
+            place = place_of(anchors)
+            on = np.flatnonzero(bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1)
+            yield hashes[on], anchors[on], ids[lo + row[on]], versions[lo + row[on]], first[on]
+
+    def pack(batches):
+        for got in gathered(batches, shared, lambda x: len(x[0]), SETTLED):
+            hashes, anchors, doc, version, first = (np.concatenate(x) for x in zip(*got))
             if not len(hashes):
                 continue
             _, which = np.unique(hashes, return_inverse=True)
@@ -190,7 +197,7 @@ def factors(docs, window=WINDOW, run=RUN):
                 where.append(p)
             none = pa.nulls(len(where), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array(blobs, pa.binary()), *[none] * 5], NAMES)
-            # what this batch has settled itself goes on, dealt by document
+            # what these documents have settled themselves goes on, dealt by document
             own = pa.array(local.column(0).to_numpy() % parts)
             yield pa.RecordBatch.from_arrays([own, pa.nulls(local.num_rows, pa.binary()), *local.columns], NAMES)
 
@@ -242,6 +249,7 @@ def without_repeats(docs, window=WINDOW, run=RUN):
     on the texts as given. Null texts have no words; rows that repeat an id never remove each other's words, as neither
     id is smaller; a row without an id keeps its words and removes none. Only doc_id and text are read.
     """
+    bounded_batches(docs.sparkSession)
     told = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("version", F.xxhash64("text"))
     spans = factors(told, window, run).groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
