@@ -28,7 +28,7 @@ RESERVE_SHARE, RESERVE = 3, 8
 #: A shingle held by more groups of documents than this is skipped in favour of later ones.
 COSTLY = 32
 #: A shingle's level is how many of these numbers of documents are seen to hold it; bits for each level.
-LEVELS, LEVEL_BITS = (32, 512, 8192), 1 << 25
+LEVELS, LEVEL_BITS = (8, 128, 2048), 1 << 25
 #: Shingles that a task counts together, and entries that it packs together.
 COUNTED, PACKED = 4 << 20, 1 << 20
 #: Parts in which copies of one set meet first, and partners of a document that one task compares.
@@ -401,11 +401,12 @@ def similar_groups(docs, width=WIDTH, percent=PERCENT, costly=COSTLY):
     sketch = written(sketches(docs, width, percent), "sketches").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     key = ["d1", "d2", "n"]
     copies = sketch.where("n > 0 AND doc_id IS NOT NULL")
-    nodes = copies.groupBy(*key, "salt").agg(F.min("doc_id").alias("rid"), F.first("plain").alias("plain"), F.first("stored").alias("stored"))
+    classes = written(copies.groupBy(*key, "salt").agg(F.min("doc_id").alias("rid")), "classes")
+    least = written(classes.groupBy(*key).agg(F.min("rid").alias("b")), "least")
+    # one node for each distinct set
+    nodes = copies.join(least.withColumnRenamed("b", "doc_id"), [*key, "doc_id"], "left_semi").withColumnRenamed("doc_id", "rid")
     shared = written(shared_shingles(nodes.select("rid", "n", "plain", "stored"), 4 * shuffle_partitions(spark)), "shared")
     shared = written(bounded(shared, percent), "bounded")
-    classes = written(copies.groupBy(*key, "salt").agg(F.min("doc_id").alias("rid")), "classes")
-    least = classes.groupBy(*key).agg(F.min("rid").alias("b"))
     links = classes.join(least, key).where("rid != b").select(F.col("rid").alias("a"), "b")
     early = links.unionByName(written(verified(leader_pairs(shared, percent), docs, width, percent), "early"))
     groups = written(components(early), "groups")
