@@ -25,9 +25,10 @@ CAT = Catalogue()
 #: Hidden states, word classes (the last one is the end of a text), tokens of a chunk that is swept at once.
 STATES, CLASSES, CHUNK = 6, 1025, 64
 END_CLASS = CLASSES - 1
-#: Passes of Baum-Welch over all training documents. They start from a fit to START documents, START_CHUNKS chunks of
-#: each, made in START_PASSES passes; the start only saves passes, every parameter is counted anew over all documents.
-PASSES, START, START_CHUNKS, START_PASSES, SEED = 2, 600, 8, 25, 5
+#: Baum-Welch passes over all training documents until one raises the log likelihood by less than GAIN a token (nats).
+GAIN, SEED = 1e-6, 5
+#: Tokens counted together, steps between rescalings, and how many tokens of a chunked document cost as much as a step.
+SWEPT, RESCALED, STEP_COST = 1 << 19, 4, 8
 #: Most frequent words whose counts every task knows; the others meet their counts by hash.
 FREQUENT = 1 << 16
 #: Entries of the vocabulary that a task sums up together.
@@ -125,8 +126,8 @@ class Sweep:
         return out, before, x
 
     def counts(self, states):
-        """Expected numbers of starts, moves and emitted classes."""
-        _, before, x = self.forward(states)
+        """Expected numbers of starts, moves and emitted classes, and the log likelihood of all documents."""
+        likely, before, x = self.forward(states)
         k, n = len(states.start), len(self.length)
         after = np.ones((n, k))
         counts = self.chunks[self.order]
@@ -156,7 +157,65 @@ class Sweep:
             if t == 0:
                 starts += share[self.first].sum(0)
             w = np.where(on[:, None], back / back.max(1)[:, None], w)
-        return starts, moves * states.moves, emits
+        return starts, moves * states.moves, emits, likely.sum()
+
+
+def side_by_side(classes, count, states):
+    """What ``Sweep.counts`` gives, by one step a position for all documents at once: cheap for many of like length."""
+    k = len(states.start)
+    order = np.argsort(-count, kind="stable")
+    count, at = count[order], (np.cumsum(count) - count)[order]
+    live = np.searchsorted(-count, -np.arange(count[0]), "left")
+    off = np.concatenate([[0], np.cumsum(live)])
+    step = np.arange(off[-1]) - np.repeat(np.cumsum(count) - count, count)
+    seen = np.empty(off[-1], np.int64)
+    seen[off[step] + np.repeat(np.arange(len(count)), count)] = classes[np.repeat(at, count) + step]
+    ahead = np.ascontiguousarray(states.emits.T).take(seen, axis=1)
+    back, after = ahead.copy(), np.ones_like(ahead)
+    moved = np.ascontiguousarray(states.moves.T)
+    likely = 0.0
+    v = np.repeat(states.start[:, None], len(count), axis=1)
+    for t, (lo, n) in enumerate(zip(off.tolist(), live.tolist())):
+        x = ahead[:, lo : lo + n]
+        x *= v[:, :n]
+        if t % RESCALED == 0:
+            scale = x.sum(0)
+            x /= scale
+            likely += np.log(scale).sum()
+        v = moved @ x
+    for t in range(len(live) - 1, 0, -1):
+        lo, n = off[t], live[t]
+        w = back[:, lo : lo + n]
+        w *= after[:, lo : lo + n]
+        if t % RESCALED == 0:
+            w /= w.max(0)
+        after[:, off[t - 1] : off[t - 1] + n] = states.moves @ w
+    last = off[count - 1] + np.arange(len(count))
+    likely += np.log(ahead[:, last].sum(0)).sum()
+    after *= ahead
+    z = after.sum(0)
+    after /= z
+    ahead /= z
+    later = np.arange(live[0], off[-1])
+    before = later - np.repeat(live[:-1], live[1:])
+    moves = ahead.take(before, axis=1) @ back[:, live[0] :].T
+    emits = np.stack([np.bincount(seen, share, CLASSES) for share in after])
+    return after[:, : live[0]].sum(1), moves * states.moves, emits, likely
+
+
+def counts_of(classes, count, states):
+    """Expected counts and log likelihood of documents of any length: the longest in chunks, the others side by side."""
+    order = np.argsort(-count, kind="stable")
+    most = count[order]
+    cut = int(np.argmin(np.append(most, 0) * STEP_COST + np.concatenate([[0], np.cumsum(most)])))
+    at = np.cumsum(count) - count
+    total = None
+    for own, counted in ((np.sort(order[:cut]), lambda *x: Sweep(*x).counts(states)), (np.sort(order[cut:]), lambda *x: side_by_side(*x, states))):
+        if len(own):
+            place = np.arange(count[own].sum()) + np.repeat(at[own] - (np.cumsum(count[own]) - count[own]), count[own])
+            got = counted(classes[place], count[own])
+            total = got if total is None else [a + b for a, b in zip(total, got)]
+    return total
 
 
 def reestimated(starts, moves, emits, classes):
@@ -348,54 +407,68 @@ def rare_sums(docs, words, known, parts):
     )
 
 
-def expected_counts(docs, states):
-    """One pass of Baum-Welch: the expected counts of all training documents, summed over the tasks."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(states)
+def classes_of_texts(docs):
+    """The classes of each training document's tokens as one row (seen), two bytes each."""
 
-    def count(batches):
-        total = None
+    def read(batches):
         for batch in batches:
             for _, data, offsets in slices(batch.column(0)):
                 _, classes, _, stop = tokens_of(data, offsets, hashes=False)
-                own = Sweep(classes, np.diff(stop, prepend=-1)).counts(sent.value)
-                total = own if total is None else [a + b for a, b in zip(total, own)]
+                bounds = 2 * np.concatenate([[0], stop + 1])
+                raw = classes.astype("<i2").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([raw[a:b] for a, b in zip(bounds, bounds[1:])], pa.binary())], ["seen"])
+
+    return docs.where("NOT held_out").select("text").mapInArrow(read, "seen binary")
+
+
+def expected_counts(seen, states):
+    """One pass of Baum-Welch: the expected counts of all training documents and their log likelihood, summed over the tasks."""
+    sent = seen.sparkSession.sparkContext.broadcast(states)
+
+    def blobs(batch):
+        return batch.column(0).to_pylist()
+
+    def count(batches):
+        total = None
+        for held in gathered(batches, blobs, len, 2 * SWEPT):
+            classes = np.frombuffer(b"".join(held), "<i2").astype(np.int64)
+            own = counts_of(classes, np.array([len(b) // 2 for b in held]), sent.value)
+            total = own if total is None else [a + b for a, b in zip(total, own)]
         if total is not None:
-            flat = np.concatenate([x.ravel() for x in total])
+            flat = np.concatenate([np.ravel(x) for x in total])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["i", "v"])
 
-    rows = docs.where("NOT held_out").select("text").mapInArrow(count, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    rows = seen.mapInArrow(count, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    sent.unpersist()
     k = len(states.start)
-    flat = np.zeros(k + k * k + k * CLASSES)
+    flat = np.zeros(k + k * k + k * CLASSES + 1)
     flat[rows.column("i").to_numpy()] = rows.column("v").to_numpy()
-    return flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k :].reshape(k, CLASSES)
+    return flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k : -1].reshape(k, CLASSES), flat[-1]
 
 
 def start_states(docs, classes):
-    """States fitted to evenly spread chunks of START training documents."""
-
-    def chunks(batches):
-        for batch in batches:
-            for _, data, offsets in slices(batch.column(0)):
-                _, found, _, stop = tokens_of(data, offsets, hashes=False)
-                for lo, hi in zip(np.concatenate([[0], stop[:-1] + 1]), stop + 1):
-                    many = -(-(hi - lo) // CHUNK)
-                    pick = np.unique(np.linspace(0, many - 1, START_CHUNKS).astype(np.int64))
-                    parts = [found[lo + p * CHUNK : min(lo + (p + 1) * CHUNK, hi)] for p in pick]
-                    yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(parts).astype("<i2").tobytes()], pa.binary())], ["seen"])
-
-    chosen = docs.where("NOT held_out").select("doc_id", "version").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(START).distinct()
-    rows = docs.where("NOT held_out").join(F.broadcast(chosen), ["doc_id", "version"], "left_semi").select("text").mapInArrow(chunks, "seen binary").limit(START).collect()
-    seen = [np.frombuffer(r["seen"], "<i2").astype(np.int64) for r in sorted(rows)]
-    states = first_states(classes)
-    if seen:
-        sweep = Sweep(np.concatenate(seen), np.array([len(s) for s in seen]))
-        for _ in range(START_PASSES):
-            states = reestimated(*sweep.counts(states), classes)
+    """States before the first pass: drawn around ``classes``, the counts over all training documents of ``docs``."""
+    return first_states(classes)
+
+
+def trained(docs, classes, tokens, passes=None):
+    """The states after Baum-Welch over all training documents: ``passes`` times, or until the likelihood stops rising."""
+    states = start_states(docs, classes)
+    if passes == 0 or not tokens:
+        return states
+    seen = written(classes_of_texts(docs), "classes")
+    done, before = 0, -np.inf
+    while passes is None or done < passes:
+        *counts, likely = expected_counts(seen, states)
+        states = reestimated(*counts, classes)
+        done += 1
+        if passes is None and likely - before < GAIN * tokens:
+            break
+        before = likely
     return states
 
 
-def scored(docs, passes=PASSES):
+def scored(docs, passes=None):
     """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10).
 
     Only documents that are not held out are learned from, all of them whole. Null texts count as empty: they hold the
@@ -413,9 +486,7 @@ def scored(docs, passes=PASSES):
     mass, seen, total, distinct = class_counts(words)
     known = most_frequent(spark, words)
     classes = (seen + 1) / (seen + 1).sum()
-    states = start_states(told, classes)
-    for _ in range(passes):
-        states = reestimated(*expected_counts(told, states), classes)
+    states = trained(told, classes, total, passes)
     sent = spark.sparkContext.broadcast((known, states, np.log10(mass + 1.0)))
 
     def score(batches):

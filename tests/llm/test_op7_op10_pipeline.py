@@ -59,6 +59,26 @@ def test_sweep_is_the_forward_and_backward_recursion():
         assert np.allclose(got, want)
 
 
+def test_counts_of_mixed_lengths_are_those_of_the_sweep():
+    rng = np.random.default_rng(3)
+    states = lm.first_states(rng.dirichlet(np.ones(lm.CLASSES)))
+    count = np.concatenate([rng.integers(1, 90, 60), [1, 4000, 700, 64, 65]])
+    seen = rng.integers(0, lm.CLASSES, count.sum())
+    want = lm.Sweep(seen, count).counts(states)
+    assert want[3] == pytest.approx(lm.Sweep(seen, count).forward(states)[0].sum())
+    for got in (lm.side_by_side(seen, count, states), lm.counts_of(seen, count, states)):
+        for g, w in zip(got, want):
+            assert np.allclose(g, w)
+
+
+def test_training_ends_when_the_likelihood_stops_rising(spark):
+    """More passes over all training documents raise the likelihood by no more than the last one was allowed to."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    told = [sum(r["score"] for r in got if not r["held_out"]) for got in (lm.scored(df).collect(), lm.scored(df, passes=45).collect())]
+    tokens = lm.scored(df, passes=0).first()["train_tokens"]
+    assert abs(told[0] - told[1]) < 1e-4 * tokens
+
+
 def check_scores(got, rows):
     words = [(i, words_of(t, True) + [None]) for i, t in rows]
     counts = Counter(w for i, own in words if fold(i, 7) != 2 for w in own)
