@@ -90,13 +90,38 @@ def _is_box(rings):
 SUPPORTED = ("POINT", "LINESTRING", "POLYGON", "MULTIPOLYGON")
 
 
+def _segments(ring):
+    n = F.greatest(F.size(ring) - 1, F.lit(0))
+    return F.zip_with(F.slice(ring, 1, n), F.slice(ring, 2, n), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+
+
+def _shares_a_stretch(e, s):
+    """The two segments lie on one line and have more than a point in common."""
+
+    def off(v):
+        return (s["q"]["x"] - s["p"]["x"]) * (v["y"] - s["p"]["y"]) - (s["q"]["y"] - s["p"]["y"]) * (v["x"] - s["p"]["x"])
+
+    def overlap(k):
+        high = F.least(F.greatest(e["p"][k], e["q"][k]), F.greatest(s["p"][k], s["q"][k]))
+        return high > F.greatest(F.least(e["p"][k], e["q"][k]), F.least(s["p"][k], s["q"][k]))
+
+    return (off(e["p"]) == 0) & (off(e["q"]) == 0) & (overlap("x") | overlap("y"))
+
+
+def _broken_holes(part):
+    """A hole runs along the outer ring, so the text is no valid polygon."""
+    rings = part["rings"]
+    holes = F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0)))
+    return F.exists(holes, lambda h: F.exists(_segments(h), lambda e: F.exists(_segments(rings[0]), lambda s: _shares_a_stretch(e, s))))
+
+
 def _read(df, id_col, wkt_col):
     read = df.select(F.col(id_col).alias("id"), F.col(wkt_col).alias("wkt"), G.geometry(F.col(wkt_col)).alias("g"))
     reason = (
         F.when(F.col("g").isNull(), "no geometry")
         .when(~F.col("g.kind").isin(*SUPPORTED), "kind without relations")
         .when(F.size("g.parts") == 0, "empty")
-        .when(F.exists("g.parts", lambda p: F.size(p["rings"]) > 1), "holes")
+        .when(F.exists("g.parts", _broken_holes), "holes")
     )
     return read.withColumn("reason", reason)
 
@@ -109,7 +134,8 @@ def put_aside(df: DataFrame, id_col, wkt_col) -> DataFrame:
 def prepare(df: DataFrame, id_col, wkt_col) -> DataFrame:
     """``id, rings, shape, box, plain`` of the WKT rows that have relations; ``plain`` marks points and rectangles.
 
-    Points, lines, polygons without holes and multipolygons of such; ``put_aside`` gives the others with the reason.
+    Points, lines, polygons with their holes and multipolygons of such; ``put_aside`` gives the others with the reason
+    (multipoints, multilines and collections; holes that run along the outer ring).
     """
     parsed = _read(df, id_col, wkt_col).filter(F.col("reason").isNull()).select(
         "id", F.flatten(F.transform("g.parts", lambda p: p["rings"])).alias("rings"), F.col("g.kind").alias("shape")
@@ -216,8 +242,12 @@ def _pieces(edges, others):
     return (np.vstack(mids) if mids else np.empty((0, 2))), meet
 
 
+#: Steps to both sides of a shared stretch of boundary, whatever its direction.
+AROUND = 1e-7 * np.array([(1, 0), (0, 1), (-1, 0), (0, -1), (1, 1), (-1, 1), (-1, -1), (1, -1)])
+
+
 def relate(a, a_shape, b, b_shape):
-    """Names of the relations that hold between two simple shapes without holes."""
+    """Names of the relations that hold between two simple shapes; rings of holes count by the even–odd rule."""
     dim = {"POINT": 0, "LINESTRING": 1, "POLYGON": 2, "MULTIPOLYGON": 2}
     da, db = dim[a_shape], dim[b_shape]
     if da > db:
@@ -276,9 +306,13 @@ def relate(a, a_shape, b, b_shape):
     if not (touch or (place_b > 0).any()):
         return set()
     names = {"sfIntersects"}
-    a_in_b, b_in_a = not (place_a == 0).any(), not (place_b == 0).any()
+    # a hole's ring can lie inside the other shape, and a shape can fill a hole: boundaries alone do not tell
+    near = (mids_a[place_a == 1][:, None] + AROUND).reshape(-1, 2)
+    near_a, near_b = _point_place(near, a), _point_place(near, b)
+    a_in_b = not ((place_a == 0).any() or (place_b == 2).any() or ((near_a == 2) & (near_b == 0)).any())
+    b_in_a = not ((place_b == 0).any() or (place_a == 2).any() or ((near_b == 2) & (near_a == 0)).any())
     same = a_in_b and b_in_a
-    inner = same or (place_a == 2).any() or (place_b == 2).any()
+    inner = same or (place_a == 2).any() or (place_b == 2).any() or ((near_a == 2) & (near_b == 2)).any()
     if not inner:
         return names | {"sfTouches"}
     if same:

@@ -190,6 +190,39 @@ def test_what_has_no_relations_is_put_aside(spark):
     assert aside == {2: "kind without relations", 3: "no geometry", 4: "empty", 5: "holes"}
 
 
+def square(x, y, half):
+    return f"({x - half} {y - half}, {x + half} {y - half}, {x + half} {y + half}, {x - half} {y + half}, {x - half} {y - half})"
+
+
+def test_relations_of_shapes_with_holes(spark):
+    """A sea with an island, and a multipolygon with it: points, lines and areas in, on and around the hole."""
+    sea = f"{square(0, 0, 10)}, {square(0, 0, 4)}"
+    seas = [("sea", f"POLYGON ({sea})"), ("seas", f"MULTIPOLYGON (({sea}), ({square(40, 0, 10)}))")]
+    others = [
+        ("water", "POINT (7 0)", {"sfWithin"}),
+        ("land", "POINT (0 0)", None),
+        ("shore", "POINT (4 1)", {"sfTouches"}),
+        ("coast", "POINT (10 1)", {"sfTouches"}),
+        ("away", "POINT (0 11)", None),
+        ("route", "LINESTRING (-7 -7, 7 -7)", {"sfWithin"}),
+        ("bridge", "LINESTRING (-7 0, 7 0)", {"sfCrosses"}),
+        ("road", "LINESTRING (-2 0, 2 0)", None),
+        ("hill", f"POLYGON ({square(0, 0, 2)})", None),
+        ("island", f"POLYGON ({square(0, 0, 4)})", {"sfTouches"}),
+        ("ring", f"POLYGON ({square(0, 0, 6)})", {"sfOverlaps"}),
+        ("bay", f"POLYGON ({square(7, 7, 1)})", {"sfWithin"}),
+        ("atoll", f"POLYGON ({square(0, 0, 8)}, {square(0, 0, 5)})", {"sfWithin"}),
+    ]
+    right = S.prepare(spark.createDataFrame(seas, "id string, wkt string"), "id", "wkt")
+    left = S.prepare(spark.createDataFrame([o[:2] for o in others], "id string, wkt string"), "id", "wkt")
+    got = {tuple(r) for r in S.relation_pairs(left, right).collect()}
+    assert got == {(i, rel, sea) for i, _, want in others if want for rel in want | {"sfIntersects"} for sea in ("sea", "seas")}
+    whole = S.prepare(spark.createDataFrame([("whole", f"POLYGON ({square(0, 0, 10)})")], "id string, wkt string"), "id", "wkt")
+    back = {tuple(r) for r in S.relation_pairs(right, whole).collect() if r["s"] == "sea"}
+    assert back == {("sea", "sfWithin", "whole"), ("sea", "sfIntersects", "whole")}
+    assert ("sea", "sfEquals", "sea") in {tuple(r) for r in S.relation_pairs(right, right).collect()}
+
+
 def test_long_geometry_texts(spark):
     ring = ", ".join(f"{i % 1000} {i // 1000}" for i in range(60_000))
     df = spark.createDataFrame([(f"POLYGON (({ring}, 0 0))",)], "wkt string")
