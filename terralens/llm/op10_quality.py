@@ -167,6 +167,7 @@ def learn(docs, labels, label="quality", sample=SAMPLE):
     bounded_batches(docs.sparkSession)
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
+        .join(docs.select("doc_id"), "doc_id", "left_semi")
         .groupBy("doc_id")
         .agg(F.avg(label).alias("label"))
         .orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id")

@@ -153,6 +153,16 @@ def test_scores_against_the_plain_network():
     assert len(quality.scores(pa.array([], pa.string()), net)) == 0
 
 
+def test_labels_of_other_documents_take_no_place_in_the_sample(spark):
+    texts = [(i, "good words here " * 9 if i % 2 else "XQ#7 %%% 00" * 9) for i in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.range(5000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
+    got = quality.learn(docs, labels, sample=20)
+    alone = quality.learn(docs, labels.where("doc_id < 40"), sample=20)
+    assert np.abs(alone.weights).max() > 0
+    assert np.allclose(got.weights, alone.weights) and np.isclose(got.bias, alone.bias)
+
+
 def test_quality_of_held_out_documents(spark):
     sf = "/root/testdata/sf0.1"
     got = quality.quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality"), "doc_id").where("held_out").collect()
