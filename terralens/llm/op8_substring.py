@@ -56,12 +56,14 @@ def blocks(data, offsets, window=WINDOW, run=RUN):
 
 
 def part_of(anchors):
-    return (anchors >> U64(56)).astype(np.int64)
+    """The part of an anchor; mixed anew, as the least of many hashes lies near zero."""
+    return (mix64(anchors) >> U64(56)).astype(np.int64)
 
 
 def place_of(anchors):
     """The bit of an anchor in the filter."""
-    return part_of(anchors) * PART_BITS + ((anchors >> U64(8)) % U64(PART_BITS)).astype(np.int64)
+    mixed = mix64(anchors)
+    return (mixed >> U64(56)).astype(np.int64) * PART_BITS + ((mixed >> U64(8)) % U64(PART_BITS)).astype(np.int64)
 
 
 def cut_by(part, parts):

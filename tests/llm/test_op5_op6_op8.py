@@ -171,3 +171,10 @@ def test_repeats_of_a_table(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted(map(tuple, repeats.substring(spark, sf).collect()), key=str) == brute_repeats(rows)
+
+
+def test_least_hashes_spread_over_the_parts():
+    anchors = np.random.default_rng(2).integers(0, 2**63, (200_000, 43), dtype=np.uint64).min(1)
+    part = repeats.part_of(anchors)
+    assert np.bincount(part, minlength=repeats.PARTS).max() < 2 * len(anchors) / repeats.PARTS
+    assert (repeats.place_of(anchors) // repeats.PART_BITS == part).all()
