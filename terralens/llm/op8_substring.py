@@ -1,10 +1,10 @@
-"""Removing repeated passages by a relative Lempel-Ziv parse of each document against all reference blocks.
+"""Removing repeated passages by matching each document's 50-word windows with those of earlier documents.
 
 Every run of 50 words is a reference block of the first document that has it. Blocks are indexed by an anchor, the
-least hash of the shorter runs inside, so equal blocks meet wherever they stand. A document is parsed against the
-blocks of documents before it: a factor is as long as one reference document goes on to match, never shorter than a
-block, and the words between factors are literals. Factors may overlap where one reference ends and another begins,
-so no block that lies over such a boundary counts unless some reference has it whole.
+least hash of the shorter runs inside, so equal blocks meet wherever they stand. Neighbouring windows with one source
+are joined to a factor. No place in the source is kept, so the source holds each window of a factor, but not always
+the factor as a whole, and a longer match elsewhere is not preferred; this is no Lempel-Ziv parse. The words that
+factors cover are those of the repeated windows, whatever the factors' sources.
 """
 
 from __future__ import annotations
@@ -157,7 +157,7 @@ def runs_of(keep, doc, version, source, first, window):
 
 
 def factors(docs, window=WINDOW, run=RUN):
-    """Rows (doc_id, version, source, first, last): the words from first up to last are a factor of the document that
+    """Rows (doc_id, version, source, first, last): each 50-word window of the words from first up to last
     stands in ``source``, a document with a smaller id; version tells texts of one id apart.
 
     ``docs`` has doc_id, version and text. Among the next documents of a task the smallest one of a block answers for
