@@ -61,7 +61,8 @@ def set_digests(found, at):
 def frequency_levels(docs, width):
     """One bit map for each of LEVELS: which shingles so many documents with different sets are seen to hold.
 
-    A task counts the shingles that several documents of its next few thousand hold; the counts are summed over all documents. The
+    A task counts only the shingles that several different sets of one of its blocks hold, and these counts are summed.
+    They are lower bounds that depend on the layout: a shingle that each block holds once counts as never seen. The
     maps have a fixed size and only decide the order of the shingles, in which any function of the shingle is right:
     rarer shingles that pass unseen, and more shingles than bits, cost candidates, never links.
     """
