@@ -21,10 +21,10 @@ from .shared import bounded_batches, shuffle_partitions, written
 CAT = Catalogue()
 
 LEAST = 0.93
-#: Vectors that centres and words are learned from, vectors a list, lists at most, subspaces, words of each.
+#: Vectors that centres and words are learned from, vectors that a label's list should hold, lists at most, subspaces, words of each.
 SAMPLE, PER_LIST, LISTS, SUBSPACES, WORDS = 8192, 1024, 256, 8, 256
-#: Vectors of a block; a longer list has several.
-BLOCK = 1024
+#: Vectors of a block; a longer list has several. Listed blocks that a task should get for an asking one.
+BLOCK, TOGETHER = 1024, 8
 #: Parts that the copies of one vector are counted in.
 SALTS = 32
 SLACK = 1e-6
@@ -219,7 +219,8 @@ def found_links(blocks, quantiser, radius, least, within, width):
     A pair of blocks is compared once, in one of the tasks that its asking block is dealt to. No pairs are emitted.
     """
     spark = blocks.sparkSession
-    parts = shuffle_partitions(spark)
+    most = blocks.groupBy("label").count().agg(F.max("count").alias("n")).first()["n"] or 1
+    parts = max(1, min(shuffle_partitions(spark), -(-most // TOGETHER)))
     names = ["label", "cell", "nos", "weights", "xs", "codes", "errors"]
     asking = blocks.select("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"), F.col("block").alias("listed"), *names)
     wanted = blocks.select(F.col("block").alias("asking"), "label", F.explode("reached").alias("cell"))
@@ -252,7 +253,7 @@ def found_links(blocks, quantiser, radius, least, within, width):
 
     return (
         asking.unionByName(offered)
-        .repartition(parts, "block", "part")
+        .repartition(shuffle_partitions(spark), "block", "part")
         .sortWithinPartitions("block", "part", "kind", "listed")
         .select("kind", "listed", *names)
         .mapInArrow(compare, "no long, links long, root long")
@@ -277,11 +278,12 @@ def neighbours(vectors, least=LEAST):
     salted = written(salted, "salted")
     nodes = salted.groupBy("label", "embedding").agg(F.min("first").alias("first"), F.sum("n").alias("weight"))
     nodes = written(nodes.withColumn("x", F.col("embedding").cast("array<double>")).withColumn("no", F.monotonically_increasing_id()), "nodes")
-    sizes = nodes.agg(F.max(F.size("x")).alias("width"), F.count(F.lit(1)).alias("n")).first()
+    sizes = nodes.agg(F.max(F.size("x")).alias("width"), F.count(F.lit(1)).alias("n"), F.approx_count_distinct("label").alias("labels")).first()
     width = max(sizes["width"] or 0, 1)
+    lists = min(LISTS, -(-sizes["n"] // (PER_LIST * max(sizes["labels"], 1))))
     sample = nodes.orderBy(F.xxhash64("label", "first"), "no").limit(SAMPLE).select("x").toArrow().combine_chunks()
     sample = units(matrix(sample.column(0).combine_chunks(), width)) if sizes["n"] else np.ones((1, width))
-    quantiser = spark.sparkContext.broadcast(Quantiser(sample, min(LISTS, -(-sizes["n"] // PER_LIST))))
+    quantiser = spark.sparkContext.broadcast(Quantiser(sample, lists))
     rows = written(coded(nodes, quantiser, width), "coded")
     far = np.zeros(len(quantiser.value.centres))
     for r in rows.groupBy("cell").agg(F.max("far").alias("far")).collect():

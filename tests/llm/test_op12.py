@@ -59,7 +59,7 @@ def rows():
 
 
 def test_links_and_components_against_brute_force(spark, rows, monkeypatch):
-    for name, value in (("PER_LIST", 60), ("BLOCK", 16), ("WORDS", 32)):
+    for name, value in (("PER_LIST", 20), ("BLOCK", 16), ("WORDS", 32)):
         monkeypatch.setattr(op, name, value)
     df = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], f"{FIELDS}, no long, first string, weight int").repartition(4)
     want = brute(rows)
