@@ -23,8 +23,9 @@ CAT = Catalogue()
 EVERY, POSITIVES, NEGATIVES, LOW, HIGH, SCALE = 100, 5, 10, 30, 90, 256
 #: Anchors that the centres are learned from, anchors a cluster and clusters at most (each has a list of all rows).
 SAMPLE, PER_CLUSTER, CLUSTERS = 8192, 256, 32
-#: Rows of a piece of a list, anchors that walk it together, pieces that all of them read before any bound is known.
-PIECE, MEMBERS, HEAD = 1024, 1024, 4
+#: Rows of a piece of a list, anchors that walk it together, pieces that all of them read before any bound is known,
+#: pieces that a task should get for a block of anchors.
+PIECE, MEMBERS, HEAD, TOGETHER = 1024, 1024, 4, 8
 NONE, MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 SLACK = 1e-6
 
@@ -257,7 +258,8 @@ def walked(members, lists, centres, width, same, top):
     """
     spark = members.sparkSession
     blocks = written(walkers(members), "walkers")
-    parts = shuffle_partitions(spark)
+    most = lists.groupBy("cluster").count().agg(F.max("count").alias("n")).first()["n"] or 1
+    parts = max(1, min(shuffle_partitions(spark), -(-most // TOGETHER)))
     walk_no = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
     blobs = [f.split()[0] for f in MEMBER.split(", ")]
     empty = {n: F.lit(None).cast("binary").alias(n) for n in ("angles", "lows", "highs", "bars")}
@@ -288,7 +290,7 @@ def walked(members, lists, centres, width, same, top):
 
     return (
         asking.unionByName(offered)
-        .repartition(parts, "block", "part")
+        .repartition(shuffle_partitions(spark), "block", "part")
         .sortWithinPartitions("block", "part", "kind", F.desc("most"), "no")
         .mapInArrow(walk, "anchor_id long, slot long, vec_id long, score long")
     )

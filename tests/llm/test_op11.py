@@ -32,7 +32,7 @@ FIELDS = "vec_id long, label int, embedding array<double>"
 @pytest.mark.parametrize("spread", [0.2, 3.0])
 def test_negatives_against_brute_force(spark, monkeypatch, spread):
     # several clusters, pieces and blocks; the narrow clusters let walks end early
-    for name, value in (("PER_CLUSTER", 4), ("PIECE", 16), ("MEMBERS", 3), ("HEAD", 1)):
+    for name, value in (("PER_CLUSTER", 4), ("PIECE", 16), ("MEMBERS", 7), ("HEAD", 1)):
         monkeypatch.setattr(op, name, value)
     rng = np.random.default_rng(6)
     heart = rng.normal(size=(8, 6)) * 3
