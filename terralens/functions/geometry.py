@@ -54,9 +54,12 @@ def _members(text):
     return F.arrays_zip(F.transform(kinds, F.upper).alias("kind"), bodies.alias("body"))
 
 
-def _coordinates(body, depth):
+def _coordinates(name, body):
+    """The member's coordinates as texts, always as polygons of rings of points: the kind tells how many levels are missing."""
     nested = F.translate(F.regexp_replace(body, _VERTEX, '{"$1","$2"}'), "(){}", "[][]")
-    return F.from_json(nested, "array<" * depth + "string" + ">" * depth)
+    lines = name.isin("POLYGON", "MULTILINESTRING") | ((name == "MULTIPOINT") & body.rlike(r"^\(\s*\("))
+    levels = F.when(name == "MULTIPOLYGON", "").when(lines, "[").otherwise("[[")
+    return F.from_json(F.concat(levels, nested, F.translate(levels, "[", "]")), "array<array<array<array<string>>>>")
 
 
 def _line(pairs):
@@ -70,19 +73,24 @@ def _parts(member):
     def part(kind_name, rings):
         return F.struct(F.lit(kind_name).alias("kind"), rings.alias("rings"))
 
-    flat, lines, polygons = _coordinates(body, 2), _coordinates(body, 3), _coordinates(body, 4)
-    own = (
-        F.when(F.upper(body) == "EMPTY", F.array().cast(f"array<{PART}>"))
-        .when(name == "POINT", F.array(part("POINT", F.array(_line(flat)))))
-        .when(name == "LINESTRING", F.array(part("LINESTRING", F.array(_line(flat)))))
-        .when(name == "POLYGON", F.array(part("POLYGON", F.transform(lines, _line))))
-        .when(name == "MULTILINESTRING", F.transform(lines, lambda l: part("LINESTRING", F.array(_line(l)))))
-        .when(name == "MULTIPOLYGON", F.transform(polygons, lambda p: part("POLYGON", F.transform(p, _line))))
-        .when(body.rlike(r"^\(\s*\("), F.transform(lines, lambda l: part("POINT", F.array(_line(l)))))
-        .otherwise(F.transform(flat, lambda p: part("POINT", F.array(F.array(point(p[0].try_cast("double"), p[1].try_cast("double")))))))
-    )
-    broken = F.exists(own, lambda p: p["rings"].isNull() | F.exists(p["rings"], lambda r: r.isNull() | F.exists(r, lambda v: v["x"].isNull() | v["y"].isNull())))
-    return F.when(~broken, own)
+    def own(polygons):
+        each = lambda kind_name: F.transform(polygons, lambda rings: part(kind_name, rings))
+        lines = lambda kind_name: F.transform(polygons[0], lambda line: part(kind_name, F.array(line)))
+        points = F.transform(polygons[0], lambda line: F.transform(line, lambda v: part("POINT", F.array(F.array(v)))))
+        return (
+            F.when(name == "POINT", each("POINT"))
+            .when(name == "LINESTRING", each("LINESTRING"))
+            .when(name == "MULTILINESTRING", lines("LINESTRING"))
+            .when(name == "MULTIPOINT", F.flatten(points))
+            .otherwise(each("POLYGON"))
+        )
+
+    def sound(parts):
+        broken = F.exists(parts, lambda p: p["rings"].isNull() | F.exists(p["rings"], lambda r: r.isNull() | F.exists(r, lambda v: v["x"].isNull() | v["y"].isNull())))
+        return F.when(~broken, parts)
+
+    read = let(F.transform(_coordinates(name, body), lambda rings: F.transform(rings, _line)), lambda polygons: let(own(polygons), sound))
+    return F.when(F.upper(body) == "EMPTY", F.array().cast(f"array<{PART}>")).otherwise(read)
 
 
 def kind(wkt):
@@ -102,10 +110,13 @@ def geometry(wkt):
             collection = bare.rlike(COLLECTION)
             rest = F.regexp_replace(bare, MEMBER, "")
             sound = F.when(collection, rest.rlike(_FRAME)).otherwise((F.trim(rest) == "") & (F.size(members) == 1))
-            parts = F.transform(members, _parts)
-            whole = F.when(sound & ~F.exists(parts, lambda p: p.isNull()), F.flatten(parts))
             name = F.when(collection, F.lit("GEOMETRYCOLLECTION")).otherwise(members[0]["kind"])
-            return F.when(whole.isNotNull(), F.struct(name.alias("kind"), whole.alias("parts")))
+
+            def told(parts):
+                whole = ~F.exists(parts, lambda p: p.isNull())
+                return F.when(whole, F.struct(name.alias("kind"), F.flatten(parts).alias("parts")))
+
+            return F.when(sound, let(F.transform(members, _parts), told))
 
         return let(_members(bare), read)
 
@@ -199,8 +210,8 @@ def line_from_geojson(geojson):
 
 def _edges(ring, fn):
     """fn(p, next p) over the ring, the last point followed by the first."""
-    shifted = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
-    return F.zip_with(ring, shifted, fn)
+    shifted = lambda r: F.concat(F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, 1, 1))
+    return let(ring, lambda r: F.zip_with(r, shifted(r), fn))
 
 
 def signed_area(ring):
@@ -216,10 +227,12 @@ def ring_area(ring):
 def area(parts):
     """Area of a geometry's parts: the outer ring less the holes of each polygon; points and lines have none."""
 
-    def of(part):
-        rings = F.transform(part["rings"], ring_area)
+    def less_holes(rings):
         holes = F.aggregate(F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0))), F.lit(0.0), lambda acc, a: acc + a)
-        return F.when((part["kind"] == "POLYGON") & (F.size(rings) > 0), rings[0] - holes).otherwise(0.0)
+        return F.when(F.size(rings) > 0, rings[0] - holes).otherwise(0.0)
+
+    def of(part):
+        return F.when(part["kind"] == "POLYGON", let(F.transform(part["rings"], ring_area), less_holes)).otherwise(0.0)
 
     return F.aggregate(F.transform(parts, of), F.lit(0.0), lambda acc, a: acc + a)
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +17,8 @@ from ..functions import geometry as G
 from ..functions import rdf
 from ..session import materialise
 from . import neighbours
+from .relations import RELATIONS, related, summary
 
-RELATIONS = ("sfEquals", "sfWithin", "sfContains", "sfCovers", "sfTouches", "sfCrosses", "sfOverlaps", "sfIntersects")
 SUBTILES = 16
 HOT_PAIRS = 4_000_000
 
@@ -87,61 +86,35 @@ def _is_box(rings):
     return rectangle
 
 
-SUPPORTED = ("POINT", "LINESTRING", "POLYGON", "MULTIPOLYGON")
-
-
-def _segments(ring):
-    n = F.greatest(F.size(ring) - 1, F.lit(0))
-    return F.zip_with(F.slice(ring, 1, n), F.slice(ring, 2, n), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
-
-
-def _shares_a_stretch(e, s):
-    """The two segments lie on one line and have more than a point in common."""
-
-    def off(v):
-        return (s["q"]["x"] - s["p"]["x"]) * (v["y"] - s["p"]["y"]) - (s["q"]["y"] - s["p"]["y"]) * (v["x"] - s["p"]["x"])
-
-    def overlap(k):
-        high = F.least(F.greatest(e["p"][k], e["q"][k]), F.greatest(s["p"][k], s["q"][k]))
-        return high > F.greatest(F.least(e["p"][k], e["q"][k]), F.least(s["p"][k], s["q"][k]))
-
-    return (off(e["p"]) == 0) & (off(e["q"]) == 0) & (overlap("x") | overlap("y"))
-
-
-def _broken_holes(part):
-    """A hole runs along the outer ring, so the text is no valid polygon."""
-    rings = part["rings"]
-    holes = F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0)))
-    return F.exists(holes, lambda h: F.exists(_segments(h), lambda e: F.exists(_segments(rings[0]), lambda s: _shares_a_stretch(e, s))))
-
-
 def _read(df, id_col, wkt_col):
-    read = df.select(F.col(id_col).alias("id"), F.col(wkt_col).alias("wkt"), G.geometry(F.col(wkt_col)).alias("g"))
-    reason = (
-        F.when(F.col("g").isNull(), "no geometry")
-        .when(~F.col("g.kind").isin(*SUPPORTED), "kind without relations")
-        .when(F.size("g.parts") == 0, "empty")
-        .when(F.exists("g.parts", _broken_holes), "holes")
-    )
-    return read.withColumn("reason", reason)
+    """``members(id, wkt, g)`` and ``shapes(g, g_parts, reason)``: each distinct text is parsed once."""
+    members = df.select(F.col(id_col).alias("id"), F.col(wkt_col).alias("wkt"), F.md5(F.coalesce(F.col(wkt_col), F.lit(""))).alias("g"))
+    texts = members.groupBy("g").agg(F.any_value("wkt").alias("text"))
+    shapes = texts.select("g", G.geometry(F.col("text")).alias("read"))
+    reason = F.when(F.col("read").isNull(), "no geometry").when(F.size("read.parts") == 0, "empty")
+    return members, shapes.select("g", F.col("read.parts").alias("parts"), reason.alias("reason"))
 
 
 def put_aside(df: DataFrame, id_col, wkt_col) -> DataFrame:
-    """``id, wkt, reason`` of the rows that ``prepare`` leaves out."""
-    return _read(df, id_col, wkt_col).filter(F.col("reason").isNotNull()).select("id", "wkt", "reason")
+    """``id, wkt, reason`` of the rows that ``prepare`` leaves out: empty geometries and texts that are none."""
+    members, shapes = _read(df, id_col, wkt_col)
+    return members.join(shapes.filter(F.col("reason").isNotNull()).select("g", "reason"), "g").select("id", "wkt", "reason")
 
 
 def prepare(df: DataFrame, id_col, wkt_col) -> DataFrame:
-    """``id, rings, shape, box, plain`` of the WKT rows that have relations; ``plain`` marks points and rectangles.
+    """``id, g, parts, box, plain, point`` of the rows that hold a geometry of any of the seven kinds.
 
-    Points, lines, polygons with their holes and multipolygons of such; ``put_aside`` gives the others with the reason
-    (multipoints, multilines and collections; holes that run along the outer ring).
+    ``g`` names the text, ``plain`` marks single points and rectangles. ``put_aside`` gives the other rows.
     """
-    parsed = _read(df, id_col, wkt_col).filter(F.col("reason").isNull()).select(
-        "id", F.flatten(F.transform("g.parts", lambda p: p["rings"])).alias("rings"), F.col("g.kind").alias("shape")
+    members, shapes = _read(df, id_col, wkt_col)
+    one = F.col("parts")[0]
+    single = F.size("parts") == 1
+    point = single & (one["kind"] == "POINT")
+    plain = point | (single & (one["kind"] == "POLYGON") & _is_box(one["rings"]))
+    whole = shapes.filter(F.col("reason").isNull()).select(
+        "g", "parts", G.bounds(F.flatten(F.transform("parts", lambda p: p["rings"]))).alias("box"), plain.alias("plain"), point.alias("point")
     )
-    plain = (F.col("shape") == "POINT") | ((F.col("shape") == "POLYGON") & _is_box(F.col("rings")))
-    return parsed.withColumn("box", G.bounds(F.col("rings"))).withColumn("plain", plain)
+    return members.select("g", "id").join(whole, "g").select("id", "g", "parts", "box", "plain", "point")
 
 
 def _plain_relations(l, r, l_point, r_point):
@@ -172,237 +145,32 @@ def _plain_relations(l, r, l_point, r_point):
     return F.filter(F.array(*[F.when(flags[n], F.lit(n)) for n in RELATIONS]), lambda x: x.isNotNull())
 
 
-# --- relations of general simple shapes, one pair at a time inside an Arrow batch ---
-
-
-def _edges_of(rings, shape):
-    """Edge array (n, 4) of lines and rings."""
-    parts = [np.hstack([r[:-1], r[1:]]) for r in rings if len(r) > 1]
-    return np.vstack(parts) if parts else np.empty((0, 4))
-
-
-def _point_place(points, rings):
-    """0 outside, 1 on the boundary, 2 inside of the polygon rings (even–odd rule)."""
-    e = _edges_of(rings, "POLYGON")
-    x, y = points[:, :1], points[:, 1:]
-    ax, ay, bx, by = (e[:, i] for i in range(4))
-    cross = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
-    scale = np.maximum(np.hypot(bx - ax, by - ay), 1e-300)
-    on = (np.abs(cross) <= 1e-9 * scale) & (x >= np.minimum(ax, bx) - 1e-9) & (x <= np.maximum(ax, bx) + 1e-9)
-    on &= (y >= np.minimum(ay, by) - 1e-9) & (y <= np.maximum(ay, by) + 1e-9)
-    upward = (ay > y) != (by > y)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        hit = upward & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
-    inside = hit.sum(1) % 2 == 1
-    return np.where(on.any(1), 1, np.where(inside, 2, 0))
-
-
-def _on_edges(points, edges):
-    x, y = points[:, :1], points[:, 1:]
-    ax, ay, bx, by = (edges[:, i] for i in range(4))
-    dx, dy = bx - ax, by - ay
-    length2 = np.maximum(dx * dx + dy * dy, 1e-300)
-    t = np.clip(((x - ax) * dx + (y - ay) * dy) / length2, 0, 1)
-    return (np.hypot(x - (ax + t * dx), y - (ay + t * dy)) <= 1e-9).any(1)
-
-
-def _cuts(e, others):
-    """Midpoints of the pieces of edge ``e`` cut by the other edges, and whether any other edge meets it."""
-    ax, ay, bx, by = e
-    dx, dy = bx - ax, by - ay
-    cx, cy = others[:, 0], others[:, 1]
-    ex, ey = others[:, 2] - cx, others[:, 3] - cy
-    det = dx * ey - dy * ex
-    ts = [0.0, 1.0]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = ((cx - ax) * ey - (cy - ay) * ex) / det
-        u = ((cx - ax) * dy - (cy - ay) * dx) / det
-    ok = (det != 0) & (t >= -1e-12) & (t <= 1 + 1e-12) & (u >= -1e-12) & (u <= 1 + 1e-12)
-    ts += t[ok].tolist()
-    length2 = dx * dx + dy * dy
-    meet = bool(ok.any())
-    if length2 > 0:
-        collinear = (det == 0) & (np.abs((cx - ax) * dy - (cy - ay) * dx) <= 1e-9 * length2**0.5)
-        s0 = ((cx - ax) * dx + (cy - ay) * dy) / length2
-        s1 = ((others[:, 2] - ax) * dx + (others[:, 3] - ay) * dy) / length2
-        meet = meet or bool((collinear & (np.minimum(s0, s1) <= 1) & (np.maximum(s0, s1) >= 0)).any())
-        for s in (s0, s1):
-            ts += s[collinear & (s >= 0) & (s <= 1)].tolist()
-    ts = np.unique(np.clip(ts, 0.0, 1.0))
-    mids = (ts[:-1] + ts[1:]) / 2 if len(ts) > 1 else ts
-    return np.column_stack([ax + mids * dx, ay + mids * dy]), meet
-
-
-def _pieces(edges, others):
-    mids, meet = [], False
-    for e in edges:
-        m, cut = _cuts(e, others)
-        mids.append(m)
-        meet = meet or cut
-    return (np.vstack(mids) if mids else np.empty((0, 2))), meet
-
-
-#: Steps to both sides of a shared stretch of boundary, whatever its direction.
-AROUND = 1e-7 * np.array([(1, 0), (0, 1), (-1, 0), (0, -1), (1, 1), (-1, 1), (-1, -1), (1, -1)])
-
-
-def relate(a, a_shape, b, b_shape):
-    """Names of the relations that hold between two simple shapes; rings of holes count by the even–odd rule."""
-    dim = {"POINT": 0, "LINESTRING": 1, "POLYGON": 2, "MULTIPOLYGON": 2}
-    da, db = dim[a_shape], dim[b_shape]
-    if da > db:
-        back = relate(b, b_shape, a, a_shape)
-        flip = {"sfWithin": "sfContains", "sfContains": "sfWithin"}
-        names = {flip.get(n, n) for n in back if n != "sfCovers"}
-        # covering needs no point of b outside a
-        if _covered(b, b_shape, a, a_shape):
-            names.add("sfCovers")
-        return names
-    if da == 0:
-        p = a[0]
-        if db == 0:
-            same = bool((p == b[0]).all())
-            return set(RELATIONS) - {"sfTouches", "sfCrosses", "sfOverlaps"} if same else set()
-        if db == 1:
-            if not _on_edges(p, _edges_of(b, b_shape))[0]:
-                return set()
-            ends = {tuple(r[0]) for r in b} | {tuple(r[-1]) for r in b}
-            closed = all((r[0] == r[-1]).all() for r in b)
-            edge = tuple(p[0]) in ends and not closed
-            return {"sfIntersects", "sfTouches"} if edge else {"sfIntersects", "sfWithin"}
-        place = _point_place(p, b)[0]
-        return {0: set(), 1: {"sfIntersects", "sfTouches"}, 2: {"sfIntersects", "sfWithin"}}[int(place)]
-    ea, eb = _edges_of(a, a_shape), _edges_of(b, b_shape)
-    mids_a, meet = _pieces(ea, eb)
-    if da == 1 and db == 1:
-        mids_b, _ = _pieces(eb, ea)
-        on_a, on_b = _on_edges(mids_a, eb), _on_edges(mids_b, ea)
-        if not meet:
-            return set()
-        names = {"sfIntersects"}
-        if on_a.all() and on_b.all():
-            return names | {"sfEquals", "sfWithin", "sfContains", "sfCovers"}
-        if on_b.all():
-            return names | {"sfContains", "sfCovers"}
-        if on_a.all():
-            return names | {"sfWithin"}
-        if on_a.any():
-            return names | {"sfOverlaps"}
-        ends_a = np.array([q for r in a for q in (r[0], r[-1])])
-        ends_b = np.array([q for r in b for q in (r[0], r[-1])])
-        crossing = _interior_crossing(ea, eb, ends_a, ends_b)
-        return names | ({"sfCrosses"} if crossing else {"sfTouches"})
-    place_a = _point_place(mids_a, b)
-    touch = meet or (place_a > 0).any() or (_point_place(np.vstack(a), b) > 0).any()
-    if da == 1:
-        if not touch:
-            return set()
-        names = {"sfIntersects"}
-        if not (place_a == 2).any():
-            return names | {"sfTouches"}
-        return names | ({"sfCrosses"} if (place_a == 0).any() else {"sfWithin"})
-    mids_b, _ = _pieces(eb, ea)
-    place_b = _point_place(mids_b, a)
-    if not (touch or (place_b > 0).any()):
-        return set()
-    names = {"sfIntersects"}
-    # a hole's ring can lie inside the other shape, and a shape can fill a hole: boundaries alone do not tell
-    near = (mids_a[place_a == 1][:, None] + AROUND).reshape(-1, 2)
-    near_a, near_b = _point_place(near, a), _point_place(near, b)
-    a_in_b = not ((place_a == 0).any() or (place_b == 2).any() or ((near_a == 2) & (near_b == 0)).any())
-    b_in_a = not ((place_b == 0).any() or (place_a == 2).any() or ((near_b == 2) & (near_a == 0)).any())
-    same = a_in_b and b_in_a
-    inner = same or (place_a == 2).any() or (place_b == 2).any() or ((near_a == 2) & (near_b == 2)).any()
-    if not inner:
-        return names | {"sfTouches"}
-    if same:
-        return names | {"sfEquals", "sfWithin", "sfContains", "sfCovers"}
-    if b_in_a:
-        return names | {"sfContains", "sfCovers"}
-    if a_in_b:
-        return names | {"sfWithin"}
-    return names | {"sfOverlaps"}
-
-
-def _covered(b, b_shape, a, a_shape):
-    """No point of the lower-dimensional ``b`` lies outside ``a``."""
-    if b_shape == "POINT":
-        if a_shape == "LINESTRING":
-            return bool(_on_edges(b[0], _edges_of(a, a_shape))[0])
-        return bool(_point_place(b[0], a)[0] > 0)
-    mids, _ = _pieces(_edges_of(b, b_shape), _edges_of(a, a_shape))
-    return bool((_point_place(mids, a) > 0).all())
-
-
-def _interior_crossing(ea, eb, ends_a, ends_b):
-    """Two lines share a point that is an end of neither."""
-    for e in ea:
-        ax, ay, bx, by = e
-        dx, dy = bx - ax, by - ay
-        ex, ey = eb[:, 2] - eb[:, 0], eb[:, 3] - eb[:, 1]
-        det = dx * ey - dy * ex
-        with np.errstate(divide="ignore", invalid="ignore"):
-            t = ((eb[:, 0] - ax) * ey - (eb[:, 1] - ay) * ex) / det
-            u = ((eb[:, 0] - ax) * dy - (eb[:, 1] - ay) * dx) / det
-        for i in np.nonzero((det != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1))[0]:
-            p = np.array([ax + t[i] * dx, ay + t[i] * dy])
-            at_end = (np.abs(ends_a - p).max(1) < 1e-9).any() or (np.abs(ends_b - p).max(1) < 1e-9).any()
-            if not at_end:
-                return True
-    return False
-
-
-def _relate_udf():
-    @F.pandas_udf("array<string>")
-    def names(a, a_shape, b, b_shape):
-        import pandas as pd
-
-        def rings(value):
-            return [np.array([(p["x"], p["y"]) for p in ring], float) for ring in value]
-
-        out = []
-        for ga, sa, gb, sb in zip(a, a_shape, b, b_shape):
-            if ga is None:
-                out.append(None)
-                continue
-            found = relate(rings(ga), sa, rings(gb), sb)
-            out.append([n for n in RELATIONS if n in found])
-        return pd.Series(out, dtype=object)
+def _unique(df, side):
+    """The distinct geometries of a layer, each parsed and summed up once, and the members of each."""
+    shapes = df.select("g", "parts", "box", "plain", "point").dropDuplicates(["g"]).withColumn("grid", summary(F.col("parts")))
+    return materialise(shapes, "shapes"), df.select("g", F.col("id").alias(side))
 
-    return names
 
+def relation_pairs(left: DataFrame, right: DataFrame, size=10.0, relations=RELATIONS, hot_pairs=HOT_PAIRS) -> DataFrame:
+    """Materialised relations ``(s, rel, o)`` between two prepared layers.
 
-def _unique(df, side):
-    """Distinct geometries and the members of each."""
-    keyed = df.withColumn("g", F.md5(F.to_json(F.struct("rings", "shape"))))
-    shapes = keyed.groupBy("g").agg(
-        F.any_value("rings").alias(f"{side}_rings"),
-        F.any_value("shape").alias(f"{side}_shape"),
-        F.any_value("box").alias("box"),
-        F.any_value("plain").alias(f"{side}_plain"),
-    )
-    return shapes.withColumnRenamed("g", f"{side}_g"), keyed.select("g", "id")
+    Points and rectangles are decided by their bounds; all other pairs by ``relations.related``.
+    """
+    l, l_members = _unique(left, "s")
+    r, r_members = _unique(right, "o")
 
+    def sided(shapes, side):
+        return shapes.select(F.col("g").alias(f"{side}_g"), "box", *[F.col(n).alias(f"{side}_{n}") for n in ("plain", "point", "grid")])
 
-def relation_pairs(left: DataFrame, right: DataFrame, size=10.0, relations=RELATIONS, hot_pairs=HOT_PAIRS) -> DataFrame:
-    """Materialised relations ``(s, rel, o)`` between two prepared layers."""
-    l, l_members = _unique(left, "l")
-    r, r_members = _unique(right, "r")
-    pairs = candidate_pairs(l, r, size, hot_pairs)
+    pairs = candidate_pairs(sided(l, "l"), sided(r, "r"), size, hot_pairs)
     plain = F.col("l_plain") & F.col("r_plain")
-    quick = _plain_relations(
-        F.col("lbox"), F.col("rbox"), F.col("l_shape") == "POINT", F.col("r_shape") == "POINT"
-    )
-    # rectangles and points stay in the JVM; the helper sees null for them
-    slow = _relate_udf()(
-        F.when(~plain, F.col("l_rings")), F.col("l_shape"), F.when(~plain, F.col("r_rings")), F.col("r_shape")
-    )
-    related = pairs.select("l_g", "r_g", F.explode(F.when(plain, quick).otherwise(slow)).alias("rel"))
-    related = related.filter(F.col("rel").isin(*relations))
-    named = related.join(l_members.select(F.col("g").alias("l_g"), F.col("id").alias("s")), "l_g").join(
-        r_members.select(F.col("g").alias("r_g"), F.col("id").alias("o")), "r_g"
-    )
-    return named.select("s", "rel", "o")
+    quick = _plain_relations(F.col("lbox"), F.col("rbox"), F.col("l_point"), F.col("r_point"))
+    found = pairs.filter(plain).select("l_g", "r_g", quick.alias("rels"))
+    if not (l.filter(~F.col("plain")).isEmpty() and r.filter(~F.col("plain")).isEmpty()):
+        shapes = l.unionByName(r).select("g", "parts", "grid").dropDuplicates(["g"])
+        found = found.unionByName(related(pairs.filter(~plain), shapes))
+    found = found.select("l_g", "r_g", F.explode("rels").alias("rel")).filter(F.col("rel").isin(*relations))
+    return found.join(l_members.withColumnRenamed("g", "l_g"), "l_g").join(r_members.withColumnRenamed("g", "r_g"), "r_g").select("s", "rel", "o")
 
 
 def relation_triples(pairs: DataFrame) -> DataFrame:
