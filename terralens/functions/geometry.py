@@ -30,6 +30,7 @@ SIDE_OF_CELL = {
 _BODY = r"\([^()]*+(?:\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)[^()]*+)*+\)"
 _SIMPLE = "MULTIPOLYGON|MULTILINESTRING|MULTIPOINT|POLYGON|LINESTRING|POINT"
 MEMBER = rf"(?i)({_SIMPLE})\s*(?:ZM|Z|M)?\s*({_BODY}|EMPTY)"
+ALONE = rf"(?i)^({_SIMPLE})\s*(?:ZM|Z|M)?\s*({_BODY}|EMPTY)\s*$"
 COLLECTION = r"(?i)^GEOMETRYCOLLECTION\b"
 # what is left of a collection once its members are gone
 _FRAME = r"(?i)^(?:GEOMETRYCOLLECTION\s*(?:ZM|Z|M)?|EMPTY|[\s,()])*+$"
@@ -105,20 +106,17 @@ def geometry(wkt):
     Null when the text as a whole is no such geometry, so callers can put the row aside.
     """
 
-    def of(bare):
-        def read(members):
-            collection = bare.rlike(COLLECTION)
-            rest = F.regexp_replace(bare, MEMBER, "")
-            sound = F.when(collection, rest.rlike(_FRAME)).otherwise((F.trim(rest) == "") & (F.size(members) == 1))
-            name = F.when(collection, F.lit("GEOMETRYCOLLECTION")).otherwise(members[0]["kind"])
-
-            def told(parts):
-                whole = ~F.exists(parts, lambda p: p.isNull())
-                return F.when(whole, F.struct(name.alias("kind"), F.flatten(parts).alias("parts")))
+    def told(kind_name, members, sound):
+        def whole(parts):
+            return F.when(~F.exists(parts, lambda p: p.isNull()), F.struct(kind_name.alias("kind"), F.flatten(parts).alias("parts")))
 
-            return F.when(sound, let(F.transform(members, _parts), told))
+        return F.when(sound, let(F.transform(members, _parts), whole))
 
-        return let(_members(bare), read)
+    def of(bare):
+        collection = let(_members(bare), lambda m: told(F.lit("GEOMETRYCOLLECTION"), m, F.regexp_replace(bare, MEMBER, "").rlike(_FRAME)))
+        name, body = F.upper(F.regexp_extract(bare, ALONE, 1)), F.regexp_extract(bare, ALONE, 2)
+        single = let(F.struct(name.alias("kind"), body.alias("body")), lambda m: told(m["kind"], F.array(m), m["kind"] != ""))
+        return F.when(bare.rlike(COLLECTION), collection).otherwise(single)
 
     return let(_bare(wkt), of)
 
@@ -130,7 +128,7 @@ def parse_wkt(wkt):
 
 def number_text(x):
     """Coordinate text without a trailing ``.0``."""
-    return F.regexp_replace(x.cast("string"), r"\.0$", "")
+    return F.when((x == F.floor(x)) & (F.abs(x) < 1e7), x.cast("bigint").cast("string")).otherwise(x.cast("string"))
 
 
 def ring_text(ring):
@@ -152,39 +150,39 @@ def _points(coordinates):
     return F.transform(coordinates, lambda c: point(c[0], c[1]))
 
 
+def _geojson(geojson, body):
+    """``body(type, polygons)`` of a GeoJSON geometry text; its coordinates are read once, as polygons whatever the type."""
+
+    def read(told):
+        shape, raw = told["type"], told["coordinates"]
+        lines = shape.isin("Polygon", "MultiLineString")
+        levels = F.when(shape == "MultiPolygon", "").when(lines, "[").when(shape.isin("LineString", "MultiPoint"), "[[").when(shape == "Point", "[[[")
+        nested = F.from_json(F.concat(levels, raw, F.translate(levels, "[", "]")), "array<array<array<array<double>>>>")
+        return let(nested, lambda polygons: body(shape, polygons))
+
+    return let(F.struct(F.get_json_object(geojson, "$.type").alias("type"), F.get_json_object(geojson, "$.coordinates").alias("coordinates")), read)
+
+
+def _all_rings(shape, polygons):
+    each = F.flatten(F.transform(polygons, lambda p: F.transform(p, _points)))
+    return F.when(shape == "MultiPoint", F.transform(polygons[0][0], lambda c: F.array(point(c[0], c[1])))).otherwise(each)
+
+
 def geojson_rings(geojson):
     """Rings of a GeoJSON geometry text; null for a collection."""
-    shape = F.get_json_object(geojson, "$.type")
-    raw = F.get_json_object(geojson, "$.coordinates")
+    return _geojson(geojson, _all_rings)
 
-    def coords(depth):
-        return F.from_json(raw, "array<" * depth + "double" + ">" * depth)
 
-    one = coords(1)
-    return (
-        F.when(shape == "Point", F.array(F.array(point(one[0], one[1]))))
-        .when(shape == "LineString", F.array(_points(coords(2))))
-        .when(shape == "MultiPoint", F.transform(coords(2), lambda c: F.array(point(c[0], c[1]))))
-        .when(shape == "MultiLineString", F.transform(coords(3), _points))
-        .when(shape == "Polygon", F.transform(coords(3), _points))
-        .when(shape == "MultiPolygon", F.flatten(F.transform(coords(4), lambda p: F.transform(p, _points))))
-    )
+def _simple_geojson_to_wkt(geojson):
+    def ring(r):
+        return F.concat(F.lit("("), ring_text(_points(r)), F.lit(")"))
 
+    def text(shape, polygons):
+        nested = F.transform(polygons, lambda p: F.concat(F.lit("("), F.array_join(F.transform(p, ring), ", "), F.lit(")")))
+        multi = F.concat(F.lit("MULTIPOLYGON ("), F.array_join(nested, ", "), F.lit(")"))
+        return F.when(shape == "MultiPolygon", multi).otherwise(let(_all_rings(shape, polygons), lambda rings: to_wkt(rings, F.upper(shape))))
 
-def _simple_geojson_to_wkt(geojson):
-    shape = F.upper(F.get_json_object(geojson, "$.type"))
-    raw = F.get_json_object(geojson, "$.coordinates")
-    nested = F.transform(
-        F.from_json(raw, "array<array<array<array<double>>>>"),
-        lambda poly: F.concat(
-            F.lit("("),
-            F.array_join(F.transform(poly, lambda r: F.concat(F.lit("("), ring_text(_points(r)), F.lit(")"))), ", "),
-            F.lit(")"),
-        ),
-    )
-    return F.when(shape == "MULTIPOLYGON", F.concat(F.lit("MULTIPOLYGON ("), F.array_join(nested, ", "), F.lit(")"))).otherwise(
-        to_wkt(geojson_rings(geojson), shape)
-    )
+    return _geojson(geojson, text)
 
 
 def geojson_members(geojson):

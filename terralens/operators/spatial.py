@@ -8,6 +8,7 @@ of the common box, so no pass to drop repeated pairs is needed.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import DataFrame
@@ -336,9 +337,7 @@ def beside(left: DataFrame, right: DataFrame, by, direction) -> DataFrame:
 
 def river_wkt(geojson):
     """A river's GeoJSON, a collection of lines and points or one of them, as zero-width polygons of its maximal lines."""
-    members = F.coalesce(G.geojson_members(geojson), F.array(geojson))
-    lines = F.filter(F.transform(members, G.line_from_geojson), lambda l: l.isNotNull())
-    merged = merge_lines(lines)
+    merged = _line_merger(_lines_of)(geojson)
     return F.when(F.size(merged) > 0, G.to_wkt(F.transform(merged, G.thin_polygon), F.lit("MULTIPOLYGON")))
 
 
@@ -347,14 +346,28 @@ def merge_lines(lines):
 
     ``lines`` is an array column ``ARRAY<ARRAY<STRUCT<x,y>>>``; a document's lines sit in its own row.
     """
+    return _line_merger(lambda row: row)(lines)
 
+
+def _line_merger(read):
     @F.pandas_udf(G.RINGS)
     def merged(column):
         import pandas as pd
 
-        return pd.Series([None if row is None else _merged(row) for row in column], dtype=object)
+        rows = [None if row is None else read(row) for row in column]
+        return pd.Series([None if row is None else _merged(row) for row in rows], dtype=object)
+
+    return merged
+
 
-    return merged(lines)
+def _lines_of(geojson):
+    """The lines of a GeoJSON text or of its collection's members; null where it is none."""
+    try:
+        told = json.loads(geojson)
+        lines = [m["coordinates"] for m in told.get("geometries", [told]) if m.get("type") == "LineString"]
+        return [[{"x": float(v[0]), "y": float(v[1])} for v in line] for line in lines]
+    except (ValueError, TypeError, KeyError, IndexError, AttributeError):
+        return None
 
 
 def _merged(row):
@@ -378,7 +391,7 @@ def _merged(row):
                 return path
             line = lines[nexts[0]]
             used.add(nexts[0])
-            path = path + (line if line[0] == tip else line[::-1])[1:]
+            path.extend((line if line[0] == tip else line[::-1])[1:])
 
     for i, line in enumerate(lines):
         if i in used:
