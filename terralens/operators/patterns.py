@@ -70,16 +70,37 @@ def join_on_shared(left: DataFrame, right: DataFrame, how="inner") -> DataFrame:
     return left.join(right, shared, how)
 
 
-def match(triples: DataFrame, patterns) -> DataFrame:
-    """Basic graph pattern: patterns joined on their shared variables, in a connected order."""
-    rest = [match_one(triples, p) for p in patterns]
-    solution = rest.pop(0)
+def join_order(patterns, counts=None):
+    """The patterns in the order they are joined: each shares a variable with one before it.
+
+    With ``counts``, the triples of each predicate, the rarest comes first; a constant subject or object counts as rarer
+    than any predicate. Without, the written order is kept where it is connected.
+    """
+
+    def size(pattern):
+        s, p, o = pattern
+        constants = sum(not _variable(t) for t in (s, o))
+        return (-constants, sum(counts.values()) if _variable(p) else counts.get(p, 0))
+
+    def variables(pattern):
+        return {t for t in pattern if _variable(t)}
+
+    rest = list(patterns)
+    if counts is not None:
+        rest.sort(key=size)
+    ordered = [rest.pop(0)]
     while rest:
-        position = next((i for i, r in enumerate(rest) if _shared(solution, r)), None)
+        known = set().union(*map(variables, ordered))
+        position = next((i for i, p in enumerate(rest) if variables(p) & known), None)
         if position is None:
             raise ValueError("the pattern is not connected")
-        solution = join_on_shared(solution, rest.pop(position))
-    return solution
+        ordered.append(rest.pop(position))
+    return ordered
+
+
+def match(triples: DataFrame, patterns, counts=None) -> DataFrame:
+    """Basic graph pattern: patterns joined on their shared variables in the order of ``join_order``."""
+    return reduce(join_on_shared, [match_one(triples, p) for p in join_order(patterns, counts)])
 
 
 def optional(solution: DataFrame, group: DataFrame) -> DataFrame:

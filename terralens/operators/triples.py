@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rdf
+from ..session import scratch_dir
 
 TEXT, INTEGER, DOUBLE, DATETIME = None, rdf.XSD + "integer", rdf.XSD + "double", rdf.XSD + "dateTime"
 
@@ -182,6 +183,19 @@ def with_predicate(triples: DataFrame, *predicates) -> DataFrame:
     return triples.filter(F.col("p").isin(*predicates))
 
 
+def stored(triples: DataFrame, name="graph") -> DataFrame:
+    """The graph written once to the shared folder, a partition for each predicate: a constant predicate reads only its own."""
+    spark = triples.sparkSession
+    path = scratch_dir(spark, name)
+    triples.select("s", "p", "o").write.partitionBy("p").parquet(path)
+    return spark.read.schema("s string, o string, p string").parquet(path).select("s", "p", "o")
+
+
+def statistics(triples: DataFrame) -> dict:
+    """Triples of each predicate as a dictionary; a graph has as many predicates as its vocabulary, whatever its size."""
+    return {r["p"]: r["n"] for r in predicate_counts(triples).collect()}
+
+
 def predicate_counts(triples: DataFrame) -> DataFrame:
     return triples.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
 

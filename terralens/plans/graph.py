@@ -48,19 +48,30 @@ STAR = [
 
 
 def star(spark, sf, only=None):
-    frames = [
-        T.row_triples(table(spark, sf, name), cls, key, literals, relations, VOC)
-        for name, cls, key, literals, relations in STAR
-        if only is None or name in only
-    ]
-    return T.graph(frames)
+    return T.graph(
+        [T.row_triples(table(spark, sf, name), cls, key, literals, relations, VOC) for name, cls, key, literals, relations in STAR if only is None or name in only]
+    )
+
+
+def kept(spark, sf, name, build):
+    """(graph, counts): the graph of the tables in a folder, stored by predicate by the first query of the application
+    that asks for it, with the triples of each predicate."""
+    context = spark.sparkContext
+    if not hasattr(context, "terralens_graphs"):
+        context.terralens_graphs = {}
+    if (name, sf) not in context.terralens_graphs:
+        graph = T.stored(build(spark, sf), name)
+        context.terralens_graphs[name, sf] = graph, T.statistics(graph)
+    return context.terralens_graphs[name, sf]
+
 
+def star_store(spark, sf):
+    return kept(spark, sf, "star", star)
 
-def star_sql(only=None):
+
+def star_sql():
     parts = []
     for name, cls, key, literals, relations in STAR:
-        if only is not None and name not in only:
-            continue
         s = f"'<r/{cls}/' || {key} || '>'"
         parts.append(f"SELECT {s} AS s, '{rdf.RDF_TYPE}' AS p, '<o/{cls}>' AS o FROM {name}")
         for c, p, t in literals:
@@ -71,7 +82,6 @@ def star_sql(only=None):
     return " UNION ALL ".join(parts)
 
 
-SMALL = ("region", "nation", "customer", "supplier")
 QN = "WITH t AS (" + star_sql() + ") "
 
 
@@ -377,6 +387,12 @@ def prj_10(spark, sf):
     return T.wide(star(spark, sf), WIDE)
 
 
+def ordered(spark, sf, patterns):
+    """The stored star graph, the patterns and the counts that order them."""
+    graph, counts = star_store(spark, sf)
+    return graph, patterns, counts
+
+
 @CAT.add(
     "prj_12",
     QN + """SELECT a.s AS customer, upper(substr(a.o, 2, length(a.o) - 2)) AS shout FROM t a JOIN t b ON a.s = b.s
@@ -384,8 +400,7 @@ WHERE a.p = '<o/name>' AND b.p = '<o/segment>' AND b.o = '"BUILDING"'""",
 )
 def prj_12(spark, sf):
     """SELECT list with an expression."""
-    g = star(spark, sf)
-    found = P.match(g, [("?c", "<o/segment>", '"BUILDING"'), ("?c", "<o/name>", "?n")])
+    found = P.match(*ordered(spark, sf, [("?c", "<o/segment>", '"BUILDING"'), ("?c", "<o/name>", "?n")]))
     return P.select(found, {"customer": F.col("c"), "shout": F.upper(rdf.literal_value(F.col("n")))})
 
 
@@ -404,13 +419,13 @@ def set_01(spark, sf):
 @CAT.add("flt_01", f"SELECT * FROM ({' UNION ALL '.join(entity_sql(c) for c in CLASSES)}) WHERE p = '{rdf.HAS_GEOMETRY}'")
 def flt_01(spark, sf):
     """Triples of one predicate."""
-    return T.with_predicate(set_01(spark, sf), rdf.HAS_GEOMETRY)
+    return T.with_predicate(kept(spark, sf, "entities", set_01)[0], rdf.HAS_GEOMETRY)
 
 
 @CAT.add("agg_34", QN + "SELECT p, count(*) AS n FROM t GROUP BY p")
 def agg_34(spark, sf):
     """Triples per predicate."""
-    return T.predicate_counts(star(spark, sf))
+    return T.predicate_counts(star_store(spark, sf)[0])
 
 
 def crs_terms(spark, sf):
@@ -570,7 +585,7 @@ CUSTOMER_REGION = [("?c", rdf.RDF_TYPE, "<o/customer>"), ("?c", "<o/inNation>",
 )
 def jn_05(spark, sf):
     """Basic graph pattern customer → nation → region."""
-    return P.match(star(spark, sf, SMALL), CUSTOMER_REGION)
+    return P.match(*ordered(spark, sf, CUSTOMER_REGION))
 
 
 @CAT.add(
@@ -579,8 +594,8 @@ def jn_05(spark, sf):
 )
 def jn_06(spark, sf):
     """OPTIONAL group: urgent orders of a customer."""
-    g = star(spark, sf)
-    urgent = P.match(g, [("?o", "<o/orderedBy>", "?c"), ("?o", "<o/priority>", '"1-URGENT"')])
+    g, counts = star_store(spark, sf)
+    urgent = P.match(g, [("?o", "<o/orderedBy>", "?c"), ("?o", "<o/priority>", '"1-URGENT"')], counts)
     return P.optional(P.match_one(g, ("?c", rdf.RDF_TYPE, "<o/customer>")), urgent)
 
 
@@ -590,8 +605,8 @@ def jn_06(spark, sf):
 )
 def jn_07(spark, sf):
     """MINUS group."""
-    g = star(spark, sf)
-    pending = P.match(g, [("?o", "<o/status>", '"P"'), ("?o", "<o/orderedBy>", "?c")])
+    g, counts = star_store(spark, sf)
+    pending = P.match(g, [("?o", "<o/status>", '"P"'), ("?o", "<o/orderedBy>", "?c")], counts)
     return P.minus(P.match_one(g, ("?c", rdf.RDF_TYPE, "<o/customer>")), pending)
 
 
@@ -601,9 +616,9 @@ def jn_07(spark, sf):
 )
 def jn_08(spark, sf):
     """EXISTS and NOT EXISTS over a sub-pattern."""
-    g = star(spark, sf)
+    g, counts = star_store(spark, sf)
     customers = P.match_one(g, ("?c", rdf.RDF_TYPE, "<o/customer>"))
-    final = P.match(g, [("?o", "<o/status>", '"F"'), ("?o", "<o/orderedBy>", "?c")])
+    final = P.match(g, [("?o", "<o/status>", '"F"'), ("?o", "<o/orderedBy>", "?c")], counts)
     yes = P.exists(customers, final).withColumn("has_final", F.lit(True))
     return yes.unionByName(P.exists(customers, final, negated=True).withColumn("has_final", F.lit(False)))
 
@@ -617,7 +632,7 @@ BALANCED = [("?c", "<o/balance>", "?b"), ("?c", "<o/segment>", "?g")]
 )
 def flt_06(spark, sf):
     """Boolean filter with AND, OR and NOT."""
-    found = P.match(star(spark, sf, SMALL), BALANCED)
+    found = P.match(*ordered(spark, sf, BALANCED))
     b = rdf.typed_value(F.col("b"), "double")
     return P.filter_all(found, (b > 5000) | (F.col("g") == '"BUILDING"'), ~(b < 0)).select("c")
 
@@ -629,7 +644,7 @@ UNION ALL SELECT '<r/supplier/' || s_suppkey || '>', NULL FROM supplier""",
 )
 def set_02(spark, sf):
     """UNION of groups binding different variables."""
-    g = star(spark, sf, SMALL)
+    g, _ = star_store(spark, sf)
     return P.union(P.match_one(g, ("?e", "<o/segment>", "?g")), P.match_one(g, ("?e", rdf.RDF_TYPE, "<o/supplier>")))
 
 
@@ -641,7 +656,7 @@ UNION ALL SELECT '<r/customer/' || c_custkey || '>', 'filter' FROM customer WHER
 )
 def set_03(spark, sf):
     """OR as one filter, and as a bag union of branches."""
-    found = P.match(star(spark, sf, SMALL), BALANCED)
+    found = P.match(*ordered(spark, sf, BALANCED))
     either = (rdf.typed_value(F.col("b"), "double") > 5000, F.col("g") == '"BUILDING"')
     bag = P.filter_any(found, *either, as_union=True).select("c", F.lit("bag").alias("form"))
     return bag.unionByName(P.filter_any(found, *either).select("c", F.lit("filter").alias("form")))
@@ -650,7 +665,7 @@ def set_03(spark, sf):
 @CAT.add("set_04", QN + "SELECT DISTINCT p, CASE WHEN o LIKE '<%' THEN 'iri' ELSE 'literal' END AS kind FROM t")
 def set_04(spark, sf):
     """DISTINCT solutions."""
-    all_triples = P.match_one(star(spark, sf), ("?s", "?p", "?o"))
+    all_triples = P.match_one(star_store(spark, sf)[0], ("?s", "?p", "?o"))
     kind = F.when(F.col("o").startswith("<"), F.lit("iri")).otherwise(F.lit("literal"))
     return P.select(all_triples, {"p": F.col("p"), "kind": kind}, distinct=True)
 
@@ -662,7 +677,7 @@ WHERE c_acctbal > 0 GROUP BY n_regionkey HAVING count(*) > 10""",
 )
 def agg_27(spark, sf):
     """GROUP BY with aggregates and HAVING."""
-    found = P.match(star(spark, sf, SMALL), [("?c", "<o/balance>", "?b"), *CUSTOMER_REGION])
+    found = P.match(*ordered(spark, sf, [("?c", "<o/balance>", "?b"), *CUSTOMER_REGION]))
     b = rdf.typed_value(F.col("b"), "double")
     return P.group(
         found.filter(b > 0),
@@ -675,7 +690,7 @@ def agg_27(spark, sf):
 @CAT.add("agg_29", "SELECT 'rich' AS question, count(*) > 0 AS answer FROM customer WHERE c_acctbal > 9000 UNION ALL SELECT 'none', count(*) > 0 FROM customer WHERE c_acctbal > 1000000")
 def agg_29(spark, sf):
     """ASK."""
-    found = P.match(star(spark, sf, SMALL), BALANCED)
+    found = P.match(*ordered(spark, sf, BALANCED))
     b = rdf.typed_value(F.col("b"), "double")
     yes = P.ask(found.filter(b > 9000)).select(F.lit("rich").alias("question"), "answer")
     return yes.unionByName(P.ask(found.filter(b > 1000000)).select(F.lit("none").alias("question"), "answer"))
@@ -689,7 +704,7 @@ SELECT '<r/region/' || n_regionkey || '>' AS region, '<r/nation/' || arg_max(c_n
 )
 def agg_32(spark, sf):
     """Superlatives, counts and totals per region."""
-    found = P.match(star(spark, sf, SMALL), [("?c", "<o/balance>", "?b"), *CUSTOMER_REGION])
+    found = P.match(*ordered(spark, sf, [("?c", "<o/balance>", "?b"), *CUSTOMER_REGION]))
     per = found.groupBy("r", "n").agg(F.count(F.lit(1)).alias("customers"), F.sum(rdf.typed_value(F.col("b"), "double")).alias("total"))
     key = F.regexp_extract("n", r"(\d+)>$", 1).cast("bigint")
     return per.groupBy(F.col("r").alias("region")).agg(
@@ -706,7 +721,7 @@ def agg_32(spark, sf):
 )
 def top_06(spark, sf):
     """ORDER BY and LIMIT."""
-    found = P.match(star(spark, sf, SMALL), BALANCED)
+    found = P.match(*ordered(spark, sf, BALANCED))
     out = {"c": F.col("c"), "balance": rdf.typed_value(F.col("b"), "double")}
     return P.select(found, out, order=[F.desc("balance"), "c"], limit=25)
 

@@ -180,3 +180,28 @@ def test_rivers_from_files(spark, tmp_path):
     found = {r["p"]: r["o"] for r in T.entity_triples(docs, "river").collect()}
     assert "MULTIPOLYGON (((0 0, 1 1, 2 5, 2 5, 1 1, 0 0, 0 0)))" in found[rdf.AS_WKT]
     assert rdf.HAS_GEOMETRY in found
+
+
+def test_patterns_read_their_predicates_only(spark, sf):
+    from terralens.plans import graph as plans
+
+    for key in ("jn_05", "jn_06", "jn_07", "flt_06", "agg_27", "flt_01"):
+        df = plans.CAT.queries[key](spark, sf)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        scans = [line for line in plan.splitlines() if "FileScan" in line]
+        assert scans and all("PartitionFilters: [isnotnull(p" in line or "PartitionFilters: [(p" in line for line in scans), key
+    graph, counts = plans.star_store(spark, sf)
+    assert counts["<o/orderedBy>"] == spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert graph.count() == sum(counts.values())
+
+
+def test_the_rarest_pattern_comes_first():
+    patterns = [("?c", "big", "?n"), ("?n", "small", "?r"), ("?r", "middle", '"x"')]
+    assert P.join_order(patterns) == patterns
+    assert P.join_order(patterns, {"big": 9, "small": 1, "middle": 5}) == [patterns[2], patterns[1], patterns[0]]
+    assert P.join_order(patterns[:2], {"big": 9, "small": 1}) == [patterns[1], patterns[0]]
+    # connected, though the next rarest shares nothing yet
+    chain = [("?a", "p1", "?b"), ("?b", "p9", "?c"), ("?c", "p2", "?d")]
+    assert P.join_order(chain, {"p1": 1, "p2": 2, "p9": 9}) == [chain[0], chain[1], chain[2]]
+    with pytest.raises(ValueError):
+        P.join_order([("?a", "p", "?b"), ("?c", "q", "?d")])
