@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from terralens.plans.common import Catalogue, table
 
-from .shared import bounded_batches, gathered, shuffle_partitions, written
+from .shared import bounded_batches, gathered, shared_folder, shuffle_partitions, written
 from .text import mix64, slices, word_hashes, word_spans
 
 CAT = Catalogue()
@@ -26,7 +26,8 @@ CAT = Catalogue()
 STATES, CLASSES, CHUNK = 6, 1025, 64
 END_CLASS = CLASSES - 1
 #: Baum-Welch passes over all training documents until one raises the log likelihood by less than GAIN a token (nats).
-GAIN, SEED = 1e-6, 5
+#: A pass goes over the documents in BLOCKS parts by hash and moves the states after each.
+GAIN, BLOCKS, SEED = 1e-4, 8, 5
 #: Tokens counted together, steps between rescalings, and how many tokens of a chunked document cost as much as a step.
 SWEPT, RESCALED, STEP_COST = 1 << 19, 4, 8
 #: Most frequent words whose counts every task knows; the others meet their counts by hash.
@@ -408,21 +409,23 @@ def rare_sums(docs, words, known, parts):
 
 
 def classes_of_texts(docs):
-    """The classes of each training document's tokens as one row (seen), two bytes each."""
+    """The classes of each training document's tokens as one row (block, seen), two bytes each; blocks are dealt by hash."""
 
     def read(batches):
         for batch in batches:
-            for _, data, offsets in slices(batch.column(0)):
+            for lo, data, offsets in slices(batch.column(1)):
                 _, classes, _, stop = tokens_of(data, offsets, hashes=False)
                 bounds = 2 * np.concatenate([[0], stop + 1])
                 raw = classes.astype("<i2").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([raw[a:b] for a, b in zip(bounds, bounds[1:])], pa.binary())], ["seen"])
+                seen = pa.array([raw[a:b] for a, b in zip(bounds, bounds[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(seen)), seen], ["block", "seen"])
 
-    return docs.where("NOT held_out").select("text").mapInArrow(read, "seen binary")
+    block = F.pmod(F.xxhash64("doc_id", "version"), F.lit(BLOCKS)).cast("int").alias("block")
+    return docs.where("NOT held_out").select(block, "text").mapInArrow(read, "block int, seen binary")
 
 
 def expected_counts(seen, states):
-    """One pass of Baum-Welch: the expected counts of all training documents and their log likelihood, summed over the tasks."""
+    """The expected counts of all documents of ``seen`` and their log likelihood, summed over the tasks, in one row of numbers."""
     sent = seen.sparkSession.sparkContext.broadcast(states)
 
     def blobs(batch):
@@ -438,11 +441,16 @@ def expected_counts(seen, states):
             flat = np.concatenate([np.ravel(x) for x in total])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["i", "v"])
 
-    rows = seen.mapInArrow(count, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    rows = seen.select("seen").mapInArrow(count, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
     sent.unpersist()
     k = len(states.start)
     flat = np.zeros(k + k * k + k * CLASSES + 1)
     flat[rows.column("i").to_numpy()] = rows.column("v").to_numpy()
+    return flat
+
+
+def parted(flat, k):
+    """Starts, moves and emits of a row of expected counts, and the log likelihood."""
     return flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k : -1].reshape(k, CLASSES), flat[-1]
 
 
@@ -452,15 +460,25 @@ def start_states(docs, classes):
 
 
 def trained(docs, classes, tokens, passes=None):
-    """The states after Baum-Welch over all training documents: ``passes`` times, or until the likelihood stops rising."""
+    """The states after Baum-Welch over all training documents: ``passes`` times, or until the likelihood stops rising.
+
+    The expectation is incremental: after each block its expected counts take the place of those it had before, and the
+    states are estimated anew from the counts of all blocks. So a pass reads every document once, moves the states once a
+    block, and needs no more passes on a larger corpus; at rest it is where whole passes rest. The likelihood of a pass
+    is the sum over its blocks, each under the states it was counted with.
+    """
     states = start_states(docs, classes)
     if passes == 0 or not tokens:
         return states
-    seen = written(classes_of_texts(docs), "classes")
-    done, before = 0, -np.inf
+    folder = shared_folder(docs.sparkSession, "classes")
+    classes_of_texts(docs).write.partitionBy("block").parquet(folder)
+    seen = docs.sparkSession.read.schema("seen binary, block int").parquet(folder)
+    counts, done, before = {}, 0, -np.inf
     while passes is None or done < passes:
-        *counts, likely = expected_counts(seen, states)
-        states = reestimated(*counts, classes)
+        for block in range(BLOCKS):
+            counts[block] = expected_counts(seen.where(F.col("block") == block), states)
+            *parts, likely = parted(sum(counts.values()), len(states.start))
+            states = reestimated(*parts, classes)
         done += 1
         if passes is None and likely - before < GAIN * tokens:
             break
