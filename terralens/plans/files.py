@@ -305,12 +305,12 @@ def snk_03(spark, sf):
 
 @CAT.add(
     "snk_04",
-    f"""WITH {media.SQL_WORDS}, {media.SQL_SIZED}, {media.SQL_PHRASE}, q AS (SELECT *, {media._cw('n')} || CASE WHEN n = 1 THEN ' vessel' ELSE ' vessels' END AS base FROM pz)
-SELECT 'img_' || o_orderkey AS filename, o_orderkey * 4 AS sentence_id, o_orderkey AS image_id, CASE WHEN n = 0 THEN 'other types of land use land cover classes' ELSE base END AS raw,
- CASE WHEN n = 0 THEN 8 ELSE 2 END AS n_tokens FROM q""",
+    f"""WITH c AS ({media.CAT.sql["str_05"]}), e AS (SELECT o_orderkey, unnest([c1, c2, c3, c4]) AS raw, unnest([0, 1, 2, 3]) AS i FROM c)
+SELECT 'img_' || o_orderkey AS filename, o_orderkey AS image_id, o_orderkey * 4 + i AS sentence_id, o_orderkey * 4 + i AS sentid, raw,
+ array_to_string(string_split(raw, ' '), '|') AS tokens FROM e""",
 )
 def snk_04(spark, sf):
-    """Nested caption documents; the first of the four sentences is compared."""
+    """Nested caption documents: all sentences with their ids and tokens."""
     path = folder(spark, "snk_04")
     s = [F.col(f"s{i}") for i in range(5)]
     from ..operators import captions as C
@@ -323,13 +323,14 @@ def snk_04(spark, sf):
     )
     W.write_captions(imgs, path)
     schema = f"filename STRING, classcode INT, sentences ARRAY<{R.SENTENCE}>, sentids ARRAY<INT>"
-    first = spark.read.schema(schema).json(path).select("filename", F.col("sentences")[0].alias("s"))
-    return first.select(
+    each = spark.read.schema(schema).json(path).select("filename", "sentids", F.posexplode("sentences").alias("i", "s"))
+    return each.select(
         "filename",
-        F.col("s.sentence_id").cast("bigint").alias("sentence_id"),
         F.col("s.image_id").cast("bigint").alias("image_id"),
+        F.col("s.sentence_id").cast("bigint").alias("sentence_id"),
+        F.col("sentids")[F.col("i")].cast("bigint").alias("sentid"),
         F.col("s.raw").alias("raw"),
-        F.size("s.tokens").alias("n_tokens"),
+        F.array_join("s.tokens", "|").alias("tokens"),
     )
 
 
@@ -350,14 +351,13 @@ def snk_06(spark, sf):
     return spark.read.parquet(path).select("key", F.array_join(F.col("code").cast("array<string>"), "").alias("code"))
 
 
-@CAT.add("snk_07", "SELECT conv_id::INTEGER AS conv_id, count(*)::INTEGER AS turns, arg_min(text, turn) AS opening FROM conversations GROUP BY conv_id")
+@CAT.add("snk_07", "SELECT conv_id::INTEGER AS conv_id, turn::BIGINT AS turn, role, text FROM conversations")
 def snk_07(spark, sf):
     """Every dialogue in its own folder."""
     path = folder(spark, "snk_07")
     W.write_dialogues(Q.transcripts(table(spark, sf, "conversations")), path)
     schema = "conv_id INT, part BIGINT, turns ARRAY<STRUCT<turn: BIGINT, role: STRING, text: STRING>>"
-    read = spark.read.schema(schema).json(path)
-    return read.select("conv_id", F.size("turns").alias("turns"), F.col("turns")[0]["text"].alias("opening"))
+    return spark.read.schema(schema).json(path).select("conv_id", F.inline("turns"))
 
 
 @CAT.add(
