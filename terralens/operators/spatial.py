@@ -2,7 +2,7 @@
 
 Pairs are found by an equi-join on grid tiles. Copies of one geometry are joined
 once and spread afterwards, tiles with too many candidate pairs are cut into
-finer ones, and a pair is kept only in the tile that holds the lower left corner
+finer ones until they are not, and a pair is kept only in the tile that holds the lower left corner
 of the common box, so no pass to drop repeated pairs is needed.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +21,8 @@ from ..session import materialise
 from . import neighbours
 from .relations import RELATIONS, related, summary
 
-SUBTILES = 16
-HOT_PAIRS = 4_000_000
+#: Finer cells a side of a crowded tile, how often a tile is cut at most, and candidate pairs that make it crowded.
+SUBTILES, LEVELS, HOT_PAIRS = 16, 5, 4_000_000
 
 
 def _span(low, high, size, first=None, last=None):
@@ -37,39 +38,69 @@ def tiled(df: DataFrame, size) -> DataFrame:
     return across.withColumn("ty", F.explode(_span(F.col("box.ymin"), F.col("box.ymax"), size)))
 
 
-def _refined(df, hot, size):
-    """Cut the hot tiles into ``SUBTILES``²; other rows get the sub tile (-1, -1)."""
-    fine = size / SUBTILES
-    marked = df.join(hot, ["tx", "ty"], "left")
+def _children(box, fine):
+    """First and last finer cells a box touches inside its tile, in both directions."""
+    def along(low, high, tile):
+        first = F.col(tile) * SUBTILES
+        return F.greatest(F.floor(low / fine), first), F.least(F.floor(high / fine), first + SUBTILES - 1)
 
-    def sub(low, high, tile):
-        start = tile * SUBTILES
-        cells = _span(low, high, fine, start, start + SUBTILES - 1)
-        return F.when(F.col("hot"), cells).otherwise(F.array(F.lit(-1).cast("bigint")))
+    return along(box["xmin"], box["xmax"], "tx"), along(box["ymin"], box["ymax"], "ty")
 
-    across = marked.withColumn("sx", F.explode(sub(F.col("box.xmin"), F.col("box.xmax"), F.col("tx"))))
-    return across.withColumn("sy", F.explode(sub(F.col("box.ymin"), F.col("box.ymax"), F.col("ty")))).drop("hot")
+
+def _load(df, box, fine, side):
+    """Rows of each tile, and how many finer cells one of them touches on average."""
+    (x0, x1), (y0, y1) = _children(F.col(box), fine)
+    return df.groupBy("tx", "ty").agg(F.count(F.lit(1)).alias(f"n{side}"), F.avg((x1 - x0 + 1) * (y1 - y0 + 1)).alias(f"m{side}"))
+
+
+def _finer(df, box, fine):
+    (x0, x1), (y0, y1) = _children(F.col(box), fine)
+    across = df.withColumn("_x", F.explode(F.sequence(x0, x1))).withColumn("_y", F.explode(F.sequence(y0, y1)))
+    return across.withColumn("tx", F.col("_x")).withColumn("ty", F.col("_y")).drop("_x", "_y")
+
+
+def cells(left: DataFrame, right: DataFrame, size, hot_pairs=HOT_PAIRS):
+    """``(left, right, keys, cell size)`` of the joins that meet all pairs: an adaptive quadtree over counted loads.
+
+    A tile with more than ``hot_pairs`` candidate pairs is cut into ``SUBTILES``² finer ones, again and again where they
+    stay crowded. Where its boxes are so large that finer tiles would only hold copies of them, the left rows are dealt
+    into as many parts as the load asks for and the right rows go to each.
+    """
+    l, r = tiled(left, size).withColumnRenamed("box", "lbox"), tiled(right, size).withColumnRenamed("box", "rbox")
+    found = []
+    for level in range(LEVELS + 1):
+        fine = size / SUBTILES
+        load = _load(l, "lbox", fine, "l").join(_load(r, "rbox", fine, "r"), ["tx", "ty"])
+        pairs = F.col("nl") * F.col("nr")
+        apart = (F.col("ml") <= SUBTILES) & (F.col("mr") <= SUBTILES) & F.lit(level < LEVELS)
+        hot = load.filter(pairs > hot_pairs).select("tx", "ty", apart.alias("cut"), F.ceil(pairs / hot_pairs).cast("int").alias("parts"))
+        hot = materialise(hot, "hot")
+        if hot.isEmpty():
+            return [*found, (l, r, ["tx", "ty"], size)]
+        found.append((l.join(hot, ["tx", "ty"], "left_anti"), r, ["tx", "ty"], size))
+        dealt = hot.filter(~F.col("cut")).drop("cut")
+        part = F.pmod(F.xxhash64("lbox"), F.col("parts")).cast("int")
+        lp = l.join(dealt, ["tx", "ty"]).withColumn("part", part).drop("parts")
+        rp = r.join(dealt, ["tx", "ty"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        found.append((lp, rp, ["tx", "ty", "part"], size))
+        again = hot.filter("cut").select("tx", "ty")
+        if again.isEmpty():
+            return found
+        l, r = _finer(l.join(again, ["tx", "ty"], "left_semi"), "lbox", fine), _finer(r.join(again, ["tx", "ty"], "left_semi"), "rbox", fine)
+        size = fine
+    return found
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame, size, hot_pairs=HOT_PAIRS) -> DataFrame:
     """Pairs with touching boxes, each once. Inputs carry ``box``; other column names must differ."""
-    lt, rt = tiled(left, size), tiled(right, size)
-    counts = lt.groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("nl")).join(
-        rt.groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("nr")), ["tx", "ty"]
-    )
-    hot = counts.filter(F.col("nl") * F.col("nr") > hot_pairs).select("tx", "ty", F.lit(True).alias("hot"))
-    l = _refined(lt, hot, size).withColumnRenamed("box", "lbox")
-    r = _refined(rt, hot, size).withColumnRenamed("box", "rbox")
     x = F.greatest(F.col("lbox.xmin"), F.col("rbox.xmin"))
     y = F.greatest(F.col("lbox.ymin"), F.col("rbox.ymin"))
     meet = (x <= F.least(F.col("lbox.xmax"), F.col("rbox.xmax"))) & (y <= F.least(F.col("lbox.ymax"), F.col("rbox.ymax")))
-    fine = size / SUBTILES
-
-    def here(value, tile, sub):
-        return F.when(F.col(sub) < 0, F.floor(value / size) == F.col(tile)).otherwise(F.floor(value / fine) == F.col(sub))
-
-    joined = l.join(r, ["tx", "ty", "sx", "sy"])
-    return joined.filter(meet & here(x, "tx", "sx") & here(y, "ty", "sy")).drop("tx", "ty", "sx", "sy")
+    joined = [
+        l.join(r, keys).filter(meet & (F.floor(x / cell) == F.col("tx")) & (F.floor(y / cell) == F.col("ty"))).drop(*keys)
+        for l, r, keys, cell in cells(left, right, size, hot_pairs)
+    ]
+    return reduce(lambda a, b: a.unionByName(b), joined)
 
 
 def _is_box(rings):

@@ -141,6 +141,41 @@ def test_fast_and_general_relations_agree_with_brute_force(spark, hot):
     assert {tuple(r) for r in slow.collect()} == want
 
 
+def box_rows(spark, rows, side):
+    """``rows`` of (id, x, y, half)."""
+    data = [(i, (x - h, y - h, x + h, y + h)) for i, x, y, h in rows]
+    return spark.createDataFrame(data, f"{side}_g bigint, box struct<xmin:double,ymin:double,xmax:double,ymax:double>")
+
+
+def touching(left, right):
+    return {(i, j) for i, x, y, h in left for j, a, b, k in right if abs(x - a) <= h + k and abs(y - b) <= h + k}
+
+
+def test_a_crowded_spot_is_cut_until_no_cell_is(spark):
+    """Nine tenths of the boxes stand within a tenth of a degree; no cell keeps more pairs than allowed."""
+    rng = np.random.default_rng(12)
+    spots = [np.column_stack([rng.uniform(3, 3.1, 450), rng.uniform(7, 7.1, 450)]), rng.uniform(-80, 80, (50, 2))]
+    rows = [[(i, float(x), float(y), 2e-5) for i, (x, y) in enumerate(np.vstack(spots) + shift)] for shift in (0.0, 1e-5)]
+    left, right = box_rows(spark, rows[0], "l"), box_rows(spark, rows[1], "r")
+    loads = []
+    for l, r, keys, _ in S.cells(left, right, 10.0, hot_pairs=500):
+        n = l.groupBy(*keys).count().withColumnRenamed("count", "n").join(r.groupBy(*keys).count(), keys)
+        loads += [row["n"] * row["count"] for row in n.collect()]
+    assert max(loads) <= 500 and sum(loads) < 450 * 450 / 10
+    got = [tuple(r) for r in S.candidate_pairs(left, right, 10.0, hot_pairs=500).select("l_g", "r_g").collect()]
+    assert len(got) == len(set(got)) and set(got) == touching(*rows)
+
+
+def test_large_boxes_on_one_spot_are_dealt_out_instead(spark):
+    rng = np.random.default_rng(13)
+    rows = [[(i, float(x), float(y), 4.0) for i, (x, y) in enumerate(rng.uniform(4, 6, (120, 2)))] for _ in "lr"]
+    left, right = box_rows(spark, rows[0], "l"), box_rows(spark, rows[1], "r")
+    found = S.cells(left, right, 10.0, hot_pairs=1000)
+    assert found[-1][2] == ["tx", "ty", "part"] and found[-1][0].count() <= 2 * left.count() * 4
+    got = [tuple(r) for r in S.candidate_pairs(left, right, 10.0, hot_pairs=1000).select("l_g", "r_g").collect()]
+    assert len(got) == len(set(got)) and set(got) == touching(*rows)
+
+
 def test_copies_of_a_geometry_all_get_their_pairs(spark):
     pts = spark.createDataFrame([(i, "POINT (1 1)") for i in range(500)] + [(500, "POINT (40 40)")], "id bigint, wkt string")
     area = spark.createDataFrame([(i, "POLYGON ((0 0, 3 0, 3 3, 0 3, 0 0))") for i in range(3)], "id bigint, wkt string")
