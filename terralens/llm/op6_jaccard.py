@@ -3,8 +3,9 @@
 All documents order their shingles alike: those known to be frequent come last, the others by hash. Two sets of similarity s or more share a shingle among the first
 n - ceil(s n) + 1 of each, and with k more of them on either side they share k + 1. Each document's prefix is
 lengthened by the shingles in it that are too costly (held by many groups of documents), which are then skipped, and
-by a fixed reserve; pairs are verified only if they share as many shingles as the lengthened prefixes ask for. Where
-the prefix holds all of a document's shingles that are not frequent, those that nobody else has bound what it can share.
+by a fixed reserve; pairs are verified only if they share as many shingles as the lengthened prefixes ask for. Before
+any prefix is stored, the shingles of whole texts that no other document holds are counted: they bound what a document can
+share, and those that cannot be similar to any take no part in the join.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ COSTLY = 32
 #: A shingle's level is how many of these numbers of documents are seen to hold it; bits for each level.
 LEVELS, LEVEL_BITS = (8, 128, 2048), 1 << 25
 #: Shingles that a task counts together, and entries that it packs together.
-COUNTED, PACKED = 4 << 20, 1 << 20
+COUNTED, PACKED = 2 << 20, 1 << 20
+#: A row counts for at least so many shingles, so that a block has fewer than 65536 rows.
+BLOCK_SHARE = 64
 #: Parts in which copies of one set meet first, and partners of a document that one task compares.
 SALTS, PARTNERS = 8, 64
 #: Bits of the filter that keeps documents without a candidate out of the verification's shuffle.
@@ -58,53 +61,159 @@ def set_digests(found, at):
     return [(s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums]
 
 
-def frequency_levels(docs, width):
-    """One bit map for each of LEVELS: which shingles so many documents with different sets are seen to hold.
+def holdings(docs, width, parts):
+    """For each row of ``docs`` its doc_id, n (set size), two digests of the set and ``lone``, a lower bound of how many
+    of its shingles no different set holds; and the bit maps of LEVELS (see `level_maps`). Both come from one table.
 
-    A task counts only the shingles that several different sets of one of its blocks hold, and these counts are summed.
-    They are lower bounds that depend on the layout: a shingle that each block holds once counts as never seen. The
-    maps have a fixed size and only decide the order of the shingles, in which any function of the shingle is right:
-    rarer shingles that pass unseen, and more shingles than bits, cost candidates, never links.
+    Every shingle of every text is counted. A task sends those that one set of its block holds as 32 bits and the number
+    of the holder in the block, those that several hold once with their count, to the part that a hash names; that part
+    sums the counts and answers each block with the number of lone shingles of each of its rows. Shingles whose bits
+    agree, and copies of a set in other blocks, only make ``lone`` smaller, so what follows from it excludes no link. An
+    answer names its block by the digest of what the block holds: a block that a lost task makes anew in another way
+    misses some answers, which again only makes ``lone`` smaller.
     """
 
     def sets(batch):
-        for _, data, offsets in slices(batch.column(0)):
+        for lo, data, offsets in slices(batch.column(1)):
+            rows = len(offsets) - 1
             found, owner = row_sets(data, offsets, width)
-            digest = set_digests(found, np.searchsorted(owner, np.arange(len(offsets))))[0]
-            yield found, owner, digest
+            at = np.searchsorted(owner, np.arange(rows + 1))
+            yield batch.column(0).slice(lo, rows), found, owner.astype(np.int32), np.diff(at), *set_digests(found, at)
 
-    def count(batches):
-        for got in gathered(batches, sets, lambda x: len(x[0]), COUNTED):
-            known, once_only = np.zeros(0, np.int64), []
-            for found, owner, digest in got:
-                once = np.zeros(len(digest), bool)
-                once[np.unique(digest, return_index=True)[1]] = True
-                once &= ~np.isin(digest, known)
-                known = np.concatenate([known, digest[once]])
-                once_only.append(found[once[owner]])
+    def pack(batches):
+        for got in gathered(batches, sets, lambda x: max(len(x[1]), BLOCK_SHARE * len(x[3])), COUNTED):
+            ids = pa.concat_arrays([g[0] for g in got])
+            base = np.cumsum([0] + [len(g[3]) for g in got])
+            n, d1, d2 = (np.concatenate([g[k] for g in got]) for k in (3, 4, 5))
+            found = np.concatenate([g[1] for g in got])
+            owner = np.concatenate([g[2] + np.int32(lo) for g, lo in zip(got, base)])
             got.clear()
-            values = np.concatenate(once_only)
-            once_only.clear()
-            values.sort()
-            new = np.ones(len(values) + 1, bool)
-            new[1:-1] = values[1:] != values[:-1]
+            # of equal sets in a block one speaks for all
+            pairs = np.rec.fromarrays([d1, d2])
+            _, first, which = np.unique(pairs, return_index=True, return_inverse=True)
+            speaker = first[which].astype(np.int32)
+            speaks = (speaker == np.arange(len(n)))[owner]
+            found, owner = found[speaks], owner[speaks]
+            order = np.argsort(found)
+            found, owner = found[order], owner[order].astype(np.uint16)
+            new = np.ones(len(found) + 1, bool)
+            new[1:-1] = found[1:] != found[:-1]
             at = np.flatnonzero(new)
-            times = np.diff(at)
-            several = times > 1
-            yield pa.RecordBatch.from_arrays([pa.array(values[at[:-1][several]].view(np.int64)), pa.array(times[several])], ["tok", "times"])
-
-    level = F.explode(F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("least")) for i, n in enumerate(LEVELS)]), lambda x: x["least"] <= F.col("times")))
-    maps = (
-        docs.select("text")
-        .mapInArrow(count, "tok long, times long")
-        .groupBy("tok")
-        .agg(F.sum("times").alias("times"))
-        .where(F.col("times") >= LEVELS[0])
-        .select("tok", level.alias("level"))
-        .select((F.col("tok").bitwiseAND(F.lit(LEVEL_BITS - 1)) + F.col("level.i") * LEVEL_BITS + 1).alias("bit"))
-        .groupBy(F.bitmap_bucket_number("bit").alias("no"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+            found, owner, times = found[at[:-1]], owner[at[:-1]], np.diff(at)
+            part = (found % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((times > 1, part))
+            part, times = part[order], times[order]
+            value, owner = (found[order] >> np.uint64(32)).astype(np.uint32), owner[order]
+            bounds = np.searchsorted(part, np.arange(parts + 1))
+            block = int((mix64(d1 + n) ^ mix64(d2)).sum(dtype=np.uint64).view(np.int64))
+            missing = ids.is_null().to_numpy(False).astype(np.uint8)
+            rows = [(block, block % parts, len(n), None, [ids.fill_null(0).to_numpy().astype(np.int64), missing, n.astype(np.int64), d1, d2, speaker])]
+            for i in np.flatnonzero(np.diff(bounds)):
+                lo, hi = bounds[i], bounds[i + 1]
+                mid = lo + int((times[lo:hi] == 1).sum())
+                rows.append((block, int(i), len(n), mid - lo, [value[lo:hi], owner[lo:mid], np.minimum(times[mid:hi], 65535).astype(np.uint16)]))
+            yield pa.RecordBatch.from_pylist(
+                [{"block": b, "part": p, "docs": d, "singles": k, "data": b"".join(x.tobytes() for x in arrays)} for b, p, d, k, arrays in rows],
+                pa.schema([("block", pa.int64()), ("part", pa.int64()), ("docs", pa.int32()), ("singles", pa.int32()), ("data", pa.binary())]),
+            )
+
+    told = pa.schema([("block", pa.int64()), ("docs", pa.int32()), ("own", pa.bool_()), ("data", pa.binary()), ("bits", pa.list_(pa.int64()))])
+
+    def counted(held):
+        """The answers to the blocks of one part, and the bits of its frequent shingles."""
+        values, weights, owners = [], [], []
+        for _, _, singles, blob in held:
+            size = singles + (len(blob) - 6 * singles) // 6
+            values.append(np.frombuffer(blob, np.uint32, size))
+            owners.append(np.frombuffer(blob, np.uint16, singles, 4 * size))
+            weight = np.ones(size, np.int64)
+            weight[singles:] = np.frombuffer(blob, np.uint16, size - singles, 4 * size + 2 * singles)
+            weights.append(weight)
+        value = np.concatenate(values)
+        order = np.argsort(value)
+        value = value[order]
+        new = np.ones(len(value) + 1, bool)
+        new[1:-1] = value[1:] != value[:-1]
+        at = np.flatnonzero(new)
+        times = np.add.reduceat(np.concatenate(weights)[order], at[:-1])
+        lone = np.zeros(len(value), bool)
+        lone[order[at[:-1][times == 1]]] = True
+        out, lo = [], 0
+        for (block, docs, singles, _), owner, v in zip(held, owners, values):
+            found = np.bincount(owner[lone[lo : lo + singles]], minlength=docs)
+            lo += len(v)
+            if found.any():
+                out.append({"block": block, "docs": docs, "own": False, "data": found.astype(np.uint8 if found.max() < 256 else np.uint32).tobytes(), "bits": []})
+        bits = [(value[at[:-1][times >= least]] % np.uint32(LEVEL_BITS)).astype(np.int64) + i * LEVEL_BITS for i, least in enumerate(LEVELS)]
+        out.append({"block": 0, "docs": 0, "own": False, "data": None, "bits": np.unique(np.concatenate(bits)).tolist()})
+        return pa.RecordBatch.from_pylist(out, told)
+
+    def count(batches):
+        part, held = None, []
+        for batch in batches:
+            for block, own, docs, singles, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if singles is None:
+                    yield pa.RecordBatch.from_pylist([{"block": block, "docs": docs, "own": True, "data": blob, "bits": []}], told)
+                    continue
+                if own != part and held:
+                    yield counted(held)
+                    held = []
+                part = own
+                held.append((block, docs, singles, blob))
+        if held:
+            yield counted(held)
+
+    partitions = shuffle_partitions(docs.sparkSession)
+    answers = written(
+        docs.select(F.col("doc_id").cast("long"), "text")
+        .mapInArrow(pack, "block long, part long, docs int, singles int, data binary")
+        .repartition(partitions, "part")
+        .sortWithinPartitions("part")
+        .mapInArrow(count, "block long, docs int, own boolean, data binary, bits array<long>"),
+        "answers",
     )
+
+    def described(own, lone):
+        docs, blob = own
+        at, out = 0, []
+        for kind in (np.int64, np.uint8, np.int64, np.int64, np.int64, np.int32):
+            out.append(np.frombuffer(blob, kind, docs, at))
+            at += docs * np.dtype(kind).itemsize
+        ids, missing, n, d1, d2, speaker = out
+        arrays = [pa.array(ids, mask=missing.astype(bool)), *map(pa.array, (n, d1, d2, lone[speaker]))]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "d1", "d2", "lone"])
+
+    def total(batches):
+        key, owns, lone = None, [], None
+        for batch in batches:
+            for block, docs, own, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if block != key:
+                    yield from (described(o, lone) for o in owns)
+                    key, owns, lone = block, [], np.zeros(docs, np.int64)
+                if own:
+                    owns.append((docs, blob))
+                else:
+                    lone += np.frombuffer(blob, np.uint8 if len(blob) == docs else np.uint32)
+        yield from (described(o, lone) for o in owns)
+
+    rows = (
+        answers.where("data IS NOT NULL")
+        .select("block", "docs", "own", "data")
+        .repartition(partitions, "block")
+        .sortWithinPartitions("block", F.col("own").desc())
+        .mapInArrow(total, "doc_id long, n long, d1 long, d2 long, lone long")
+    )
+    return rows, answers
+
+
+def level_maps(answers):
+    """One bit map for each of LEVELS: the shingles that at least so many documents hold.
+
+    The maps have a fixed size and only decide the order of the shingles, in which any function of the shingle is right:
+    more shingles than bits cost candidates, never links.
+    """
+    bit = answers.select(F.explode("bits").alias("bit")).select((F.col("bit") + 1).alias("bit"))
+    maps = bit.groupBy(F.bitmap_bucket_number("bit").alias("no")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     whole = np.zeros(len(LEVELS) * LEVEL_BITS // 8, np.uint8)
     for row in maps.toLocalIterator():
         whole[(row["no"] - 1) * 4096 : row["no"] * 4096] = np.frombuffer(row["bits"], np.uint8)
@@ -114,53 +223,48 @@ def frequency_levels(docs, width):
 def level_of(found, maps):
     level = np.zeros(len(found), np.int8)
     for i in range(len(LEVELS)):
-        bit = (found % np.uint64(LEVEL_BITS)).astype(np.int64) + i * LEVEL_BITS
+        bit = ((found >> np.uint64(32)) % np.uint64(LEVEL_BITS)).astype(np.int64) + i * LEVEL_BITS
         level += maps[bit >> 3] >> (bit & 7).astype(np.uint8) & 1
     return level
 
 
-def sketches(docs, width, percent):
-    """Per row: doc_id, n (set size), two digests of the set, how many of its shingles are not known to be frequent, and
-    its first shingles: the prefix and its reserve."""
-    maps = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, width))
+def sketches(nodes, docs, maps, width, percent):
+    """Per node (doc_id, n, d1, d2, lone): rid, n, lone and its first shingles, the prefix and its reserve."""
+    maps = docs.sparkSession.sparkContext.broadcast(maps)
 
     def sketch(batches):
         for batch in batches:
-            for lo, data, offsets in slices(batch.column(1)):
+            for lo, data, offsets in slices(batch.column(5)):
                 rows = len(offsets) - 1
                 found, owner = row_sets(data, offsets, width)
                 at = np.searchsorted(owner, np.arange(rows + 1))
                 n = np.diff(at)
-                d1, d2 = set_digests(found, at)
-                level = level_of(found, maps.value)
-                plain = np.bincount(owner[level == 0], minlength=rows)
-                found = found[np.argsort(owner * (len(LEVELS) + 1) + level, kind="stable")]
+                same = np.ones(rows, bool)  # a repeated doc_id has other texts as well
+                for k, digest in enumerate(set_digests(found, at)):
+                    same &= digest == batch.column(2 + k).slice(lo, rows).to_numpy()
+                found = found[np.lexsort((found, level_of(found, maps.value), owner))]
                 p = prefix_length(n, percent)
-                kept = np.minimum(n, p + np.maximum(p // RESERVE_SHARE, RESERVE)) * (n > 0)
-                pick = np.arange(len(found)) - at[owner] < kept[owner]
-                stored = found[pick].view(np.int64)
+                kept = np.minimum(n, p + np.maximum(p // RESERVE_SHARE, RESERVE)) * same
+                stored = found[np.arange(len(found)) - at[owner] < kept[owner]].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, rows),
                         pa.array(n, pa.int64()),
-                        pa.array(d1),
-                        pa.array(d2),
-                        pa.array(plain.astype(np.int64)),
+                        batch.column(4).slice(lo, rows),
                         pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]), pa.int32()), pa.array(stored)),
                     ],
-                    ["doc_id", "n", "d1", "d2", "plain", "stored"],
+                    ["rid", "n", "lone", "stored"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        sketch, "doc_id long, n long, d1 long, d2 long, plain long, stored array<long>"
-    )
+    texts = with_texts(docs, nodes).select("doc_id", "n", "d1", "d2", "lone", "text")
+    return texts.mapInArrow(sketch, "rid long, n long, lone long, stored array<long>").where("size(stored) > 0")
 
 
-ENTRY = np.dtype([("tok", "<i8"), ("rid", "<i8"), ("n", "<i4"), ("plain", "<i4"), ("pos", "<i4")])
+ENTRY = np.dtype([("tok", "<i8"), ("rid", "<i8"), ("n", "<i4"), ("lone", "<i4"), ("pos", "<i4")])
 
 
 def shared_shingles(nodes, parts):
-    """Rows (tok, rid, n, plain, pos) of the stored shingles that more than one node holds.
+    """Rows (tok, rid, n, lone, pos) of the stored shingles that more than one node holds.
 
     Entries travel as byte blocks by shingle. A shingle that several nodes in one block hold is known to be shared: its
     entries go on spread by node, and one mark goes where its other holders meet, so no task gathers all holders.
@@ -173,7 +277,7 @@ def shared_shingles(nodes, parts):
         entries["tok"] = lists.flatten().to_numpy()
         entries["rid"] = np.repeat(batch.column(0).to_numpy(), counts)
         entries["n"] = np.repeat(batch.column(1).to_numpy(), counts)
-        entries["plain"] = np.repeat(batch.column(2).to_numpy(), counts)
+        entries["lone"] = np.repeat(batch.column(2).to_numpy(), counts)
         entries["pos"] = np.arange(len(entries)) - np.repeat(np.cumsum(counts) - counts, counts)
         yield entries
 
@@ -184,8 +288,8 @@ def shared_shingles(nodes, parts):
             several = times[which] > 1
             marks = entries[first[times > 1]].copy()
             marks["pos"] = -1
-            alone = np.concatenate([entries[~several], marks])
-            for direct, block, by in ((0, alone, alone["tok"]), (1, entries[several], entries["rid"][several])):
+            unshared = np.concatenate([entries[~several], marks])
+            for direct, block, by in ((0, unshared, unshared["tok"]), (1, entries[several], entries["rid"][several])):
                 part = (mix64(by.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 block, bounds = block[order], np.searchsorted(part[order], np.arange(parts + 1))
@@ -235,7 +339,7 @@ def shared_shingles(nodes, parts):
         nodes.mapInArrow(pack, "part long, direct int, entries binary")
         .repartition(shuffle_partitions(nodes.sparkSession), "part")
         .sortWithinPartitions("part")
-        .mapInArrow(unpack, "tok long, rid long, n int, plain int, pos int")
+        .mapInArrow(unpack, "tok long, rid long, n int, lone int, pos int")
     )
 
 
@@ -312,33 +416,19 @@ def stored_length(n, percent):
     return f"least({n}, {p} + greatest({p} div {RESERVE_SHARE}, {RESERVE}))"
 
 
-def bounded(shared, percent):
-    """``shared`` with ``alone``, how many of a node's stored plain shingles no other node stores.
-
-    A node that stores all its plain shingles has none of another's lonely ones. Frequent shingles are only stored by
-    such nodes, so where the lonely ones leave too little for any link, the frequent ones need not meet.
-    """
-    met = F.count_if(F.col("pos") < F.col("plain")).over(W.partitionBy("rid"))
-    return shared.withColumn("alone", F.expr(f"least(plain, {stored_length('n', percent)})") - met).where(f"pos < plain OR 100 * (n - alone) >= {percent} * n")
-
-
 def may_link(x, y, percent):
-    """What the sizes and the lonely shingles of two nodes allow; columns n, alone, and whether all plain ones are stored."""
-    enough = f"{100 + percent} * ({{0}}.n - {{0}}.alone) >= {percent} * ({x}.n + {y}.n)"
-    whole = f"{{0}}.plain <= {stored_length('{0}.n', percent)}"
-    return (
-        f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) AND (NOT {whole.format(y)} OR {enough.format(x)}) "
-        f"AND (NOT {whole.format(x)} OR {enough.format(y)})"
-    )
+    """What the sizes and the lone shingles of two nodes allow: those that are not lone bound what they can share."""
+    enough = f"{100 + percent} * ({{0}}.n - {{0}}.lone) >= {percent} * ({x}.n + {y}.n)"
+    return f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) AND {enough.format(x)} AND {enough.format(y)}"
 
 
 def leader_pairs(shared, percent):
-    """For each node one pair with the holder that leads most of its shared shingles: the one with the fewest shingles
-    that are not frequent, so the likeliest original of a large group.
+    """For each node one pair with the holder that leads most of its shared shingles: the one with the fewest lone
+    shingles, so the likeliest original of a large group.
 
     These pairs only join obvious groups early, so that large groups count as one holder afterwards.
     """
-    leaders = shared.groupBy("tok").agg(F.min(F.struct("plain", "rid", "n", "alone")).alias("y"))
+    leaders = shared.groupBy("tok").agg(F.min(F.struct("lone", "rid", "n")).alias("y"))
     votes = (
         shared.alias("x")
         .join(leaders, "tok")
@@ -356,7 +446,7 @@ def leader_pairs(shared, percent):
 def candidate_pairs(shared, comps, percent, costly):
     """Pairs (a, b) of nodes in different groups that share as many stored shingles as their prefixes ask for."""
     with_group = written(
-        shared.join(comps, shared.rid == comps.node, "left").select("tok", "rid", "n", "plain", "alone", "pos", F.coalesce("root", "rid").alias("grp")), "entries"
+        shared.join(comps, shared.rid == comps.node, "left").select("tok", "rid", "n", "lone", "pos", F.coalesce("root", "rid").alias("grp")), "entries"
     )
     holders = with_group.select("tok", "grp").distinct().groupBy("tok").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1")
     entries = with_group.join(holders, "tok").withColumns(
@@ -399,16 +489,18 @@ def similar_groups(docs, width=WIDTH, percent=PERCENT, costly=COSTLY):
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    sketch = written(sketches(docs, width, percent), "sketches").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    rows, answers = holdings(docs, width, 4 * shuffle_partitions(spark))
+    sketch = written(rows, "sketches").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     key = ["d1", "d2", "n"]
     copies = sketch.where("n > 0 AND doc_id IS NOT NULL")
-    classes = written(copies.groupBy(*key, "salt").agg(F.min("doc_id").alias("rid")), "classes")
-    least = written(classes.groupBy(*key).agg(F.min("rid").alias("b")), "least")
-    # one node for each distinct set
-    nodes = copies.join(least.withColumnRenamed("b", "doc_id"), [*key, "doc_id"], "left_semi").withColumnRenamed("doc_id", "rid")
-    shared = written(shared_shingles(nodes.select("rid", "n", "plain", "stored"), 4 * shuffle_partitions(spark)), "shared")
-    shared = written(bounded(shared, percent), "bounded")
-    links = classes.join(least, key).where("rid != b").select(F.col("rid").alias("a"), "b")
+    classes = written(copies.groupBy(*key, "salt").agg(F.min("doc_id").alias("rid"), F.max("lone").alias("lone")), "classes")
+    least = written(classes.groupBy(*key).agg(F.min("rid").alias("b"), F.max("lone").alias("lone")), "least")
+    # one node for each distinct set that shares enough with others to be similar to any
+    nodes = written(least.where(f"100 * (n - lone) >= {percent} * n").select(F.col("b").alias("doc_id"), "n", "d1", "d2", "lone"), "nodes")
+    stored = sketches(nodes, docs, level_maps(answers), width, percent)
+    shared = written(shared_shingles(stored, 4 * shuffle_partitions(spark)), "shared")
+    least = least.drop("lone")
+    links = classes.drop("lone").join(least, key).where("rid != b").select(F.col("rid").alias("a"), "b")
     early = links.unionByName(written(verified(leader_pairs(shared, percent), docs, width, percent), "early"))
     groups = written(components(early), "groups")
     late = verified(candidate_pairs(shared, groups, percent, costly), docs, width, percent)
