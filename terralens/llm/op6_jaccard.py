@@ -32,6 +32,8 @@ COSTLY = 32
 LEVELS, LEVEL_BITS = (8, 128, 2048), 1 << 25
 #: Shingles that a task counts together, and entries that it packs together.
 COUNTED, PACKED = 2 << 20, 1 << 20
+#: Columns of a set's bit signature, 64 bits each.
+SIGNATURE = ["s0", "s1", "s2", "s3"]
 #: A row counts for at least so many shingles, so that a block has fewer than 65536 rows.
 BLOCK_SHARE = 64
 #: Parts in which copies of one set meet first, and partners of a document that one task compares.
@@ -56,6 +58,16 @@ def prefix_length(n, percent):
     return n - (percent * n + 99) // 100 + 1
 
 
+def parities(found, owner, rows):
+    """Per row SIGNATURE words: a bit is set if an odd number of the row's shingles falls on it.
+
+    The bits in which two rows differ are at most as many as the shingles that only one of them has.
+    """
+    width = 64 * len(SIGNATURE)
+    bits = np.bincount(owner * width + ((found >> np.uint64(24)) % np.uint64(width)).astype(np.int64), minlength=rows * width) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64).reshape(rows, len(SIGNATURE))
+
+
 def set_digests(found, at):
     sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(found + np.uint64(k)))]) for k in (1, 2)]
     return [(s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums]
@@ -229,7 +241,8 @@ def level_of(found, maps):
 
 
 def sketches(nodes, docs, maps, width, percent):
-    """Per node (doc_id, n, d1, d2, lone): rid, n, lone and its first shingles, the prefix and its reserve."""
+    """Per node (doc_id, n, d1, d2, lone): rid, n, lone, SIGNATURE and its first shingles, the prefix and its
+    reserve."""
     maps = docs.sparkSession.sparkContext.broadcast(maps)
 
     def sketch(batches):
@@ -242,6 +255,7 @@ def sketches(nodes, docs, maps, width, percent):
                 same = np.ones(rows, bool)  # a repeated doc_id has other texts as well
                 for k, digest in enumerate(set_digests(found, at)):
                     same &= digest == batch.column(2 + k).slice(lo, rows).to_numpy()
+                signature = parities(found, owner, rows)
                 found = found[np.lexsort((found, level_of(found, maps.value), owner))]
                 p = prefix_length(n, percent)
                 kept = np.minimum(n, p + np.maximum(p // RESERVE_SHARE, RESERVE)) * same
@@ -251,27 +265,29 @@ def sketches(nodes, docs, maps, width, percent):
                         batch.column(0).slice(lo, rows),
                         pa.array(n, pa.int64()),
                         batch.column(4).slice(lo, rows),
+                        *(pa.array(np.ascontiguousarray(column)) for column in signature.T),
                         pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]), pa.int32()), pa.array(stored)),
                     ],
-                    ["rid", "n", "lone", "stored"],
+                    ["rid", "n", "lone", *SIGNATURE, "stored"],
                 )
 
+    columns = ", ".join(f"{s} long" for s in SIGNATURE)
     texts = with_texts(docs, nodes).select("doc_id", "n", "d1", "d2", "lone", "text")
-    return texts.mapInArrow(sketch, "rid long, n long, lone long, stored array<long>").where("size(stored) > 0")
+    return texts.mapInArrow(sketch, f"rid long, n long, lone long, {columns}, stored array<long>").where("size(stored) > 0")
 
 
-ENTRY = np.dtype([("tok", "<i8"), ("rid", "<i8"), ("n", "<i4"), ("lone", "<i4"), ("pos", "<i4")])
+ENTRY = np.dtype([("tok", "<i8"), ("rid", "<i8"), ("n", "<i4"), ("lone", "<i4"), ("pos", "<i4"), *((s, "<i8") for s in SIGNATURE)])
 
 
 def shared_shingles(nodes, parts):
-    """Rows (tok, rid, n, lone, pos) of the stored shingles that more than one node holds.
+    """Rows (tok, rid, n, lone, pos, SIGNATURE) of the stored shingles that more than one node holds.
 
     Entries travel as byte blocks by shingle. A shingle that several nodes in one block hold is known to be shared: its
     entries go on spread by node, and one mark goes where its other holders meet, so no task gathers all holders.
     """
 
     def listed(batch):
-        lists = batch.column(3)
+        lists = batch.column("stored")
         counts = np.diff(lists.offsets.to_numpy())
         entries = np.empty(int(counts.sum()), ENTRY)
         entries["tok"] = lists.flatten().to_numpy()
@@ -279,6 +295,8 @@ def shared_shingles(nodes, parts):
         entries["n"] = np.repeat(batch.column(1).to_numpy(), counts)
         entries["lone"] = np.repeat(batch.column(2).to_numpy(), counts)
         entries["pos"] = np.arange(len(entries)) - np.repeat(np.cumsum(counts) - counts, counts)
+        for name in SIGNATURE:
+            entries[name] = np.repeat(batch.column(name).to_numpy(), counts)
         yield entries
 
     def pack(batches):
@@ -339,7 +357,7 @@ def shared_shingles(nodes, parts):
         nodes.mapInArrow(pack, "part long, direct int, entries binary")
         .repartition(shuffle_partitions(nodes.sparkSession), "part")
         .sortWithinPartitions("part")
-        .mapInArrow(unpack, "tok long, rid long, n int, lone int, pos int")
+        .mapInArrow(unpack, "tok long, rid long, n int, lone int, pos int, " + ", ".join(f"{s} long" for s in SIGNATURE))
     )
 
 
@@ -417,9 +435,14 @@ def stored_length(n, percent):
 
 
 def may_link(x, y, percent):
-    """What the sizes and the lone shingles of two nodes allow: those that are not lone bound what they can share."""
+    """What the sizes, the lone shingles and the signatures of two nodes allow.
+
+    Shingles that are not lone bound what two nodes can share; signatures bound from below what only one of them has,
+    which must not be more than (100 - percent) / (100 + percent) of both sizes together.
+    """
+    apart = " + ".join(f"bit_count({x}.{s} ^ {y}.{s})" for s in SIGNATURE)
     enough = f"{100 + percent} * ({{0}}.n - {{0}}.lone) >= {percent} * ({x}.n + {y}.n)"
-    return f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) AND {enough.format(x)} AND {enough.format(y)}"
+    return f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) AND {enough.format(x)} AND {enough.format(y)} AND {100 + percent} * ({apart}) <= {100 - percent} * ({x}.n + {y}.n)"
 
 
 def leader_pairs(shared, percent):
@@ -428,7 +451,7 @@ def leader_pairs(shared, percent):
 
     These pairs only join obvious groups early, so that large groups count as one holder afterwards.
     """
-    leaders = shared.groupBy("tok").agg(F.min(F.struct("lone", "rid", "n")).alias("y"))
+    leaders = shared.groupBy("tok").agg(F.min(F.struct("lone", "rid", "n", *SIGNATURE)).alias("y"))
     votes = (
         shared.alias("x")
         .join(leaders, "tok")
@@ -446,7 +469,7 @@ def leader_pairs(shared, percent):
 def candidate_pairs(shared, comps, percent, costly):
     """Pairs (a, b) of nodes in different groups that share as many stored shingles as their prefixes ask for."""
     with_group = written(
-        shared.join(comps, shared.rid == comps.node, "left").select("tok", "rid", "n", "lone", "pos", F.coalesce("root", "rid").alias("grp")), "entries"
+        shared.join(comps, shared.rid == comps.node, "left").select("tok", "rid", "n", "lone", "pos", *SIGNATURE, F.coalesce("root", "rid").alias("grp")), "entries"
     )
     holders = with_group.select("tok", "grp").distinct().groupBy("tok").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1")
     entries = with_group.join(holders, "tok").withColumns(

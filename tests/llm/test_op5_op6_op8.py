@@ -178,3 +178,38 @@ def test_least_hashes_spread_over_the_parts():
     part = repeats.part_of(anchors)
     assert np.bincount(part, minlength=repeats.PARTS).max() < 2 * len(anchors) / repeats.PARTS
     assert (repeats.place_of(anchors) // repeats.PART_BITS == part).all()
+
+
+def test_groups_of_many_near_copies_that_mostly_do_not_link(spark):
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(70)]
+    rows = []
+    for i in range(240):
+        text = list(words)
+        for at in rng.choice(len(text), rng.integers(0, 7), replace=False):
+            text[at] = f"x{rng.integers(0, 30)}"
+        rows.append((i, " ".join(text)))
+    want = brute_groups(rows, 4, 85)
+    assert 20 < len(set(want.values())) < 220
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in join.similar_groups(df).collect()}
+    assert got == want
+
+
+def test_lone_shingles_and_signatures_are_bounds(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{w}" for w in rng.integers(0, 12, rng.integers(0, 60)))) for i in range(300)]
+    rows += [(900, rows[5][1]), (901, None), (None, "a b c d e"), (902, "a b c d e f")]
+    found, _ = join.holdings(spark.createDataFrame(rows, "doc_id long, text string"), 4, 7)
+    sets = {i: {tuple(t.split()[k : k + 4]) for k in range(max(1, len(t.split()) - 3))} if t and t.split() else set() for i, t in rows}
+    for r in found.collect():
+        own = sets[r["doc_id"]]
+        others = set().union(*(s for s in sets.values() if s != own))
+        assert r["n"] == len(own) and r["lone"] <= len(own - others)
+        if sum(s == own for s in sets.values()) == 1:
+            assert r["lone"] == len(own - others)
+    found = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    x, y = np.unique(found[:300]), np.unique(found[60:])
+    both = np.concatenate([x, y])
+    sx, sy = join.parities(both, np.repeat([0, 1], [len(x), len(y)]), 2)
+    assert 0 < sum(int(v & 0xFFFFFFFFFFFFFFFF).bit_count() for v in (sx ^ sy).tolist()) <= len(np.setxor1d(x, y))
