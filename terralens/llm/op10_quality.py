@@ -18,8 +18,8 @@ CAT = Catalogue()
 
 #: Bytes that a filter sees, filters, and bytes of a block; a chunk is two neighbouring blocks, so chunks overlap by one.
 WIDTH, FILTERS, BLOCK = 4, 8, 128
-#: Labelled documents that the network learns from, and chunks of each; the only bounded sample.
-SAMPLE, SAMPLE_CHUNKS = 3000, 8
+#: Labelled documents that the network learns from, each with its whole text, and bytes of all of them; the only bounded sample.
+SAMPLE, SAMPLE_BYTES = 3000, 64 << 20
 ROUNDS, BATCH, RATE, SEED = 12, 64, 0.02, 11
 #: Blocks convolved at once.
 STRIPE = 2048
@@ -93,8 +93,25 @@ def scores(column, network):
     return 1 / (1 + np.exp(-(mean @ network.weights + network.bias)))
 
 
+def chunk_maxima(data, start, end, filters):
+    """For each chunk and filter the largest response, and the WIDTH bytes it was found at."""
+    high = np.empty((len(start), FILTERS), np.float32)
+    seen = np.empty((WIDTH, len(start), FILTERS), np.uint8)
+    for lo in range(0, len(start), STRIPE):
+        hi = lo + STRIPE
+        rows = block_bytes(data, start[lo:hi], end[lo:hi], BLOCK + WIDTH - 1)
+        total = filters[0][rows[:, : 2 * BLOCK]]
+        for k in range(1, WIDTH):
+            total += filters[k][rows[:, k : k + 2 * BLOCK]]
+        at = total.argmax(axis=1)
+        high[lo:hi] = np.take_along_axis(total, at[:, None, :], 1)[:, 0]
+        for k in range(WIDTH):
+            seen[k, lo:hi] = np.take_along_axis(rows, at + k, 1)
+    return high, seen
+
+
 def fit(texts, labels, seed=SEED, rounds=ROUNDS):
-    """Learns the network from chunks: ``texts`` holds arrays (chunks, bytes of a chunk), ``labels`` values 0 to 1."""
+    """Learns the network from all chunks of whole texts: ``texts`` holds arrays of bytes, ``labels`` values 0 to 1."""
     labels = np.asarray(labels, np.float64)
     rate = float((labels.sum() + 1) / (len(labels) + 2))
     rng = np.random.default_rng(seed)
@@ -110,27 +127,24 @@ def fit(texts, labels, seed=SEED, rounds=ROUNDS):
         order = rng.permutation(len(texts))
         for lo in range(0, len(order), BATCH):
             own = order[lo : lo + BATCH]
-            chunks = np.concatenate([texts[i] for i in own])
-            owner = np.repeat(np.arange(len(own)), [len(texts[i]) for i in own])
-            share = 1 / np.bincount(owner, minlength=len(own))
+            data = np.concatenate([texts[i] for i in own])
+            start, end, first, count = block_rows(data, np.concatenate([[0], np.cumsum([len(texts[i]) for i in own])]))
+            # a text's last block only ends a chunk, unless it is the text's only one
+            many = np.maximum(count - 1, 1)
+            owner = np.repeat(np.arange(len(own)), many)
+            pick = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
             f, b, w, c = parts
-            span = chunks.shape[1] - WIDTH + 1
-            total = f[0][chunks[:, :span]]
-            for k in range(1, WIDTH):
-                total += f[k][chunks[:, k : k + span]]
-            at = total.argmax(axis=1)
-            high = np.take_along_axis(total, at[:, None, :], 1)[:, 0] + b
-            on = np.maximum(high, 0)
-            mean = np.zeros((len(own), FILTERS))
-            np.add.at(mean, owner, on)
-            mean *= share[:, None]
+            high, seen = chunk_maxima(data, start[pick], end[pick], f)
+            on = np.maximum(high + b, 0)
+            share = 1 / many
+            mean = np.add.reduceat(on, np.cumsum(many) - many, axis=0, dtype=np.float64) * share[:, None]
             p = 1 / (1 + np.exp(-(mean @ w + c[0])))
             off = (p - labels[own]) / len(own)
-            back = (off * share)[owner][:, None] * w * (high > 0)
+            back = (off * share)[owner][:, None] * w * (on > 0)
             grad_f = np.zeros(f.shape)
-            unit = np.arange(FILTERS)
             for k in range(WIDTH):
-                np.add.at(grad_f[k], (np.take_along_axis(chunks, at + k, 1), np.broadcast_to(unit, at.shape)), back)
+                for unit in range(FILTERS):
+                    grad_f[k, :, unit] = np.bincount(seen[k, :, unit], back[:, unit], 256)
             step += 1
             for i, g in enumerate((grad_f, back.sum(0), mean.T @ off + 1e-4 * w, np.array([off.sum()]))):
                 speed[i] = 0.9 * speed[i] + 0.1 * g
@@ -146,44 +160,42 @@ def is_held_out(doc_id, folds=5):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds == 0
 
 
-def _sampled_chunks(batches):
-    for batch in batches:
-        data, offsets = text_bytes(batch.column(1))
-        start, end, first, count = block_rows(data, offsets)
-        for i in range(batch.num_rows):
-            pick = first[i] + np.unique(np.linspace(0, max(count[i] - 2, 0), SAMPLE_CHUNKS).astype(np.int64))
-            rows = block_bytes(data, start[pick], end[pick], BLOCK + WIDTH).astype(np.uint8)
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": batch.column(0).slice(i, 1), "chunks": pa.array([rows.tobytes()], pa.binary()), "label": batch.column(2).slice(i, 1)}
-            )
-
-
-def learn(docs, labels, label="quality", sample=SAMPLE):
-    """The network learned from at most ``sample`` labelled rows of ``docs`` outside the held-out fold.
+def learn(docs, labels, label="quality", sample=SAMPLE, sample_bytes=SAMPLE_BYTES):
+    """The network learned from the whole texts of at most ``sample`` labelled rows of ``docs`` outside the held-out fold.
 
-    Labels come from ``labels`` (doc_id, label) alone; null labels and ids are passed over, and repeated labels of a
-    document are averaged. The driver gets ``sample`` rows of at most SAMPLE_CHUNKS chunks, a few MB at any input size.
+    Labels come from ``labels`` (doc_id, label) alone; null labels and ids are passed over, repeated labels of a
+    document are averaged, and repeated rows (id and text) count once. Rows are drawn by hash; one that no longer fits
+    ``sample_bytes`` is passed over, so the driver holds that many bytes of text at any input size.
     """
     bounded_batches(docs.sparkSession)
+    spark, turn = docs.sparkSession, F.xxhash64("doc_id", F.lit(SEED))
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
         .join(docs.select("doc_id"), "doc_id", "left_semi")
         .groupBy("doc_id")
-        .agg(F.avg(label).alias("label"))
-        .orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id")
+        .agg(F.avg(label).cast("double").alias("label"))
+        .orderBy(turn, "doc_id")
         .limit(sample)
     )
-    rows = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "text", F.col("label").cast("double"))
-        .mapInArrow(_sampled_chunks, f"doc_id {dict(docs.dtypes)['doc_id']}, chunks binary, label double")
-        .orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id", F.xxhash64("chunks"))
-        .limit(sample)
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("version"), F.octet_length(text).cast("long").alias("size"))
+    sizes = (
+        rows.drop("text").join(F.broadcast(chosen), "doc_id").distinct().orderBy(turn, "doc_id", "version").limit(sample).collect()
+    )
+    taken, left = [], sample_bytes
+    for r in sizes:
+        if r["size"] <= left:
+            taken.append((r["doc_id"], r["version"], r["label"]))
+            left -= r["size"]
+    kind = dict(docs.dtypes)["doc_id"]
+    found = (
+        rows.join(F.broadcast(spark.createDataFrame(taken, f"doc_id {kind}, version long, label double")), ["doc_id", "version"])
+        .groupBy("doc_id", "version", "label")
+        .agg(F.min("text").alias("text"))
+        .orderBy(turn, "doc_id", "version")
         .collect()
     )
-    width = 2 * BLOCK + WIDTH
-    return fit([np.frombuffer(r["chunks"], np.uint8).reshape(-1, width) for r in rows], [r["label"] for r in rows])
+    return fit([np.frombuffer(r["text"].encode(), np.uint8) for r in found], [r["label"] for r in found])
 
 
 def classify(docs, network, accept=ACCEPT):

@@ -163,6 +163,50 @@ def test_labels_of_other_documents_take_no_place_in_the_sample(spark):
     assert np.allclose(got.weights, alone.weights) and np.isclose(got.bias, alone.bias)
 
 
+def test_labelled_texts_are_learned_from_whole(spark):
+    # what tells the classes apart stands once, behind the first eight of many chunks or anywhere between
+    rng = np.random.default_rng(8)
+    texts = []
+    for i in range(300):
+        words = ["plain"] * 600
+        if i % 2:
+            words[rng.integers(250, 600)] = "#%#%#%"
+        texts.append((i, " ".join(words)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.range(300).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
+    got = quality.classify(docs, quality.learn(docs, labels)).collect()
+    held = [r for r in got if fold(r["doc_id"], 5) == 0]
+    assert np.mean([(r["score"] >= 0.5) == r["doc_id"] % 2 for r in held]) > 0.95
+
+
+def test_sample_is_bounded_in_rows_and_bytes(spark, monkeypatch):
+    texts = [(i, "word " * (1 + i % 7)) for i in range(200)] + [(3, "word word word word ")] * 50 + [(500, "x" * 5000), (501, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS quality").distinct()
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda t, y: seen.append((t, y)))
+    quality.learn(docs, labels)
+    quality.learn(docs, labels, sample=20)
+    quality.learn(docs, labels, sample_bytes=1000)
+    whole = sorted(t or "" for i, t in dict(texts).items() if fold(i, 5) != 0)
+    assert sorted(bytes(x).decode() for x in seen[0][0]) == whole
+    assert len(seen[1][0]) == 20
+    assert 950 < sum(map(len, seen[2][0])) <= 1000 and max(map(len, seen[2][0])) < 5000
+
+
+def test_chunk_maxima_against_position_by_position():
+    rng = np.random.default_rng(4)
+    filters = rng.normal(size=(4, 256, quality.FILTERS)).astype(np.float32)
+    data = rng.integers(0, 256, 700).astype(np.uint8)
+    start, end = np.array([0, 128, 500]), np.array([400, 400, 700])
+    high, seen = quality.chunk_maxima(data, start, end, filters)
+    for c in range(3):
+        row = np.concatenate([data[start[c] : min(start[c] + 259, end[c])], np.zeros(300, np.uint8)])
+        response = np.array([sum(filters[k][row[i + k]] for k in range(4)) for i in range(256)])
+        assert np.allclose(high[c], response.max(0), atol=1e-5)
+        assert np.allclose([sum(filters[k][seen[k, c, u], u] for k in range(4)) for u in range(quality.FILTERS)], high[c], atol=1e-5)
+
+
 def test_quality_of_held_out_documents(spark):
     sf = "/root/testdata/sf0.1"
     got = quality.quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality"), "doc_id").where("held_out").collect()
