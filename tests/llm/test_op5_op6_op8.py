@@ -173,6 +173,85 @@ def test_repeats_of_a_table(spark):
     assert sorted(map(tuple, repeats.substring(spark, sf).collect()), key=str) == brute_repeats(rows)
 
 
+def told_factors(df, **how):
+    told = df.selectExpr("cast(doc_id AS long) AS doc_id", "coalesce(text, '') AS text").selectExpr("*", "xxhash64(text) AS version")
+    texts = {(r["doc_id"], r["version"]): words_of(r["text"]) for r in told.collect()}
+    found = repeats.factors(told, **how).collect()
+    return texts, {(r["doc_id"], r["version"]): [tuple(f) for f in r["factors"]] for r in found}
+
+
+def greedy(words, places, window):
+    """At each block the longest run of blocks whose places advance with it, over all blocks before or after."""
+    at = {i: places[tuple(words[i : i + window])] for i in range(len(words) - window + 1) if tuple(words[i : i + window]) in places}
+    spans = {}
+    for i, (source, version, j) in at.items():
+        spans.setdefault((source, version, j - i), set()).update(range(i, i + window))
+    out, done = [], -1
+    for i in sorted(at):
+        if i <= done:
+            continue
+        best = None
+        for key, covered in spans.items():
+            if set(range(i, i + window)) <= covered:
+                end = i
+                while end in covered:
+                    end += 1
+                best = min(best or (-end, key), (-end, key))
+        end, (source, version, distance) = -best[0], best[1]
+        out.append((i, end, source, version, i + distance))
+        done = end - window
+    return out
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_factors_stand_whole_in_their_sources(spark, docs, partitions):
+    rng = np.random.default_rng(5)
+    made, rows = [], []
+    for i in range(120):
+        text = [f"w{x}" for x in rng.integers(0, 10**6, rng.integers(0, 60))]
+        for _ in range(int(rng.integers(0, 4)) if made else 0):
+            other = made[rng.integers(0, len(made))]
+            lo = rng.integers(0, max(len(other), 1))
+            text += other[lo : lo + rng.integers(1, 90)]
+        made.append(text)
+        rows.append((i, " ".join(text)))
+    rows += [(7, rows[50][1]), (7, rows[51][1]), (200, rows[7][1] + " " + rows[8][1])]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    for df, window, run in ((made, 12, 4), (docs.select("doc_id", "text").where("doc_id IS NOT NULL"), 50, 8)):
+        texts, got = told_factors(df.repartition(partitions), window=window, run=run)
+        assert len(got) > 5
+        for (doc, version), found in got.items():
+            words = texts[doc, version]
+            for first, last, source, source_version, at in found:
+                assert source < doc and last - first >= window
+                assert words[first:last] == texts[source, source_version][at : at + last - first]
+            # each begins behind the blocks of the one before
+            assert all(y[0] > x[1] - window for x, y in zip(found, found[1:]))
+        if partitions == 1:
+            places = {}
+            for (doc, version), words in texts.items():
+                for i in range(len(words) - window + 1):
+                    key = tuple(words[i : i + window])
+                    places[key] = min(places.get(key, (doc, version, i)), (doc, version, i))
+            for (doc, version), words in texts.items():
+                own = {k: p for k, p in places.items() if p[0] < doc}
+                assert got.get((doc, version), []) == greedy(words, own, window)
+
+
+def test_a_copied_passage_is_one_factor(spark):
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(1, " ".join(words)), (2, " ".join(["a"] * 9 + words[100:2900] + ["b"] * 9))]
+    _, got = told_factors(spark.createDataFrame(rows, "doc_id long, text string").repartition(2, "doc_id"))
+    (found,) = got.values()
+    assert [(f[0], f[1], f[2], f[4]) for f in found] == [(9, 2809, 1, 100)]
+
+
+def test_blocks_are_equal_when_both_hashes_are():
+    hashes, second = np.array([5, 5, 5, 6], np.uint64), np.array([1, 2, 1, 1], np.uint64)
+    doc, version, first = np.array([4, 1, 3, 2]), np.zeros(4, np.int64), np.array([0, 7, 8, 9])
+    assert repeats.reference_places(hashes, second, doc, version, first).tolist() == [2, 1, 2, 3]
+
+
 def test_least_hashes_spread_over_the_parts():
     anchors = np.random.default_rng(2).integers(0, 2**63, (200_000, 43), dtype=np.uint64).min(1)
     part = repeats.part_of(anchors)
