@@ -30,8 +30,8 @@ RESERVE_SHARE, RESERVE = 3, 8
 COSTLY = 32
 #: A shingle's level is how many of these numbers of documents are seen to hold it; bits for each level.
 LEVELS, LEVEL_BITS = (8, 128, 2048), 1 << 25
-#: Shingles that a task counts together, and entries that it packs together.
-COUNTED, PACKED = 2 << 20, 1 << 20
+#: Shingles that a task counts together, and entries (60 bytes, copied several times) that it packs together.
+COUNTED, PACKED = 2 << 20, 1 << 18
 #: Columns of a set's bit signature, 64 bits each.
 SIGNATURE = ["s0", "s1", "s2", "s3"]
 #: A row counts for at least so many shingles, so that a block has fewer than 65536 rows.
@@ -98,7 +98,7 @@ def holdings(docs, width, parts):
             base = np.cumsum([0] + [len(g[3]) for g in got])
             n, d1, d2 = (np.concatenate([g[k] for g in got]) for k in (3, 4, 5))
             found = np.concatenate([g[1] for g in got])
-            owner = np.concatenate([g[2] + np.int32(lo) for g, lo in zip(got, base)])
+            owner = np.concatenate([(g[2] + lo).astype(np.uint16) for g, lo in zip(got, base)])
             got.clear()
             # of equal sets in a block one speaks for all
             pairs = np.rec.fromarrays([d1, d2])
@@ -107,15 +107,19 @@ def holdings(docs, width, parts):
             speaks = (speaker == np.arange(len(n)))[owner]
             found, owner = found[speaks], owner[speaks]
             order = np.argsort(found)
-            found, owner = found[order], owner[order].astype(np.uint16)
+            found, owner = found[order], owner[order]
+            del speaks, order
             new = np.ones(len(found) + 1, bool)
             new[1:-1] = found[1:] != found[:-1]
             at = np.flatnonzero(new)
-            found, owner, times = found[at[:-1]], owner[at[:-1]], np.diff(at)
-            part = (found % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((times > 1, part))
-            part, times = part[order], times[order]
-            value, owner = (found[order] >> np.uint64(32)).astype(np.uint32), owner[order]
+            found, owner, times = found[at[:-1]], owner[at[:-1]], np.diff(at).astype(np.int32)
+            del new, at
+            part = (found % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(2 * part + (times > 1), kind="stable")
+            value = (found[order] >> np.uint64(32)).astype(np.uint32)
+            del found
+            part, times, owner = part[order], times[order], owner[order]
+            del order
             bounds = np.searchsorted(part, np.arange(parts + 1))
             block = int((mix64(d1 + n) ^ mix64(d2)).sum(dtype=np.uint64).view(np.int64))
             missing = ids.is_null().to_numpy(False).astype(np.uint8)
