@@ -31,7 +31,7 @@ COSTLY = 32
 #: A shingle's level is how many of these numbers of documents are seen to hold it; bits for each level.
 LEVELS, LEVEL_BITS = (8, 128, 2048), 1 << 25
 #: Shingles that a task counts together, and entries (60 bytes, copied several times) that it packs together.
-COUNTED, PACKED = 2 << 20, 1 << 18
+COUNTED, PACKED = 1 << 19, 1 << 18
 #: Columns of a set's bit signature, 64 bits each.
 SIGNATURE = ["s0", "s1", "s2", "s3"]
 #: A row counts for at least so many shingles, so that a block has fewer than 65536 rows.
