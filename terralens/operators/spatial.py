@@ -12,6 +12,9 @@ import json
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +22,15 @@ from ..functions import geometry as G
 from ..functions import rdf
 from ..session import materialise
 from . import neighbours
+from .numbering import range_bucket
 from .relations import RELATIONS, related, summary
 
 #: Finer cells a side of a crowded tile, how often a tile is cut at most, and candidate pairs that make it crowded.
 SUBTILES, LEVELS, HOT_PAIRS = 16, 5, 4_000_000
+#: Members of a geometry that are spread together.
+MEMBERS = 1024
+#: Images and line segments of a block, images bounded together, and distances held at once.
+IMAGE_BLOCK, SEGMENT_BLOCK, FEW_IMAGES, DISTANCES_AT_ONCE = 4096, 1 << 17, 32, 1 << 18
 
 
 def _span(low, high, size, first=None, last=None):
@@ -183,6 +191,28 @@ def _unique(df, side):
     return materialise(shapes, "shapes"), df.select("g", F.col("id").alias(side))
 
 
+def _members_in_blocks(members, key, name):
+    """The rows of each group in arrays ``name`` of about ``MEMBERS`` rows, numbered by ``name_part``."""
+    columns = [c for c in members.columns if c not in key]
+    sizes = members.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    part = F.pmod(F.xxhash64(*columns), F.ceil(F.col("_n") / MEMBERS)).cast("int")
+    dealt = members.join(sizes, key).select(*key, part.alias(f"{name}_part"), F.struct(*columns).alias("_row"))
+    return dealt.groupBy(*key, f"{name}_part").agg(F.collect_list("_row").alias(name))
+
+
+def spread(found: DataFrame, left: DataFrame, right: DataFrame, l_key, r_key) -> DataFrame:
+    """Every found pair of groups with each member of both: columns of ``found``, structs ``l`` and ``r``.
+
+    Blocks of members are shuffled instead of their pairs, so that a few large groups are dealt to all tasks.
+    """
+    l, r = _members_in_blocks(left, l_key, "_l"), _members_in_blocks(right, r_key, "_r")
+    met = found.join(l, l_key).join(r, r_key)
+    # few bytes, many rows to come: a fixed partition count keeps AQE from packing the blocks into one task
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = met.repartition(parts, *l_key, *r_key, "_l_part", "_r_part").drop("_l_part", "_r_part")
+    return met.withColumn("l", F.explode("_l")).drop("_l").withColumn("r", F.explode("_r")).drop("_r")
+
+
 def relation_pairs(left: DataFrame, right: DataFrame, size=10.0, relations=RELATIONS, hot_pairs=HOT_PAIRS) -> DataFrame:
     """Materialised relations ``(s, rel, o)`` between two prepared layers.
 
@@ -201,8 +231,9 @@ def relation_pairs(left: DataFrame, right: DataFrame, size=10.0, relations=RELAT
     if not (l.filter(~F.col("plain")).isEmpty() and r.filter(~F.col("plain")).isEmpty()):
         shapes = l.unionByName(r).select("g", "parts", "grid").dropDuplicates(["g"])
         found = found.unionByName(related(pairs.filter(~plain), shapes))
-    found = found.select("l_g", "r_g", F.explode("rels").alias("rel")).filter(F.col("rel").isin(*relations))
-    return found.join(l_members.withColumnRenamed("g", "l_g"), "l_g").join(r_members.withColumnRenamed("g", "r_g"), "r_g").select("s", "rel", "o")
+    found = found.select("l_g", "r_g", F.array_intersect("rels", F.array(*[F.lit(n) for n in relations])).alias("rels")).filter(F.size("rels") > 0)
+    pairs = spread(found, l_members.withColumnRenamed("g", "l_g"), r_members.withColumnRenamed("g", "r_g"), ["l_g"], ["r_g"])
+    return pairs.select(F.col("l.s").alias("s"), F.explode("rels").alias("rel"), F.col("r.o").alias("o"))
 
 
 def relation_triples(pairs: DataFrame) -> DataFrame:
@@ -245,32 +276,152 @@ def meets_coast(boxes: DataFrame, segments: DataFrame, size=10.0) -> DataFrame:
     return pairs.filter(segment_meets_box(F.col("seg"), F.col("lbox"))).select("id").distinct()
 
 
-def coast_distances(images: DataFrame, lines: DataFrame, size=10.0) -> DataFrame:
+def _distance(px, py, ax, ay, bx, by):
+    """``G.point_segment_distance`` of every point to every segment, points down and segments across."""
+    dx, dy = bx - ax, by - ay
+    length2 = dx * dx + dy * dy
+    px, py = px[:, None], py[:, None]
+    t = ((px - ax) * dx + (py - ay) * dy) / np.where(length2 > 0, length2, 1.0)
+    t = np.clip(t, 0.0, 1.0)
+    return np.hypot(px - (ax + t * dx), py - (ay + t * dy))
+
+
+def _flat(column):
+    """The entries of a list column one after the other, and how many each row has."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return lists.flatten(), np.asarray(lists.value_lengths())
+
+
+def _members(struct, *names):
+    return [struct.field(n).to_numpy(zero_copy_only=False) for n in names]
+
+
+NEAR_FAR = "g string, d double, lat double, far double"
+SIDES = ("xmin", "ymin", "xmax", "ymax")
+
+
+def _cell_distances(images, lines):
+    """Nearest and farthest line of each image of a block, among a block of lines.
+
+    Images stand in spatial order and are taken a few at a time. The distances of their common centre to the lines tell,
+    by the triangle inequality, which lines can be the nearest or the farthest one of any of them; only these are measured.
+    """
+    out = {n: [] for n in ("g", "d", "lat", "far")}
+    if images.num_rows == 0 or lines.num_rows == 0:
+        return pa.table({n: pa.array([], pa.string() if n == "g" else pa.float64()) for n in out})
+    images = images.take(pa.compute.sort_indices(images, sort_keys=[("place", "ascending"), ("g", "ascending")]))
+    box = np.column_stack([images.column(n).to_numpy() for n in SIDES])
+    spots, n_spots = _flat(images.column("points"))
+    px, py = _members(spots, "x", "y")
+    first_spot = np.r_[0, np.cumsum(n_spots)]
+    parts, n_parts = _flat(lines.column("parts"))
+    unit = np.repeat(np.arange(len(n_parts)), n_parts)
+    part_box = np.column_stack([parts.field("box").field(n).to_numpy(zero_copy_only=False) for n in SIDES])
+    segments, n_segments = _flat(parts.field("segs"))
+    seg = np.column_stack(_members(segments, "ax", "ay", "bx", "by"))
+    first_seg = np.r_[0, np.cumsum(n_segments)]
+    names = images.column("g").to_pylist()
+
+    def segments_of(chosen):
+        """The chosen parts' segments, and where each part begins among them."""
+        counts = n_segments[chosen]
+        starts = np.cumsum(counts) - counts
+        rows = np.repeat(first_seg[chosen] - starts, counts) + np.arange(counts.sum())
+        return seg[rows].T, starts
+
+    for lo in range(0, len(names), FEW_IMAGES):
+        few = box[lo : lo + FEW_IMAGES]
+        at = slice(first_spot[lo], first_spot[min(lo + FEW_IMAGES, len(names))])
+        x, y, owner = px[at], py[at], np.repeat(np.arange(len(few)), n_spots[lo : lo + FEW_IMAGES])
+        low, high = few[:, :2], few[:, 2:]
+        some = ((part_box[:, :2] <= high.max(0)) & (part_box[:, 2:] >= low.min(0))).all(1)
+        some = np.flatnonzero(some)
+        if len(x) == 0 or len(some) == 0:
+            continue
+        all_ = ((part_box[some, :2] <= high.min(0)) & (part_box[some, 2:] >= low.max(0))).all(1)
+        cx, cy = x.mean(), y.mean()
+        reach = np.hypot(x - cx, y - cy).max() + 1e-9
+        ends, starts = segments_of(some)
+        centre = np.minimum.reduceat(_distance(np.array([cx]), np.array([cy]), *ends)[0], starts)
+        heads = np.flatnonzero(np.r_[True, unit[some][1:] != unit[some][:-1]])
+        closest, widest = np.minimum.reduceat(centre, heads), np.maximum.reduceat(centre, heads)
+        sure = np.logical_or.reduceat(all_, heads)
+        nearest = (centre[all_].min() if all_.any() else np.inf) + reach
+        farthest = (closest[sure].max() if sure.any() else -np.inf) - reach
+        keep = (closest - reach <= nearest) | (widest + reach >= farthest)
+        some = some[np.repeat(keep, np.diff(np.r_[heads, len(some)]))]
+        best_d, best_lat, far = np.full(len(few), np.inf), np.full(len(few), np.inf), np.full(len(few), -np.inf)
+        # a bounded number of distances at a time, whole lines each
+        cuts = np.flatnonzero(np.r_[True, unit[some][1:] != unit[some][:-1]])
+        load = np.cumsum(n_segments[some]) * len(x) // DISTANCES_AT_ONCE
+        begins = cuts[np.flatnonzero(np.r_[True, load[cuts][1:] != load[cuts][:-1]])]
+        for start, stop in zip(begins, np.r_[begins[1:], len(some)]):
+            chosen = some[start:stop]
+            ends, starts = segments_of(chosen)
+            d = np.minimum.reduceat(_distance(x, y, *ends), starts, axis=1)
+            meets = ((part_box[None, chosen, :2] <= high[:, None]) & (part_box[None, chosen, 2:] >= low[:, None])).all(2)
+            d[~meets[owner]] = np.inf
+            heads = np.flatnonzero(np.r_[True, unit[chosen][1:] != unit[chosen][:-1]])
+            d = np.minimum.reduceat(d, heads, axis=1)
+            np.maximum.at(far, owner, np.where(np.isfinite(d), d, -np.inf).max(1))
+            for i, (value, lat) in enumerate(zip(d.min(1), y)):
+                if (value, lat) < (best_d[owner[i]], best_lat[owner[i]]):
+                    best_d[owner[i]], best_lat[owner[i]] = value, lat
+        found = np.flatnonzero(np.isfinite(best_d))
+        out["g"] += [names[lo + i] for i in found]
+        out["d"] += best_d[found].tolist()
+        out["lat"] += best_lat[found].tolist()
+        out["far"] += far[found].tolist()
+    return pa.table({n: pa.array(v, pa.string() if n == "g" else pa.float64()) for n, v in out.items()})
+
+
+def _blocks_for(rows, size):
+    return max(1, math.ceil((rows or 0) / size))
+
+
+def coast_distances(
+    images: DataFrame, lines: DataFrame, size=10.0, image_block=IMAGE_BLOCK, segment_block=SEGMENT_BLOCK
+) -> DataFrame:
     """Least and greatest distance of an image's points to the lines whose bounds meet its box.
 
     ``images(id, box, points ARRAY<STRUCT<x,y>>)``, ``lines(line, points)``. Distances come in
-    degrees and in metres, taken at the latitude of the nearest point.
+    degrees and in metres, taken at the latitude of the nearest point. Blocks of images meet blocks of lines in one
+    bounded task each, which tells only the nearest and the farthest line: no pair is ever stored.
     """
     n = F.size("points")
     ends = F.zip_with(
         F.slice("points", 1, F.greatest(n - 1, F.lit(1))),
         F.slice("points", F.least(n, F.lit(2)), F.greatest(n - 1, F.lit(1))),
-        lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")),
+        lambda a, b: F.struct(*[p[c].cast("double").alias(f"{e}{c}") for e, p in (("a", a), ("b", b)) for c in "xy"]),
     )
-    shaped = lines.select("line", ends.alias("segs"), G.bounds(F.array("points")).alias("box"))
-    pairs = candidate_pairs(images.select("id", "box", "points"), shaped, size)
-    # few bytes, much work: a fixed partition count keeps AQE from packing the pairs into one task
+    whole = F.filter(ends, lambda e: e["ax"].isNotNull() & e["ay"].isNotNull() & e["bx"].isNotNull() & e["by"].isNotNull())
+    told = lambda b: F.struct(*[b[c].cast("double").alias(c) for c in SIDES])
+    part = F.struct(told(G.bounds(F.array("points"))).alias("box"), whole.alias("segs"))
+    parts = lines.select("line", part.alias("part")).filter((F.size("part.segs") > 0) & F.col("part.box.xmin").isNotNull())
+    # rows of one line are one line; equal lines are measured once
+    shapes = parts.groupBy("line").agg(F.array_sort(F.collect_set("part")).alias("parts")).select("parts").distinct()
+    shapes = materialise(shapes.withColumn("key", F.xxhash64("parts")), "lines")
+    vertices = F.aggregate("parts", F.lit(0), lambda acc, p: acc + F.size(p["segs"]))
+    line_blocks = _blocks_for(shapes.agg(F.sum(vertices)).first()[0], segment_block)
+
+    spots = F.filter("points", lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+    spots = F.transform(spots, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    asked = images.select("id", told(F.col("box")).alias("box"), spots.alias("points"))
+    asked = asked.filter((F.size("points") > 0) & F.col("box.xmin").isNotNull() & F.col("box.ymin").isNotNull() & F.col("box.xmax").isNotNull() & F.col("box.ymax").isNotNull())
+    asked = materialise(asked.withColumn("g", F.md5(F.to_json(F.struct("box", "points")))), "images")
+    once = asked.dropDuplicates(["g"]).select("g", "box.*", "points")
+    # neighbours in strips of latitude stand together
+    place = F.floor(F.col("points")[0]["y"] / size) * 1000 + F.col("points")[0]["x"]
+    once = once.withColumn("place", place)
+    image_blocks = _blocks_for(once.count(), image_block)
+    left = range_bucket(once, "place", image_blocks, name="ib").withColumn("lb", F.explode(F.sequence(F.lit(0), F.lit(line_blocks - 1))))
+    right = shapes.withColumn("lb", F.pmod("key", F.lit(line_blocks)).cast("int")).withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(image_blocks - 1))))
+    # few bytes, much work: a fixed partition count keeps AQE from packing the blocks into one task
     spread = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = pairs.select("id", "line", "points", "segs").repartition(spread, "id", "line")
-    # rows instead of nested lambdas keep the distance inside generated code
-    each = pairs.select("id", "line", "points", F.explode("segs").alias("s")).select(
-        "id", "line", "s", F.posexplode("points").alias("pt", "p")
-    )
-    d = G.point_segment_distance(
-        F.col("p.x"), F.col("p.y"), F.col("s.ax"), F.col("s.ay"), F.col("s.bx"), F.col("s.by")
-    )
-    per_line = each.groupBy("id", "line", "pt").agg(F.min(d).alias("d"), F.min("p.y").alias("lat"))
-    out = per_line.groupBy("id").agg(F.min(F.struct("d", "lat")).alias("near"), F.max("d").alias("max_deg"))
+    cells = left.repartition(spread, "ib", "lb").groupBy("ib", "lb").cogroup(right.repartition(spread, "ib", "lb").groupBy("ib", "lb"))
+    found = cells.applyInArrow(_cell_distances, NEAR_FAR)
+    near = found.groupBy("g").agg(F.min(F.struct("d", "lat")).alias("near"), F.max("far").alias("max_deg"))
+    out = asked.select("id", "g").join(near, "g").groupBy("id").agg(F.min("near").alias("near"), F.max("max_deg").alias("max_deg"))
     return out.select(
         "id",
         F.col("near.d").alias("min_deg"),
@@ -288,9 +439,21 @@ def place_of(min_metres, limit=10.0):
 KM_PER_DEGREE = math.pi / 180 * 6371.0088
 
 
-def within_km(left: DataFrame, right: DataFrame, km, size=None) -> DataFrame:
+def within_km(left: DataFrame, right: DataFrame, km, size=None, hot_pairs=HOT_PAIRS) -> DataFrame:
     """Pairs of points at most ``km`` apart. ``left(id, x, y)``, ``right(other, ox, oy)`` in degrees.
 
+    Places are compared once, and their members spread afterwards.
+    """
+    spots, places = left.select("x", "y").distinct(), right.select("ox", "oy").distinct()
+    pairs = spread(near_spots(spots, places, km, size, hot_pairs), left, right, ["x", "y"], ["ox", "oy"])
+    mine = [c for c in left.columns if c not in ("x", "y")]
+    theirs = [c for c in right.columns if c not in ("ox", "oy")]
+    return pairs.select(*[F.col(f"l.{c}").alias(c) for c in mine], "x", "y", *[F.col(f"r.{c}").alias(c) for c in theirs], "ox", "oy", "km")
+
+
+def near_spots(left: DataFrame, right: DataFrame, km, size=None, hot_pairs=HOT_PAIRS) -> DataFrame:
+    """Pairs of places at most ``km`` apart, by tiles; the left rows of a crowded tile are dealt into parts.
+
     Longitudes wrap at 180°; the search box widens towards the poles.
     """
     reach = km / KM_PER_DEGREE
@@ -308,8 +471,12 @@ def within_km(left: DataFrame, right: DataFrame, km, size=None) -> DataFrame:
     l = left.withColumn("tx", F.explode(xs)).withColumn("ty", F.explode(_span(F.col("y") - reach - 1e-9, F.col("y") + reach + 1e-9, size)))
     tile_x = F.pmod(F.floor((F.col("ox") + 180.0) / size), F.lit(columns))
     r = right.withColumn("tx", tile_x).withColumn("ty", F.floor(F.col("oy") / size))
+    load = l.groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("nl")).join(r.groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("nr")), ["tx", "ty"])
+    load = load.select("tx", "ty", F.ceil(F.col("nl") * F.col("nr") / hot_pairs).cast("int").alias("parts"))
+    l = l.join(load, ["tx", "ty"]).withColumn("part", F.pmod(F.xxhash64("x", "y"), F.col("parts")).cast("int")).drop("parts")
+    r = r.join(load, ["tx", "ty"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     dist = G.haversine(F.col("x"), F.col("y"), F.col("ox"), F.col("oy"))
-    return l.join(r, ["tx", "ty"]).withColumn("km", dist).filter(F.col("km") <= km).drop("tx", "ty")
+    return l.join(r, ["tx", "ty", "part"]).withColumn("km", dist).filter(F.col("km") <= km).drop("tx", "ty", "part")
 
 
 def nearest_entity(left: DataFrame, right: DataFrame, reaches_km=(25.0, 500.0), decimals=6) -> DataFrame:
@@ -325,7 +492,7 @@ def nearest_entity(left: DataFrame, right: DataFrame, reaches_km=(25.0, 500.0),
     settled, open_spots = [], spots
     for reach in reaches_km:
         best = (
-            within_km(open_spots, places, reach)
+            near_spots(open_spots, places, reach)
             .groupBy("x", "y")
             .agg(F.min(F.struct(km.alias("km"), "other")).alias("best"))
             .select("x", "y", "best.km", "best.other")

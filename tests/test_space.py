@@ -220,6 +220,45 @@ def test_coast(spark):
     assert d[1]["min_m"] == pytest.approx(1 / 360 * 2 * math.pi * 6378137 * math.cos(math.radians(1)))
 
 
+def test_coast_distances_of_blocks_match_every_pair(spark):
+    r = np.random.default_rng(3)
+    points = "array<struct<x:double,y:double>>"
+    lines = [(i, [tuple(map(float, p)) for p in r.uniform(-20, 20, 2) + r.uniform(-6, 6, (int(r.integers(1, 5)), 2))]) for i in range(60)]
+    lines += [(7, [(0.0, 0.0), (1.0, 1.0)]), (61, lines[0][1]), (None, [(2.0, 2.0), (3.0, 2.0)])]
+    images = []
+    for i in range(90):
+        x, y = map(float, r.uniform(-20, 20, 2))
+        images.append((i, (x - 3, y - 3, x + 3, y + 3), [(x, y), (x + 1, y - 1)]))
+    images.append((90, *images[0][1:]))
+
+    def far(p, line):
+        ends = list(zip(line, line[1:])) or [(line[0], line[0])]
+        out = []
+        for (ax, ay), (bx, by) in ends:
+            dx, dy = bx - ax, by - ay
+            t = max(0.0, min(1.0, ((p[0] - ax) * dx + (p[1] - ay) * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
+            out.append(math.hypot(p[0] - ax - t * dx, p[1] - ay - t * dy))
+        return min(out)
+
+    want = {}
+    for i, (x0, y0, x1, y1), pts in images:
+        of_line = {}
+        for name, line in lines:
+            xs, ys = zip(*line)
+            if min(xs) <= x1 and max(xs) >= x0 and min(ys) <= y1 and max(ys) >= y0:
+                of_line.setdefault(name, []).append(line)
+        d = [min(far(p, line) for line in own) for own in of_line.values() for p in pts]
+        if d:
+            want[i] = (min(d), max(d))
+    table = spark.createDataFrame(images, f"id bigint, box struct<xmin:double,ymin:double,xmax:double,ymax:double>, points {points}")
+    coast = spark.createDataFrame(lines, f"line bigint, points {points}")
+    found = S.coast_distances(table, coast, size=5.0, image_block=20, segment_block=30)
+    got = {r["id"]: (r["min_deg"], r["max_deg"]) for r in found.collect()}
+    assert set(got) == set(want)
+    for i in want:
+        assert got[i] == pytest.approx(want[i], abs=1e-9)
+
+
 def test_directions(spark):
     left = spark.createDataFrame([(1, "a", 5.0), (2, "a", 9.0), (3, "b", 1.0)], "id bigint, g string, x double")
     right = spark.createDataFrame([("a", 7.0), ("a", 8.0)], "g string, ox double")
