@@ -151,19 +151,24 @@ def unwrap(expression, short_base=SHORT_BASE):
 
 
 def spatial(
-    solution: DataFrame, relations: DataFrame, function, left, right, geometry_of=None, negated=False, short_base=SHORT_BASE
+    solution: DataFrame, relations: DataFrame, function, left, right, geometry_of=None, negated=False, short_base=SHORT_BASE, unique=False
 ) -> DataFrame:
     """Spatial function over two geometry variables as a lookup of the stored relation.
 
-    ``relations(s, p, o)`` holds materialised pairs. Negation removes the matching
+    ``relations(s, p, o)`` holds materialised pairs, each once if ``unique``. Negation removes the matching
     solutions.
     """
     relation = relation_of(function, short_base)
     a, b = unwrap(left, short_base), unwrap(right, short_base)
     if geometry_of:
         a, b = entity_variable(a, geometry_of), entity_variable(b, geometry_of)
-    pairs = match_one(relations, (a, relation, b)).distinct()
-    return minus(solution, pairs) if negated else join_on_shared(solution, pairs)
+    pairs = match_one(relations, (a, relation, b))
+    if negated:
+        # only the variables of the solution decide what is removed
+        shared = _shared(solution, pairs)
+        return minus(solution, pairs.select(*shared).distinct()) if shared else solution
+    # solutions are hashed, the many more pairs are not sorted
+    return join_on_shared(solution.hint("shuffle_hash"), pairs if unique else pairs.distinct())
 
 
 def ask(solution: DataFrame) -> DataFrame:

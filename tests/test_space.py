@@ -210,6 +210,41 @@ def test_within_km_wraps_and_reaches_the_poles(spark):
         assert near[i][0] == j and near[i][1] == pytest.approx(d, abs=1e-5)
 
 
+def test_places_of_many_members_are_spread_and_crowded_tiles_dealt(spark):
+    r = np.random.default_rng(5)
+    a = [(i % 50 or None, *map(float, p)) for i, p in enumerate(np.repeat(r.integers(0, 4, (30, 2)), 40, axis=0))]
+    b = [(i, *map(float, p)) for i, p in enumerate(r.integers(0, 4, (200, 2)))]
+    left = spark.createDataFrame(a, "id bigint, x double, y double")
+    right = spark.createDataFrame(b, "other bigint, ox double, oy double")
+    want = sorted((i or 0, x, y, j) for i, x, y in a for j, ox, oy in b if km((x, y), (ox, oy)) <= 150)
+    got = S.within_km(left, right, 150.0, hot_pairs=7)
+    assert got.columns == ["id", "x", "y", "other", "ox", "oy", "km"]
+    assert sorted((r["id"] or 0, r["x"], r["y"], r["other"]) for r in got.collect()) == want
+
+
+def test_each_relation_once_for_ids_that_repeat(spark):
+    rows = [(1, "POINT (1 1)"), (1, "POINT (1 1)"), (1, "POINT (2 2)"), (2, "POINT (1 1)"), (None, "POINT (1 1)"), (None, "POINT (1 1)")]
+    left = S.prepare(spark.createDataFrame(rows, "id bigint, wkt string"), "id", "wkt")
+    right = S.prepare(spark.createDataFrame([(7, "POLYGON ((0 0, 9 0, 9 9, 0 9, 0 0))")] * 2, "id bigint, wkt string"), "id", "wkt")
+    every = S.relation_pairs(left, right, relations=("sfWithin",)).collect()
+    once = S.relation_pairs(left, right, relations=("sfWithin",), distinct=True).collect()
+    assert len(every) == 12 and len(once) == len(set(every)) and set(once) == set(every)
+    named = S.relation_pairs(left.filter("id = 2"), right, relations=("sfWithin",), distinct=True)
+    assert [tuple(r) for r in named.collect()] == [(2, "sfWithin", 7)]
+
+
+def test_long_segments_meet_boxes_by_their_pieces(spark):
+    r = np.random.default_rng(9)
+    ends = [tuple(map(float, p)) for p in r.uniform(-150, 150, (25, 4))] + [(5.0, 5.0, 5.0, 5.0), (-20.0, 0.0, 20.0, 0.0)]
+    seg = spark.createDataFrame(ends, "ax double, ay double, bx double, by double")
+    boxes = [(i, (x, y, x + 2.0, y + 2.0)) for i, (x, y) in enumerate(map(lambda p: tuple(map(float, p)), r.integers(-30, 30, (200, 2))))]
+    images = spark.createDataFrame(boxes + [(500, boxes[0][1])], "id bigint, box struct<xmin:double,ymin:double,xmax:double,ymax:double>")
+    shape = F.struct("ax", "ay", "bx", "by")
+    want = {r["id"] for r in images.crossJoin(seg).filter(S.segment_meets_box(shape, F.col("box"))).collect()}
+    assert {r["id"] for r in S.meets_coast(images, seg).collect()} == want and len(want) > 10
+    assert S.pieces(seg, 10.0).filter("box.xmax - box.xmin > 10.1 or box.ymax - box.ymin > 10.1").isEmpty()
+
+
 def test_coast(spark):
     line = spark.createDataFrame([(1, [(0.0, 0.0), (10.0, 0.0)]), (2, [(3.0, 3.0)])], "line bigint, points array<struct<x:double,y:double>>")
     imgs = [(1, (4.0, -1.0, 6.0, 1.0), [(5.0, 2.0), (5.0, 1.0)]), (2, (20.0, 20.0, 21.0, 21.0), [(20.5, 20.5)]), (3, (9.0, 1.0, 12.0, 4.0), [(9.0, 1.0)])]
