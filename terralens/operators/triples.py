@@ -12,6 +12,9 @@ from ..session import scratch_dir
 
 TEXT, INTEGER, DOUBLE, DATETIME = None, rdf.XSD + "integer", rdf.XSD + "double", rdf.XSD + "dateTime"
 
+#: Predicates a task writes without sorting, and bytes of a row group of each.
+OPEN_FILES, ROW_GROUP = 64, 8 << 20
+
 # fixed values: property key, predicate, datatype, replace double quotes
 PROPERTY_MAP = {
     "sentinel1": [
@@ -70,11 +73,17 @@ NAMED = {"poi": True, "port": True, "river": False}
 WIKI_LINKED = {"poi", "river"}
 NAME_KEYS = [("name", None), ("name:en", "en"), ("name:de", "de"), ("name:fr", "fr")]
 # fixed values: link relation → predicate
+PAIRS = "array<struct<p:string,o:string>>"
 LINK_PREDICATES = {"thumbnail": "hasThumbnail", "derived_from": "derivedFrom", "license": "hasLicense"}
 
 
 def _po(predicate, term):
-    return F.struct(F.lit(predicate).alias("p"), term.alias("o"))
+    return predicate, term
+
+
+def pair_array(pairs):
+    """Array of ``struct(p, o)`` of (predicate, term) pairs."""
+    return F.array(*[F.struct(F.lit(p).alias("p"), o.alias("o")) for p, o in pairs])
 
 
 def subject(cls, vocab, key=None):
@@ -142,8 +151,8 @@ def geometry_triples(df: DataFrame, cls, vocab=rdf.Vocabulary()) -> DataFrame:
     return df.filter(F.col("wkt").isNotNull()).select(F.inline(both))
 
 
-def entity_triples(df: DataFrame, cls, vocab=rdf.Vocabulary()) -> DataFrame:
-    """All triples of one entity class in a single generator over the rows.
+def entity_triples(df: DataFrame, cls, vocab=rdf.Vocabulary(), predicates=None) -> DataFrame:
+    """All triples of one entity class, or those of the asked ``predicates``, in a single generator over the rows.
 
     Expects ``id``, ``properties MAP<STRING,STRING>``, ``wkt``, and for products
     ``assets`` (sentinel1) or ``links`` (sentinel2). Absent values give no triple.
@@ -154,13 +163,17 @@ def entity_triples(df: DataFrame, cls, vocab=rdf.Vocabulary()) -> DataFrame:
     has_wkt = F.col("wkt").isNotNull()
     pairs.append(_po(rdf.HAS_GEOMETRY, F.when(has_wkt, geometry_node(cls, vocab))))
     pairs.append(_po(rdf.AS_WKT, F.when(has_wkt, rdf.wkt_literal(F.col("wkt")))))
-    po = F.array(*pairs)
-    if cls == "sentinel2":
-        po = F.concat(po, F.coalesce(link_pairs(vocab), F.array().cast("array<struct<p:string,o:string>>")))
+    if predicates is not None:
+        # terms that nobody asks for are not built
+        pairs = [pair for pair in pairs if pair[0] in predicates]
+    po = pair_array(pairs) if pairs else F.array().cast(PAIRS)
+    if cls == "sentinel2" and (predicates is None or {f"<{vocab.ontology}{p}>" for p in LINK_PREDICATES.values()} & set(predicates)):
+        po = F.concat(po, F.coalesce(link_pairs(vocab), F.array().cast(PAIRS)))
     # a plain array stays in generated code; absent values are dropped right after it
     each = df.select(subject(cls, vocab).alias("s"), geometry_node(cls, vocab).alias("_node"), F.inline(po))
     of_node = F.when(F.col("p") == rdf.AS_WKT, F.col("_node")).otherwise(F.col("s"))
-    return each.filter(F.col("o").isNotNull()).select(of_node.alias("s"), "p", "o")
+    each = each.filter(F.col("o").isNotNull()).select(of_node.alias("s"), "p", "o")
+    return each if predicates is None else with_predicate(each, *predicates)
 
 
 def row_triples(df: DataFrame, cls, key, literals, relations=(), vocab=rdf.Vocabulary()) -> DataFrame:
@@ -169,7 +182,7 @@ def row_triples(df: DataFrame, cls, key, literals, relations=(), vocab=rdf.Vocab
     pairs += [_po(f"<{vocab.ontology}{p}>", rdf.literal(c if not isinstance(c, str) else F.col(c), t)) for c, p, t in literals]
     pairs += [_po(f"<{vocab.ontology}{p}>", rdf.iri(f"{vocab.resource}{target}/", F.col(c))) for c, p, target in relations]
     me = rdf.iri(f"{vocab.resource}{cls}/", F.col(key))
-    return df.select(me.alias("s"), F.inline(F.array(*pairs))).filter(F.col("o").isNotNull())
+    return df.select(me.alias("s"), F.inline(pair_array(pairs))).filter(F.col("o").isNotNull())
 
 
 def graph(frames, distinct=False) -> DataFrame:
@@ -187,7 +200,13 @@ def stored(triples: DataFrame, name="graph") -> DataFrame:
     """The graph written once to the shared folder, a partition for each predicate: a constant predicate reads only its own."""
     spark = triples.sparkSession
     path = scratch_dir(spark, name)
-    triples.select("s", "p", "o").write.partitionBy("p").parquet(path)
+    # a file stays open for each predicate of the vocabulary, so that no task sorts its triples
+    option, before = "spark.sql.maxConcurrentOutputFileWriters", spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", "0")
+    spark.conf.set(option, str(OPEN_FILES))
+    try:
+        triples.select("s", "p", "o").write.option("parquet.block.size", ROW_GROUP).partitionBy("p").parquet(path)
+    finally:
+        spark.conf.set(option, before)
     return spark.read.schema("s string, o string, p string").parquet(path).select("s", "p", "o")
 
 

@@ -280,7 +280,7 @@ def entity_sql(cls, kinds=("type", "props", "geo")):
 
 
 def pairs_of(df, cls, pairs):
-    kept = F.filter(F.array(*pairs), lambda x: x["o"].isNotNull())
+    kept = F.filter(T.pair_array(pairs), lambda x: x["o"].isNotNull())
     return df.select(T.subject(cls, VOC).alias("s"), F.inline(kept))
 
 
@@ -411,15 +411,15 @@ def udtf_01(spark, sf):
 
 
 @CAT.add("set_01", " UNION ALL ".join(entity_sql(c) for c in CLASSES))
-def set_01(spark, sf):
+def set_01(spark, sf, predicates=None):
     """The graph: union of the six entity graphs."""
-    return T.graph([T.entity_triples(entities(spark, sf, c), c, VOC) for c in CLASSES])
+    return T.graph([T.entity_triples(entities(spark, sf, c), c, VOC, predicates) for c in CLASSES])
 
 
 @CAT.add("flt_01", f"SELECT * FROM ({' UNION ALL '.join(entity_sql(c) for c in CLASSES)}) WHERE p = '{rdf.HAS_GEOMETRY}'")
 def flt_01(spark, sf):
     """Triples of one predicate."""
-    return T.with_predicate(kept(spark, sf, "entities", set_01)[0], rdf.HAS_GEOMETRY)
+    return T.with_predicate(set_01(spark, sf, [rdf.HAS_GEOMETRY]), rdf.HAS_GEOMETRY)
 
 
 @CAT.add("agg_34", QN + "SELECT p, count(*) AS n FROM t GROUP BY p")
