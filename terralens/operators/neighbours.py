@@ -18,8 +18,13 @@ from pyspark.sql import functions as F
 
 from .numbering import range_bucket
 
-QUERY_BLOCK = 1024
-ARCHIVE_BLOCK = 8192
+#: Rows of the blocks that meet in one task: the more, the fewer copies are shuffled. A profile that tells all places has small ones.
+QUERY_BLOCK, ARCHIVE_BLOCK = 16384, 65536
+PROFILE_QUERIES, SMALL_QUERIES, SMALL_ARCHIVE = 2048, 1024, 8192
+#: Archive blocks at least, as far as they are not smaller than the small ones; rows of a result and distances held at once.
+BLOCKS, BEST_ROWS, DISTANCES = 32, 1 << 20, 1 << 20
+#: Query blocks at least, as far as they are not smaller than the small ones.
+FEW_BLOCKS = 8
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 
@@ -37,6 +42,10 @@ def _distances(q, a, metric, decimals):
 
 def _block_best(qid, q, aid, a, k, metric, decimals):
     """Row-wise k smallest distances of one block pair, ties by archive id."""
+    few = max(1, DISTANCES // max(1, len(aid)))
+    if len(qid) > few:
+        parts = [_block_best(qid[i : i + few], q[i : i + few], aid, a, k, metric, decimals) for i in range(0, len(qid), few)]
+        return tuple(np.concatenate(c) for c in zip(*parts))
     d = _distances(q, a, metric, decimals)
     k = min(k, d.shape[1])
     kth = np.partition(d, k - 1, axis=1)[:, k - 1]
@@ -65,7 +74,7 @@ BEST = pa.schema([("grp", pa.string()), ("qid", pa.int64()), ("aid", pa.int64())
 
 def _best_columns(grp, parts):
     qid, aid, dist = parts
-    return [pa.array([grp] * len(qid), pa.string()), pa.array(qid, pa.int64()), pa.array(aid, pa.int64()), pa.array(dist, pa.float64())]
+    return [pa.repeat(pa.scalar(grp, pa.string()), len(qid)), pa.array(qid, pa.int64()), pa.array(aid, pa.int64()), pa.array(dist, pa.float64())]
 
 
 def _keep_best(found, k):
@@ -73,10 +82,10 @@ def _keep_best(found, k):
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def _vectors(df, id_col, *more):
+def _vectors(df, id_col, *more, metric="l2"):
     grp = F.col("grp") if "grp" in df.columns else F.lit("")
     return df.select(
-        grp.alias("grp"), F.col(id_col).cast("bigint").alias(id_col), F.col("vec").cast("array<double>").alias("vec"), *more
+        grp.alias("grp"), F.col(id_col).cast("bigint").alias(id_col), F.col("vec").cast("array<tinyint>" if metric == "hamming" else "array<double>").alias("vec"), *more
     )
 
 
@@ -96,7 +105,7 @@ def nearest(
     sides rows of one group meet each other only and the result carries it. ``l2`` gives
     squared distances, ``hamming`` takes codes of -1/0/1. Ties go to the lower id.
     """
-    q, a = _vectors(queries, "qid"), _vectors(archive, "aid")
+    q, a = _vectors(queries, "qid", metric=metric), _vectors(archive, "aid", metric=metric)
     size = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
     # vectors plus the running result of every query have to fit the limit
     if size["n"] * ((size["dim"] or 0) + 1 + 3 * k) * 8 <= broadcast_bytes:
@@ -135,10 +144,20 @@ def _scan_archive(q, a, k, metric, decimals, query_block):
     return a.mapInArrow(scan, "grp string, qid bigint, aid bigint, dist double")
 
 
+def _block_count(rows, block):
+    """Blocks of at most ``block`` rows; more of them where that only makes them less than large."""
+    return max(1, math.ceil(rows / max(min(block, SMALL_ARCHIVE), min(block, math.ceil(rows / BLOCKS)))))
+
+
+def _query_blocks(rows, block, small):
+    """Blocks of at most ``block`` queries; a few small ones where the queries fill less."""
+    return max(1, math.ceil(rows / block), min(FEW_BLOCKS, math.ceil(rows / min(block, small))))
+
+
 def _join_blocks(q, a, k, metric, decimals, n_queries, query_block, archive_block):
     """Every query block meets every archive block of its group in one bounded task."""
-    q_blocks = max(1, math.ceil(n_queries / query_block))
-    a_blocks = max(1, math.ceil(a.count() / archive_block))
+    q_blocks = _query_blocks(n_queries, max(1, min(query_block, BEST_ROWS // k)), SMALL_QUERIES)
+    a_blocks = _block_count(a.count(), archive_block)
     q_cells = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(q_blocks))).withColumn(
         "ab", F.explode(F.sequence(F.lit(0), F.lit(a_blocks - 1)).cast("array<bigint>"))
     )
@@ -178,7 +197,6 @@ def _profile_cell(left, right, keep):
     order = np.argsort(aid, kind="stable")
     right = right.take(pa.array(order))
     qm, am = _matrix(left.column("vec"), left.num_rows), _matrix(right.column("vec"), right.num_rows)
-    dist = np.rint(_distances(qm, am, "hamming", 0)).astype(np.int64)
     bits = qm.shape[1]
     q_lab, a_lab = left.column("labels").combine_chunks(), right.column("labels").combine_chunks()
     names = np.unique(np.concatenate([q_lab.flatten().to_numpy(), a_lab.flatten().to_numpy()]))
@@ -190,13 +208,17 @@ def _profile_cell(left, right, keep):
         out[np.repeat(np.arange(len(lengths)), lengths), np.searchsorted(names, values)] = 1.0
         return out
 
-    relevant = hot(q_lab) @ hot(a_lab).T > 0
+    q_hot, a_hot = hot(q_lab), hot(a_lab)
+    few = max(1, DISTANCES // len(am))
     grp, qid = left.column("grp").to_pylist(), left.column("qid").to_numpy()
     block = right.column("ab")[0].as_py()
     out = empty
     for i in range(len(qid)):
-        by_dist = np.argsort(dist[i], kind="stable")
-        d, rel = dist[i][by_dist], relevant[i][by_dist]
+        if i % few == 0:
+            dist = np.rint(_distances(qm[i : i + few], am, "hamming", 0)).astype(np.int16)
+            relevant = q_hot[i : i + few] @ a_hot.T > 0
+        by_dist = np.argsort(dist[i % few], kind="stable")
+        d, rel = dist[i % few][by_dist], relevant[i % few][by_dist]
         counts = np.bincount(d, minlength=bits + 1)
         starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
         taken = 0
@@ -215,19 +237,21 @@ def _profile_cell(left, right, keep):
 
 
 def hamming_profile(
-    queries: DataFrame, archive: DataFrame, keep=None, query_block=QUERY_BLOCK, archive_block=ARCHIVE_BLOCK
+    queries: DataFrame, archive: DataFrame, keep=None, query_block=None, archive_block=None
 ) -> DataFrame:
     """How many archive rows, and how many relevant ones, lie at each Hamming distance.
 
     Inputs are ``(grp, qid|aid, vec, labels ARRAY<INT>)``; rows of one ``grp`` meet
     each other only. Archive blocks are id ranges, so ``(dist, ab)`` orders ties by id
     and ``rel_pos`` holds the in-class places of relevant rows (the first ``keep`` of a
-    block when given). Relevant means at least one shared label.
+    block when given, none for 0). Relevant means at least one shared label.
     """
+    query_block = query_block or (SMALL_QUERIES if keep is None else PROFILE_QUERIES)
+    archive_block = archive_block or (SMALL_ARCHIVE if keep is None else ARCHIVE_BLOCK)
     labels = F.col("labels").cast("array<int>").alias("labels")
-    q, a = _vectors(queries, "qid", labels), _vectors(archive, "aid", labels)
-    q_blocks = max(1, math.ceil(q.count() / query_block))
-    a_blocks = max(1, math.ceil(a.count() / archive_block))
+    q, a = _vectors(queries, "qid", labels, metric="hamming"), _vectors(archive, "aid", labels, metric="hamming")
+    q_blocks = _query_blocks(q.count(), query_block, SMALL_QUERIES // 4)
+    a_blocks = _block_count(a.count(), archive_block)
     ranged = range_bucket(a, "aid", a_blocks, name="ab")
     q_cells = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(q_blocks)).cast("int")).withColumn(
         "ab", F.explode(F.sequence(F.lit(0), F.lit(a_blocks - 1)))

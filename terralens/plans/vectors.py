@@ -170,7 +170,7 @@ FROM h GROUP BY qid, dist""",
 )
 def jn_17(spark, sf):
     """Query × archive Hamming matrix, reduced to counts per query and distance."""
-    profile = N.hamming_profile(*code_sides(vectors(spark, sf), I2T))
+    profile = N.hamming_profile(*code_sides(vectors(spark, sf), I2T), keep=0)
     return profile.groupBy("qid", "dist").agg(F.sum("n_all").alias("n_all"), F.sum("n_rel").alias("n_rel"))
 
 
@@ -250,7 +250,7 @@ pr AS (SELECT qid, radius, any_value(tsum) AS tsum, count(*) FILTER (dist <= rad
 )
 def agg_08(spark, sf):
     """Mean precision inside every Hamming radius."""
-    profile = N.hamming_profile(*code_sides(vectors(spark, sf), I2T))
+    profile = N.hamming_profile(*code_sides(vectors(spark, sf), I2T), keep=0)
     return R.radius_curve(profile, 64).select("radius", rounded("precision"))
 
 
@@ -261,7 +261,7 @@ round(avg(CASE WHEN tsum > 0 THEN tp / tsum ELSE 0 END), 6) AS recall FROM pr GR
 )
 def agg_09(spark, sf):
     """Precision–recall curve by radius."""
-    profile = N.hamming_profile(*code_sides(vectors(spark, sf), I2T))
+    profile = N.hamming_profile(*code_sides(vectors(spark, sf), I2T), keep=0)
     return R.radius_curve(profile, 64).select("radius", rounded("precision"), rounded("recall"))
 
 

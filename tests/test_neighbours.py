@@ -153,3 +153,28 @@ def test_contrastive_loss_against_numpy(spark):
     sim = np.exp(z @ z.T / 0.5)
     pos = np.exp(np.r_[(u * w).sum(1), (u * w).sum(1)] / 0.5)
     assert got["mean_loss"] == pytest.approx(np.mean(-np.log(pos / (sim.sum(1) - np.diag(sim)))))
+
+
+def test_large_blocks_hold_few_distances_at_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(N, "DISTANCES", 64)
+    whole = N._distances
+    monkeypatch.setattr(N, "_distances", lambda q, a, *more: seen.append(len(q) * len(a)) or whole(q, a, *more))
+    r = np.random.default_rng(2)
+    q, a = np.sign(r.normal(size=(30, 8))), np.sign(r.normal(size=(20, 8)))
+    qid, aid, dist = N._block_best(np.arange(30), q, np.arange(20), a, 3, "hamming", 0)
+    full = 0.5 * (8 - q @ a.T)
+    want = [(i, j, full[i, j]) for i in range(30) for j in np.lexsort((np.arange(20), full[i]))[:3]]
+    assert list(zip(qid, aid, dist)) == want and max(seen) <= 64
+
+
+def test_profile_without_places_keeps_all_counts(spark):
+    r = np.random.default_rng(4)
+    q, a = np.sign(r.normal(size=(6, 8))), np.sign(r.normal(size=(40, 8)))
+    labels = {i: [i % 3] for i in range(40)}
+    sides = frame(spark, range(6), q, "qid", labels, "g"), frame(spark, range(40), a, "aid", labels, "g")
+    counts = lambda p: {(x["qid"], x["dist"]): (x["n_all"], x["n_rel"]) for x in p.collect()}
+    none = N.hamming_profile(*sides, keep=0)
+    assert counts(none) == counts(N.hamming_profile(*sides)) and all(x["rel_pos"] == [] for x in none.collect())
+    assert "array<tinyint>" in N._vectors(sides[0], "qid", metric="hamming").schema.simpleString()
+    assert N._block_count(1_000_000, N.ARCHIVE_BLOCK) == 32 and N._block_count(100, N.ARCHIVE_BLOCK) == 1 and N._block_count(100, 33) == 4
