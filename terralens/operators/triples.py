@@ -186,15 +186,16 @@ def with_predicate(triples: DataFrame, *predicates) -> DataFrame:
     return triples.filter(F.col("p").isin(*predicates))
 
 
-def stored(triples: DataFrame, name="graph") -> DataFrame:
+def stored(triples: DataFrame, name="graph", open_files=OPEN_FILES) -> DataFrame:
     """The graph written once to the shared folder, a partition for each predicate: a constant predicate reads only its own."""
     spark = triples.sparkSession
     path = scratch_dir(spark, name)
-    # a file stays open for each predicate of the vocabulary, so that no task sorts its triples
+    # a file stays open for each predicate, so that no task sorts its triples; 0 sorts them, for graphs of many predicates
     option, before = "spark.sql.maxConcurrentOutputFileWriters", spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", "0")
-    spark.conf.set(option, str(OPEN_FILES))
+    spark.conf.set(option, str(open_files))
     try:
-        triples.select("s", "p", "o").write.option("parquet.block.size", ROW_GROUP).partitionBy("p").parquet(path)
+        writer = triples.select("s", "p", "o").write.partitionBy("p")
+        (writer.option("parquet.block.size", ROW_GROUP) if open_files else writer).parquet(path)
     finally:
         spark.conf.set(option, before)
     return spark.read.schema("s string, o string, p string").parquet(path).select("s", "p", "o")

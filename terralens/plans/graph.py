@@ -53,20 +53,20 @@ def star(spark, sf, only=None):
     )
 
 
-def kept(spark, sf, name, build):
+def kept(spark, sf, name, build, open_files=0):
     """(graph, counts): the graph of the tables in a folder, stored by predicate by the first query of the application
     that asks for it, with the triples of each predicate."""
     context = spark.sparkContext
     if not hasattr(context, "terralens_graphs"):
         context.terralens_graphs = {}
     if (name, sf) not in context.terralens_graphs:
-        graph = T.stored(build(spark, sf), name)
+        graph = T.stored(build(spark, sf), name, open_files)
         context.terralens_graphs[name, sf] = graph, T.statistics(graph)
     return context.terralens_graphs[name, sf]
 
 
 def star_store(spark, sf):
-    return kept(spark, sf, "star", star)
+    return kept(spark, sf, "star", star, T.OPEN_FILES)
 
 
 def star_sql():
