@@ -31,9 +31,10 @@ COSTLY = 32
 #: A shingle's level is how many of these numbers of documents are seen to hold it; bits for each level.
 LEVELS, LEVEL_BITS = (8, 128, 2048), 1 << 25
 #: Shingles that a task counts together, and entries (60 bytes, copied several times) that it packs together.
-COUNTED, PACKED = 1 << 19, 1 << 18
-#: Columns of a set's bit signature, 64 bits each.
+COUNTED, PACKED = 1 << 19, 1 << 17
+#: Columns of a set's bit signature, 64 bits each, and of the wider one that is kept once for each node.
 SIGNATURE = ["s0", "s1", "s2", "s3"]
+WIDE = [f"w{i}" for i in range(16)]
 #: A row counts for at least so many shingles, so that a block has fewer than 65536 rows.
 BLOCK_SHARE = 64
 #: Parts in which copies of one set meet first, and partners of a document that one task compares.
@@ -59,13 +60,19 @@ def prefix_length(n, percent):
 
 
 def parities(found, owner, rows):
-    """Per row SIGNATURE words: a bit is set if an odd number of the row's shingles falls on it.
+    """Per row WIDE words: a bit is set if an odd number of the row's shingles falls on it.
 
     The bits in which two rows differ are at most as many as the shingles that only one of them has.
     """
-    width = 64 * len(SIGNATURE)
-    bits = np.bincount(owner * width + ((found >> np.uint64(24)) % np.uint64(width)).astype(np.int64), minlength=rows * width) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64).reshape(rows, len(SIGNATURE))
+    width = 64 * len(WIDE)
+    bits = np.bincount(owner * width + ((found >> np.uint64(24)) % np.uint64(width)).astype(np.int64), minlength=rows * width)
+    bits &= 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64).reshape(rows, len(WIDE))
+
+
+def folded(wide):
+    """The SIGNATURE words of WIDE ones, as if the shingles had fallen on so many bits at once."""
+    return np.bitwise_xor.reduce(wide.reshape(len(wide), -1, len(SIGNATURE)), axis=1)
 
 
 def set_digests(found, at):
@@ -245,7 +252,7 @@ def level_of(found, maps):
 
 
 def sketches(nodes, docs, maps, width, percent):
-    """Per node (doc_id, n, d1, d2, lone): rid, n, lone, SIGNATURE and its first shingles, the prefix and its
+    """Per node (doc_id, n, d1, d2, lone): rid, n, lone, SIGNATURE, WIDE and its first shingles, the prefix and its
     reserve."""
     maps = docs.sparkSession.sparkContext.broadcast(maps)
 
@@ -259,7 +266,7 @@ def sketches(nodes, docs, maps, width, percent):
                 same = np.ones(rows, bool)  # a repeated doc_id has other texts as well
                 for k, digest in enumerate(set_digests(found, at)):
                     same &= digest == batch.column(2 + k).slice(lo, rows).to_numpy()
-                signature = parities(found, owner, rows)
+                wide = parities(found, owner, rows)
                 found = found[np.lexsort((found, level_of(found, maps.value), owner))]
                 p = prefix_length(n, percent)
                 kept = np.minimum(n, p + np.maximum(p // RESERVE_SHARE, RESERVE)) * same
@@ -269,13 +276,13 @@ def sketches(nodes, docs, maps, width, percent):
                         batch.column(0).slice(lo, rows),
                         pa.array(n, pa.int64()),
                         batch.column(4).slice(lo, rows),
-                        *(pa.array(np.ascontiguousarray(column)) for column in signature.T),
+                        *(pa.array(np.ascontiguousarray(column)) for column in (*folded(wide).T, *wide.T)),
                         pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]), pa.int32()), pa.array(stored)),
                     ],
-                    ["rid", "n", "lone", *SIGNATURE, "stored"],
+                    ["rid", "n", "lone", *SIGNATURE, *WIDE, "stored"],
                 )
 
-    columns = ", ".join(f"{s} long" for s in SIGNATURE)
+    columns = ", ".join(f"{s} long" for s in SIGNATURE + WIDE)
     texts = with_texts(docs, nodes).select("doc_id", "n", "d1", "d2", "lone", "text")
     return texts.mapInArrow(sketch, f"rid long, n long, lone long, {columns}, stored array<long>").where("size(stored) > 0")
 
@@ -438,15 +445,20 @@ def stored_length(n, percent):
     return f"least({n}, {p} + greatest({p} div {RESERVE_SHARE}, {RESERVE}))"
 
 
+def near(x, y, percent, words):
+    """What the signatures of two nodes allow."""
+    apart = " + ".join(f"bit_count({x}.{s} ^ {y}.{s})" for s in words)
+    return f"{100 + percent} * ({apart}) <= {100 - percent} * ({x}.n + {y}.n)"
+
+
 def may_link(x, y, percent):
     """What the sizes, the lone shingles and the signatures of two nodes allow.
 
     Shingles that are not lone bound what two nodes can share; signatures bound from below what only one of them has,
     which must not be more than (100 - percent) / (100 + percent) of both sizes together.
     """
-    apart = " + ".join(f"bit_count({x}.{s} ^ {y}.{s})" for s in SIGNATURE)
     enough = f"{100 + percent} * ({{0}}.n - {{0}}.lone) >= {percent} * ({x}.n + {y}.n)"
-    return f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) AND {enough.format(x)} AND {enough.format(y)} AND {100 + percent} * ({apart}) <= {100 - percent} * ({x}.n + {y}.n)"
+    return f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) AND {enough.format(x)} AND {enough.format(y)} AND {near(x, y, percent, SIGNATURE)}"
 
 
 def leader_pairs(shared, percent):
@@ -470,8 +482,12 @@ def leader_pairs(shared, percent):
     return best.select("a", F.col("rid").alias("b"))
 
 
-def candidate_pairs(shared, comps, percent, costly):
-    """Pairs (a, b) of nodes in different groups that share as many stored shingles as their prefixes ask for."""
+def candidate_pairs(shared, comps, nodes, percent, costly):
+    """Pairs (a, b) of nodes in different groups that share as many stored shingles as their prefixes ask for.
+
+    Nodes whose reserve does not make up for their costly shingles meet all holders of these. The WIDE signatures in
+    ``nodes`` (rid, WIDE), which only these meetings carry, keep all but the nearly similar of such pairs from being made.
+    """
     with_group = written(
         shared.join(comps, shared.rid == comps.node, "left").select("tok", "rid", "n", "lone", "pos", *SIGNATURE, F.coalesce("root", "rid").alias("grp")), "entries"
     )
@@ -501,7 +517,9 @@ def candidate_pairs(shared, comps, percent, costly):
     covered = entries.where("NOT costly AND spare >= 0")
     usual = meet(covered, covered, "x.rid < y.rid", "least(x.spare, y.spare)")
     # where the reserve does not make up for the costly shingles, these count too, for the document and its partners
-    short = meet(entries.where("spare < 0"), entries, "(x.rid < y.rid OR y.spare >= 0)", "least(x.kept - x.p, y.kept - y.p)")
+    lacking = written(entries.where("spare < 0").join(nodes.select("rid", *WIDE), "rid"), "lacking")
+    holding = entries.join(lacking.select("tok").distinct(), "tok", "left_semi").join(nodes.select("rid", *WIDE), "rid")
+    short = meet(lacking, holding, f"{near('x', 'y', percent, WIDE)} AND (x.rid < y.rid OR y.spare >= 0)", "least(x.kept - x.p, y.kept - y.p)")
     return usual.unionByName(short)
 
 
@@ -524,13 +542,14 @@ def similar_groups(docs, width=WIDTH, percent=PERCENT, costly=COSTLY):
     least = written(classes.groupBy(*key).agg(F.min("rid").alias("b"), F.max("lone").alias("lone")), "least")
     # one node for each distinct set that shares enough with others to be similar to any
     nodes = written(least.where(f"100 * (n - lone) >= {percent} * n").select(F.col("b").alias("doc_id"), "n", "d1", "d2", "lone"), "nodes")
-    stored = sketches(nodes, docs, level_maps(answers), width, percent)
-    shared = written(shared_shingles(stored, 4 * shuffle_partitions(spark)), "shared")
+    # written, so that no task runs two Python workers at once
+    stored = written(sketches(nodes, docs, level_maps(answers), width, percent), "stored")
+    shared = written(shared_shingles(stored.drop(*WIDE), 4 * shuffle_partitions(spark)), "shared")
     least = least.drop("lone")
     links = classes.drop("lone").join(least, key).where("rid != b").select(F.col("rid").alias("a"), "b")
     early = links.unionByName(written(verified(leader_pairs(shared, percent), docs, width, percent), "early"))
     groups = written(components(early), "groups")
-    late = verified(candidate_pairs(shared, groups, percent, costly), docs, width, percent)
+    late = verified(candidate_pairs(shared, groups, stored, percent, costly), docs, width, percent)
     final = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late))
     of_class = classes.join(final, classes.rid == final.node, "left").select(*key, "salt", F.coalesce("root", "rid").alias("component"))
     return sketch.join(of_class, [*key, "salt"], "left").select(

@@ -292,3 +292,24 @@ def test_lone_shingles_and_signatures_are_bounds(spark):
     both = np.concatenate([x, y])
     sx, sy = join.parities(both, np.repeat([0, 1], [len(x), len(y)]), 2)
     assert 0 < sum(int(v & 0xFFFFFFFFFFFFFFFF).bit_count() for v in (sx ^ sy).tolist()) <= len(np.setxor1d(x, y))
+
+
+def test_wide_signatures_tell_apart_what_narrow_ones_do_not(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    y = x.copy()
+    y[:39] = rng.integers(0, 1 << 63, 39).astype(np.uint64)  # similarity 361 / 439, below 0.85
+    z = x.copy()
+    z[:32] = rng.integers(0, 1 << 63, 32).astype(np.uint64)  # similarity 368 / 432, above it
+    wide = join.parities(np.concatenate([x, y, z]), np.repeat([0, 1, 2], 400), 3)
+    narrow = join.folded(wide)
+    rows = [(i, 400, *map(int, narrow[i]), *map(int, wide[i])) for i in range(3)]
+    columns = ", ".join(f"{s} long" for s in join.SIGNATURE + join.WIDE)
+    df = spark.createDataFrame(rows, f"rid int, n int, {columns}")
+
+    def met(words):
+        pairs = df.alias("x").join(df.alias("y")).where("x.rid = 0 AND y.rid > 0").where(join.near("x", "y", 85, words))
+        return {r[0] for r in pairs.select("y.rid").collect()}
+
+    assert met(join.SIGNATURE) == {1, 2}
+    assert met(join.WIDE) == {2}
