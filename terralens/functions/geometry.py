@@ -37,6 +37,9 @@ _FRAME = r"(?i)^(?:GEOMETRYCOLLECTION\s*(?:ZM|Z|M)?|EMPTY|[\s,()])*+$"
 _NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 _VERTEX = rf"({_NUMBER})\s+({_NUMBER})(?:\s+{_NUMBER})*+"
 PART = f"struct<kind:string,rings:{RINGS}>"
+# one ring without anything unusual: its vertices are read without nested texts
+_PAIR = rf"{_NUMBER} {_NUMBER}"
+_PLAIN = rf'^"?POLYGON ?\(\(({_PAIR}(?:, ?{_PAIR})*+)\)\)"?$'
 
 
 def point(x, y):
@@ -237,7 +240,15 @@ def area(parts):
 
 def wkt_area(wkt):
     """Area of a WKT geometry; null when the text is none."""
-    return area(geometry(wkt)["parts"])
+
+    def vertex(text):
+        return point(F.substring_index(text, " ", 1).try_cast("double"), F.substring_index(text, " ", -1).try_cast("double"))
+
+    def of(plain):
+        ring = F.transform(F.split(plain, ","), lambda v: vertex(F.ltrim(v)))
+        return F.when(plain != "", ring_area(ring)).otherwise(area(geometry(wkt)["parts"]))
+
+    return let(F.regexp_extract(wkt, _PLAIN, 1), of)
 
 
 def centroid(ring):

@@ -401,3 +401,16 @@ def test_long_geometry_texts(spark):
     ring = ", ".join(f"{i % 1000} {i // 1000}" for i in range(60_000))
     df = spark.createDataFrame([(f"POLYGON (({ring}, 0 0))",)], "wkt string")
     assert df.select(F.size(G.parse_wkt(F.col("wkt"))[0])).first()[0] == 60_001
+
+
+def test_area_of_plain_polygons_is_that_of_their_general_form(spark):
+    texts = [
+        '"POLYGON ((0 0, 3 0, 3 3, 0 3, 0 0))"', "POLYGON((0.5 -1e1,3 0,3. .5, 0 3))", "POLYGON ((1 1, 2 2))", "POLYGON ((1 1))",
+        "POLYGON ((0 0, 4 0, 4 4, 0 0), (1 1, 2 1, 2 2, 1 1))", "POLYGON ((0 0 1, 2 0 1, 2 2 1, 0 0 1))", "polygon ((0 0, 2 0, 2 2))", "POLYGON ((0 0, 2 0, x 2))", "POLYGON EMPTY", None,
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "w string")
+    got = [tuple(r) for r in df.select(G.wkt_area(F.col("w")), G.area(G.geometry(F.col("w"))["parts"])).collect()]
+    assert [a for a, _ in got] == [b for _, b in got]
+    assert got[0][0] == 9.0 and got[4][0] == 7.5
+    plain = df.select(F.regexp_extract("w", G._PLAIN, 1).alias("p")).where("p != ''")
+    assert plain.count() == 4
