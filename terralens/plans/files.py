@@ -19,6 +19,13 @@ from . import dialogue, graph, media, space, vectors
 from .common import Catalogue, rounded, table
 
 CAT = Catalogue()
+#: Files of one row that a task writes.
+FILES = 200
+
+
+def spread(rows):
+    """``rows`` over as many tasks as their files need: a small table is read by one, which would write every file alone."""
+    return rows.repartition(N.bucket_count(rows, FILES))
 
 
 def folder(spark, key):
@@ -48,7 +55,7 @@ def src_01(spark, sf):
     """Entity files one folder down; a file at the root is not read."""
     root = folder(spark, "src_01")
     docs = port_documents(spark, sf)
-    docs.write.option("maxRecordsPerFile", 1).json(f"{root}/ports")
+    spread(docs).write.option("maxRecordsPerFile", 1).json(f"{root}/ports")
     return port_columns(R.entity_documents(spark, root))
 
 
@@ -69,7 +76,7 @@ def src_02(spark, sf):
         (F.col("s_nationkey") % 4).alias("m"),
         F.col("s_nationkey").alias("d"),
     )
-    docs.write.option("maxRecordsPerFile", 1).partitionBy("y", "m", "d").json(root)
+    spread(docs).write.option("maxRecordsPerFile", 1).partitionBy("y", "m", "d").json(root)
     read = R.product_documents(spark, root)
     return read.select("id", F.col("properties")["platform"].alias("platform"), F.col("links")[0]["href"].alias("thumb"))
 
