@@ -105,6 +105,11 @@ def two_captions(captions: DataFrame, m=4, seed=42) -> DataFrame:
 
 
 def quadruplets(images: DataFrame, augmented_images: DataFrame, captions: DataFrame, augmented_captions: DataFrame) -> DataFrame:
-    """Image, augmented image, caption, augmented caption, matched by ids."""
-    texts = captions.join(augmented_captions, ["image_id", "sentence_id"])
-    return texts.join(images, "image_id").join(augmented_images, "image_id")
+    """Image, augmented image, caption, augmented caption, matched by ids.
+
+    The few captions of an image meet by image and are matched there: tables that already lie by image are not moved again.
+    """
+    other = augmented_captions.withColumnRenamed("sentence_id", "_other")
+    # no equation, which would ask for tables laid out by both ids
+    met = captions.join(other, "image_id").where("sentence_id >= _other AND sentence_id <= _other").drop("_other")
+    return met.join(images, "image_id").join(augmented_images, "image_id")

@@ -519,18 +519,18 @@ def str_11(spark, sf):
 # --- caption tables ---
 
 
-def captioned(spark, sf):
+def captioned(images):
     """Four captions per document: whole text, prefixed text, reversed text and its source."""
     c = F.array(F.col("text"), F.concat(F.lit("A view of "), "text"), F.reverse("text"), F.col("source"))
-    return docs(spark, sf).select(F.col("doc_id").alias("image_id"), F.col("lang").alias("image"), c.alias("captions"))
+    return images.select(F.col("doc_id").alias("image_id"), F.col("lang").alias("image"), c.alias("captions"))
 
 
 SQL_C4 = """c4 AS (SELECT doc_id AS image_id, lang AS image, unnest([0, 1, 2, 3]) AS pos, unnest([text, 'A view of ' || text, reverse(text), source]) AS text FROM documents),
 cs AS (SELECT *, image_id * 4 + pos AS sentence_id FROM c4)"""
 
 
-def caption_rows(spark, sf):
-    rows = captioned(spark, sf).select("image_id", "image", F.posexplode("captions").alias("pos", "text"))
+def caption_rows(images):
+    rows = captioned(images).select("image_id", "image", F.posexplode("captions").alias("pos", "text"))
     return rows.withColumn("sentence_id", F.col("image_id") * 4 + F.col("pos"))
 
 
@@ -638,7 +638,7 @@ def prj_11(spark, sf):
 @CAT.add("pair_01", f"WITH {SQL_C4}, r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY md5('42:' || sentence_id), sentence_id) AS r FROM cs) SELECT 'all' AS form, image_id, sentence_id, text FROM cs UNION ALL SELECT 'one', image_id, sentence_id, text FROM r WHERE r = 1")
 def pair_01(spark, sf):
     """Image–caption pairs: all four captions, and one sampled caption."""
-    rows = caption_rows(spark, sf)
+    rows = caption_rows(docs(spark, sf))
     cols = ["image_id", "sentence_id", "text"]
     every = S.image_captions(rows).select(F.lit("all").alias("form"), *cols)
     return every.unionByName(S.image_captions(rows, n=1).select(F.lit("one").alias("form"), *cols))
@@ -647,7 +647,7 @@ def pair_01(spark, sf):
 @CAT.add("pair_02", f"WITH {SQL_C4} SELECT a.image_id, a.pos AS pos1, b.pos AS pos2, a.text AS first, b.text AS second FROM cs a JOIN cs b ON a.image_id = b.image_id AND a.pos < b.pos")
 def pair_02(spark, sf):
     """Image with every 2-combination of its captions."""
-    return S.caption_triplets(captioned(spark, sf))
+    return S.caption_triplets(captioned(docs(spark, sf)))
 
 
 @CAT.add(
@@ -657,14 +657,16 @@ SELECT image_id, max(text) FILTER (r = 1) AS first, max(text) FILTER (r = 2) AS
 )
 def pair_03(spark, sf):
     """Image with two sampled captions."""
-    return S.two_captions(caption_rows(spark, sf))
+    return S.two_captions(caption_rows(docs(spark, sf)))
 
 
 @CAT.add("pair_04", f"WITH {SQL_C4} SELECT image_id, sentence_id, image, image || '_aug' AS image_aug, text, lower(text) AS text_aug FROM cs")
 def pair_04(spark, sf):
     """Image, augmented image, caption, augmented caption."""
-    rows = caption_rows(spark, sf)
-    imgs = captioned(spark, sf).select("image_id", "image")
+    # each text moves once, before its captions are made of it
+    placed = docs(spark, sf).repartition("doc_id")
+    rows = caption_rows(placed)
+    imgs = captioned(placed).select("image_id", "image")
     aug_imgs = imgs.select("image_id", F.concat("image", F.lit("_aug")).alias("image_aug"))
     aug = rows.select("image_id", "sentence_id", F.lower("text").alias("text_aug"))
     return S.quadruplets(imgs, aug_imgs, rows.select("image_id", "sentence_id", "text"), aug)

@@ -142,3 +142,19 @@ def test_long_dialogues_are_cut_into_parts(spark):
     assert [t["turn"] for p in parts for t in p["turns"]] == list(range(2500))
     firsts = R.classes_by_appearance(spark.createDataFrame([("b", 1), ("a", 2), ("b", 0)], "expected string, n int"), "n")
     assert firsts == ["b", "a"]
+
+
+def test_quadruplets_do_not_move_tables_that_lie_by_image(spark):
+    placed = spark.createDataFrame([(1, 4, "A"), (1, 5, "B"), (1, 5, "B2"), (2, 8, "C"), (2, None, "D"), (None, 9, "E"), (3, 4, "F")], "image_id int, sentence_id int, text string").repartition("image_id")
+    images = placed.select("image_id").distinct().withColumn("image", F.concat(F.lit("i"), F.col("image_id").cast("string")))
+    augmented = placed.where("text != 'C'").select("image_id", "sentence_id", F.lower("text").alias("text_aug"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        four = S.quadruplets(images, images.withColumnRenamed("image", "image_aug"), placed, augmented)
+        plan = four._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r["image_id"], r["sentence_id"], r["text"], r["text_aug"], r["image"], r["image_aug"]) for r in four.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_COL")
+    assert got == [(1, 4, "A", "a", "i1", "i1")] + [(1, 5, x, y, "i1", "i1") for x in ("B", "B2") for y in ("b", "b2")] + [(3, 4, "F", "f", "i3", "i3")]
