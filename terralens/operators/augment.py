@@ -62,7 +62,8 @@ def augment_sentences(sentences: DataFrame, neighbours: DataFrame, threshold=SIM
     expletive = (F.col("tag") == "EX") & (F.col("next_tag") == "VBZ")
     word = F.when(expletive, F.lit("it")).otherwise(F.coalesce("replacement", "token"))
     # a sentence came from one row, so its tokens fit one row again
-    ordered = F.array_sort(F.collect_list(F.struct("pos", word.alias("w"))))
+    # sort_array compares by itself, array_sort through an expression for each comparison
+    ordered = F.sort_array(F.collect_list(F.struct("pos", word.alias("w"))))
     done = placed.groupBy("id").agg(F.transform(ordered, lambda e: e["w"]).alias("words"))
     return done.select("id", X.untokenise(F.col("words")).alias("augmented"))
 
