@@ -21,6 +21,8 @@ from .common import Catalogue, rounded, table
 CAT = Catalogue()
 #: Files of one row that a task writes.
 FILES = 200
+#: Patches of an annotation map, and maps that a task writes.
+PATCHES, MAPS = 1000, 20
 
 
 def spread(rows):
@@ -156,20 +158,27 @@ def src_08(spark, sf):
     return read[0].unionByName(read[1])
 
 
+def box(line):
+    """The annotation of an order line: a rectangle as long as its quantity."""
+    q = line["l_quantity"]
+    ring = F.array(F.array(F.lit(0.0), F.lit(0.0)), F.array(q, F.lit(0.0)), F.array(q, F.lit(1.0)), F.array(F.lit(0.0), F.lit(1.0)))
+    return F.struct(F.struct(F.array(ring).alias("coordinates")).alias("geometry"))
+
+
 @CAT.add(
     "src_09",
     """WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem)
 SELECT 'p_' || l_orderkey AS patch, count(*)::INTEGER AS boxes, round(sum(l_quantity), 6) AS area FROM b GROUP BY l_orderkey""",
 )
 def src_09(spark, sf):
-    """Annotation maps keyed by patch; one map file per hundred patches."""
+    """Annotation maps keyed by patch; one map file per thousand patches, as a file costs more than the patches of a small one."""
     path = folder(spark, "src_09")
-    q = F.col("l_quantity")
-    ring = F.array(F.array(F.lit(0.0), F.lit(0.0)), F.array(q, F.lit(0.0)), F.array(q, F.lit(1.0)), F.array(F.lit(0.0), F.lit(1.0)))
-    box = F.struct(F.struct(F.array(ring).alias("coordinates")).alias("geometry"))
-    per = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(box).alias("annotations"))
-    entry = F.struct(F.concat(F.lit("p_"), F.col("l_orderkey").cast("string")), F.struct("annotations"))
-    docs = per.groupBy(F.floor(F.col("l_orderkey") / 100).alias("part")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", F.struct("l_quantity").alias("line"), F.floor(F.col("l_orderkey") / PATCHES).alias("part"))
+    # the lines move once, to the task that writes their map; boxes are made there
+    moved = lines.repartition(N.bucket_count(lines.select("part").distinct(), MAPS), "part")
+    per = moved.groupBy("part", "l_orderkey").agg(F.collect_list("line").alias("lines"))
+    entry = F.struct(F.concat(F.lit("p_"), F.col("l_orderkey").cast("string")), F.struct(F.transform("lines", box).alias("annotations")))
+    docs = per.groupBy("part").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
     docs.select("value").write.option("maxRecordsPerFile", 1).text(path)
     read = R.annotations(spark, path)
     areas = F.aggregate(F.transform("boxes", G.ring_area), F.lit(0.0), lambda acc, a: acc + a)
