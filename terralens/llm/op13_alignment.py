@@ -85,7 +85,7 @@ class Tokens(Encoder):
         cut[0] = True
         starts, row = starts[cut], row[cut]
         ends = np.append(starts[1:], ends[-1])
-        hashes = mix64(span_sums(BYTE_CODES[data], starts, ends) + (ends - starts).astype(np.uint64))
+        hashes = mix64(span_sums(data, starts, ends, BYTE_CODES) + (ends - starts).astype(np.uint64))
         keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         if (new := self._new(keys)).any():
             if len(self.keys) + int(new.sum()) > self.remembered:

@@ -35,27 +35,42 @@ _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 LOWER_CODES = BYTE_CODES[_LOWER]
 
-_powers: dict[int, np.ndarray] = {}
+#: Values whose sums are taken at once, so that a text needs no array of eight bytes for each of its own.
+STRIPE = 1 << 15
 
 
 def powers(base, n):
-    """The first ``n`` powers of an odd number modulo 2^64, kept for the next call."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, U64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        if len(have) <= 4 * SLICE:
-            _powers[base] = have
-    return have[:n]
-
-
-def span_sums(values, starts, ends):
-    """For each span the sum of values[i] * STEP^(i - start) modulo 2^64: a hash that does not depend on the place."""
-    n = len(values)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(values * powers(_STEP, n), out=total[1:])
-    return (total[ends] - total[starts]) * powers(_BACK, n + 1)[starts]
+    """The first ``n`` powers of a number modulo 2^64."""
+    out = np.full(n, base, U64)
+    out[0] = 1
+    np.multiply.accumulate(out, out=out)
+    return out
+
+
+_UP, _DOWN = powers(_STEP, STRIPE), powers(_BACK, STRIPE)
+
+
+def span_sums(values, starts, ends, codes=None):
+    """For each span the sum of values[i] * STEP^(i - start) modulo 2^64: a hash that does not depend on the place.
+
+    ``starts`` and ``ends`` ascend; with ``codes`` the values are their codes.
+    """
+    first, last, down = (np.empty(len(starts), U64) for _ in range(3))
+    total, before, up, back = np.zeros(STRIPE + 1, U64), 0, 1, 1
+    stripes = range(0, len(values) + 1, STRIPE)
+    edges = np.append(stripes, len(values) + 1)
+    of_start, of_end = np.searchsorted(starts, edges), np.searchsorted(ends, edges)
+    for k, lo in enumerate(stripes):
+        own = values[lo : lo + STRIPE]
+        own = own if codes is None else codes[own]
+        np.cumsum(own * _UP[: len(own)], out=total[1 : len(own) + 1])
+        at, to = slice(*of_start[k : k + 2]), slice(*of_end[k : k + 2])
+        first[at] = total[starts[at] - lo] * U64(up) + U64(before)
+        last[to] = total[ends[to] - lo] * U64(up) + U64(before)
+        down[at] = _DOWN[starts[at] - lo] * U64(back)
+        before = (before + up * int(total[len(own)])) % (1 << 64)
+        up, back = up * pow(_STEP, STRIPE, 1 << 64) % (1 << 64), back * pow(_BACK, STRIPE, 1 << 64) % (1 << 64)
+    return (last - first) * down
 
 
 def text_bytes(column):
@@ -100,7 +115,7 @@ def word_spans(data, offsets):
 
 
 def word_hashes(data, starts, ends, lower):
-    return mix64(span_sums((LOWER_CODES if lower else BYTE_CODES)[data], starts, ends) + (ends - starts).astype(U64))
+    return mix64(span_sums(data, starts, ends, LOWER_CODES if lower else BYTE_CODES) + (ends - starts).astype(U64))
 
 
 def row_starts(row, rows):

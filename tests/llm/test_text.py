@@ -51,3 +51,21 @@ def test_encoder_that_forgets(reference):
     for i in range(len(texts)):
         ids, _ = own.encode(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))
         assert ids.tolist() == reference(texts[i])
+
+
+def test_hashing_a_long_text_needs_little_beside_it():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 256, 4 * text.SLICE, np.uint8)
+    starts = np.array([0, 5, text.STRIPE - 1, text.STRIPE, 3 * text.STRIPE + 7, len(data) - 9])
+    ends = np.array([5, 5, text.STRIPE + 1, 2 * text.STRIPE, 3 * text.STRIPE + 8, len(data)])
+    tracemalloc.start()
+    try:
+        hashes = text.word_hashes(data, starts, ends, True)
+        assert tracemalloc.get_traced_memory()[1] < len(data)
+    finally:
+        tracemalloc.stop()
+    for i, (a, b) in enumerate(zip(starts, ends)):
+        alone = text.word_hashes(data[a:b], np.array([0]), np.array([b - a]), True)
+        assert hashes[i] == alone[0]
