@@ -21,8 +21,8 @@ WIDTH, FILTERS, BLOCK = 4, 8, 128
 #: Labelled documents that the network learns from, each with its whole text, and bytes of all of them; the only bounded sample.
 SAMPLE, SAMPLE_BYTES = 3000, 64 << 20
 ROUNDS, BATCH, RATE, SEED = 12, 64, 0.02, 11
-#: Blocks convolved at once.
-STRIPE = 2048
+#: Blocks convolved at once; the responses of a stripe (2 or 4 MB) stay below what the allocator keeps after use.
+STRIPE = 512
 ACCEPT = 0.3
 
 

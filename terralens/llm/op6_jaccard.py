@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from terralens.plans.common import Catalogue, table
 
 from .components import components
-from .shared import bounded_batches, gathered, shuffle_partitions, written
+from .shared import bounded_batches, gathered, settled, shuffle_partitions, written
 from .text import mix64, shingles, slices, word_hashes, word_spans
 
 CAT = Catalogue()
@@ -30,6 +30,8 @@ RESERVE_SHARE, RESERVE = 3, 8
 COSTLY = 32
 #: A shingle's level is how many of these numbers of documents are seen to hold it; bits for each level.
 LEVELS, LEVEL_BITS = (8, 128, 2048), 1 << 25
+#: Parts in which the driver fetches the bit maps, 12 MB in all.
+MAP_READS = 4
 #: Shingles that a task counts together, and entries (60 bytes, copied several times) that it packs together.
 COUNTED, PACKED = 1 << 19, 1 << 17
 #: Columns of a set's bit signature, 64 bits each, and of the wider one that is kept once for each node.
@@ -233,12 +235,13 @@ def level_maps(answers):
     """One bit map for each of LEVELS: the shingles that at least so many documents hold.
 
     The maps have a fixed size and only decide the order of the shingles, in which any function of the shingle is right:
-    more shingles than bits cost candidates, never links.
+    more shingles than bits cost candidates, never links. They are made by all tasks and fetched in MAP_READS parts: an
+    iterator runs a job for each partition, and the driver keeps what it knows of a job.
     """
     bit = answers.select(F.explode("bits").alias("bit")).select((F.col("bit") + 1).alias("bit"))
     maps = bit.groupBy(F.bitmap_bucket_number("bit").alias("no")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     whole = np.zeros(len(LEVELS) * LEVEL_BITS // 8, np.uint8)
-    for row in maps.toLocalIterator():
+    for row in written(maps, "maps").coalesce(MAP_READS).toLocalIterator():
         whole[(row["no"] - 1) * 4096 : row["no"] * 4096] = np.frombuffer(row["bits"], np.uint8)
     return whole
 
@@ -395,6 +398,7 @@ def verified(pairs, docs, width, percent):
     One task holds the set of ``a`` and compares at most about PARTNERS partners of it, one after the other.
     """
     pairs = written(pairs.select("a", "b").distinct(), "pairs")
+    settled(docs.sparkSession)
     shares = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("shares"))
     partners = pairs.join(shares, "a").select(F.col("b").alias("doc_id"), "a", F.pmod(F.xxhash64("b"), F.col("shares")).alias("share"), "b")
     owners = shares.select(
@@ -544,6 +548,7 @@ def similar_groups(docs, width=WIDTH, percent=PERCENT, costly=COSTLY):
     nodes = written(least.where(f"100 * (n - lone) >= {percent} * n").select(F.col("b").alias("doc_id"), "n", "d1", "d2", "lone"), "nodes")
     # written, so that no task runs two Python workers at once
     stored = written(sketches(nodes, docs, level_maps(answers), width, percent), "stored")
+    settled(spark)
     shared = written(shared_shingles(stored.drop(*WIDE), 4 * shuffle_partitions(spark)), "shared")
     least = least.drop("lone")
     links = classes.drop("lone").join(least, key).where("rid != b").select(F.col("rid").alias("a"), "b")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -26,6 +27,16 @@ def written(df, name):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark):
+    """Has the driver collect its garbage between the steps of a long job.
+
+    Spark drops the shuffle files and broadcasts of finished steps only when the driver's heap is collected, which a
+    driver with little data of its own puts off, growing its heap instead.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows and bytes of text that go to a Python worker at once.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 

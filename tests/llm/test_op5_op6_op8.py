@@ -140,6 +140,40 @@ def test_components(spark):
     assert got == {x: find(x) for x in root if find(x) != x}
 
 
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    from terralens.llm import components as module
+
+    names = []
+    monkeypatch.setattr(module, "written", lambda df, name, write=module.written: names.append(name) or write(df, name))
+    edges = [(10, i) for i in range(11, 40)] + [(41, 40), (40, 41), (7, 7)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 10 for i in range(11, 40)} | {41: 40}
+    assert len(names) == 1
+    names.clear()
+    chain = [(i, i + 1) for i in range(8)]
+    assert {r["node"]: r["root"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()} == {i: 0 for i in range(1, 9)}
+    assert len(names) > 1
+
+
+def test_level_maps_take_few_jobs(spark):
+    size = join.LEVEL_BITS
+    bits = sorted({(i * 7919 * 4096) % (3 * size) for i in range(300)} | {0, size - 1, size, 3 * size - 1})
+    answers = spark.createDataFrame([(bits[i::5],) for i in range(5)], "bits array<long>")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup("level maps", "level maps")
+    try:
+        maps = join.level_maps(answers)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("level maps")
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert np.flatnonzero(np.unpackbits(maps, bitorder="little")).tolist() == bits
+    assert 0 < len(jobs) < 20
+
+
 def brute_repeats(rows, window=50):
     first = {}
     for doc_id, text in rows:
