@@ -63,6 +63,26 @@ def test_augmentation_prefers_scores_and_keeps_whole_sentences(spark):
     assert {r["id"]: r["augmented"] for r in U.augment_sentences(s, n, token_scores=scores).collect()} == {1: "it is ship big", 2: "boat"}
 
 
+def test_augmentation_meets_distinct_words_and_merges_rows_of_one_id(spark, monkeypatch):
+    rows = [(i, ["boat", "big", "there", "is", "boat", "sea"] * 20, ["NN", "JJ", "EX", "VBZ", "VB", "NN"] * 20) for i in range(40)]
+    rows += [(50, [], []), (51, None, None), (52, ["boat", None, "x"], ["NN", "NN"]), (53, ["boat"], ["NN"]), (53, ["a", "sea"], ["JJ", "NN"]), (None, ["sea"], ["NN"]), (None, ["ü", "boat"], ["NN", "NN"])]
+    s = spark.createDataFrame(rows, "id bigint, tokens array<string>, tags array<string>").repartition(2)
+    n = spark.createDataFrame([("boat", "ship", 0.9, "NN", 0.1), ("boat", "ähre", 0.9, "VB", 0.1), ("sea", "ocean", 0.7, "NN", 0.1), ("sea", None, 0.7, "NN", 0.5), ("it", "them", 0.9, "NN", 1.0), ("big", "huge", 0.9, "JJ", 1.0)],
+                             "token string, candidate string, similarity double, tag string, score double")
+    stored = {}
+    keep = U.materialise
+    monkeypatch.setattr(U, "materialise", lambda df, name: stored.setdefault(name, keep(df, name)))
+    long = " ".join(["ship big it is ähre ocean"] * 20)
+    want = {i: long for i in range(40)} | {50: "", 52: "ship x", 53: "a ship ocean", None: "ocean ü ship"}
+    got = U.augment_sentences(s, n.filter("candidate IS NOT NULL"), chunk_bytes=5000).collect()
+    assert {r["id"]: r["augmented"] for r in got} == want and len(got) == len(want)
+    lists = [r["words"] for r in stored["chunks"].select("words").collect()]
+    assert len(lists) > 2 and all(len(set(words)) == len(words) <= 9 for words in lists)
+    monkeypatch.undo()
+    # a word whose best candidate is null stays
+    assert {r["id"]: r["augmented"] for r in U.augment_sentences(s.filter("id = 53"), n).collect()} == {53: "a ship sea"}
+
+
 def test_weighted_choice_shares(spark):
     out = U.weighted_choice(spark.range(20000), ["id"], 3, {"a": 1, "b": 3})
     shares = {r["choice"]: r["count"] / 20000 for r in out.groupBy("choice").count().collect()}
