@@ -104,10 +104,11 @@ def _by_chunk(placed, best, chunk_bytes):
         place = F.coalesce(F.array_position(tags, t["tag"]), F.lit(0)).cast("string")
         return F.when(_expletive(t["tag"], t["next_tag"]), F.lit("0it")).otherwise(F.concat(place, t["token"]))
 
+    # rows without tokens are left out once coded: a filter here would be pushed down and read each text again
     kind = placed.schema["id"].dataType
     texts = T.ArrayType(T.StringType())
     stored = T.StructType().add("ids", T.ArrayType(kind)).add("sizes", T.ArrayType(T.IntegerType())).add("codes", T.BinaryType()).add("words", texts)
-    keyed = placed.filter(F.col("places").isNotNull()).select("id", F.transform("places", key).alias("words"))
+    keyed = placed.select("id", F.transform("places", key).alias("words"))
     chunks = materialise(keyed.mapInArrow(lambda batches: _coded(batches, chunk_bytes), stored).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
     entries = chunks.select(F.col("chunk").alias("of"), F.posexplode("words").alias("code", "word"))
     tag = F.element_at(tags, F.substring("word", 1, 1).cast("int"))
@@ -123,6 +124,7 @@ def _coded(batches, chunk_bytes):
     """Chunks of sentences whose words have at most ``chunk_bytes``; a longer sentence is one of its own."""
     held, size = [], 0
     for batch in batches:
+        batch = batch.filter(batch.column("words").is_valid())
         words = batch.column("words")
         lengths = np.asarray(pc.fill_null(pc.binary_length(words.flatten()), 0), dtype="int64")
         upto = np.r_[0, np.cumsum(lengths + 4)][np.cumsum(np.asarray(words.value_lengths()))]
