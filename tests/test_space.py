@@ -233,6 +233,20 @@ def test_each_relation_once_for_ids_that_repeat(spark):
     assert [tuple(r) for r in named.collect()] == [(2, "sfWithin", 7)]
 
 
+def test_crowds_meet_in_blocks_that_a_task_holds_easily(spark, monkeypatch):
+    blocks, keep = [], S._met
+    monkeypatch.setattr(S, "_met", lambda *a: blocks.append(keep(*a)) or blocks[-1])
+    spots = spark.range(3000).select("id", F.lit("POINT (1 1)").alias("wkt")).union(spark.createDataFrame([(7, "POINT (1 1)"), (None, "POINT (9 9)")], "id bigint, wkt string"))
+    areas = spark.range(500).select("id", F.lit("POLYGON ((0 0, 9 0, 9 9, 0 9, 0 0))").alias("wkt"))
+    told = S.relation_pairs(S.prepare(spots, "id", "wkt"), S.prepare(areas, "id", "wkt")).groupBy("rel").agg(F.count(F.lit(1)), F.sum("s"), F.sum("o"), F.count("s"))
+    each, ids = 500 * (2999 * 3000 // 2 + 7), 499 * 500 // 2
+    assert {r[0]: tuple(r)[1:] for r in told.collect()} == {
+        "sfWithin": (3001 * 500, each, 3001 * ids, 3001 * 500), "sfTouches": (500, None, ids, 0), "sfIntersects": (3002 * 500, each, 3002 * ids, 3001 * 500),
+    }
+    assert max(blocks[0].agg(F.max(F.size("_l")), F.max(F.size("_r"))).first()) < 256
+
+
+
 def test_long_segments_meet_boxes_by_their_pieces(spark):
     r = np.random.default_rng(9)
     ends = [tuple(map(float, p)) for p in r.uniform(-150, 150, (25, 4))] + [(5.0, 5.0, 5.0, 5.0), (-20.0, 0.0, 20.0, 0.0)]
